@@ -56,6 +56,8 @@ def apply_category_mapping(
     columns: Sequence[str],
     other: str = OTHER,
     null_token: str | None = NULL_TOKEN,
+    literal_values: int = LITERAL_VALUES,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Replace each value by its category; values the mapping does not hold become ``other``.
 
@@ -70,7 +72,7 @@ def apply_category_mapping(
     )
     found = {r["column"]: r for r in measured.collect()}  # one row per column
     literal = [
-        c for c, r in found.items() if r["n"] <= LITERAL_VALUES and r["renamed"] == 0 and r["bytes"] <= 1_000_000
+        c for c, r in found.items() if r["n"] <= literal_values and r["renamed"] == 0 and r["bytes"] <= 1_000_000
     ]
     kept: dict[str, list[str]] = {c: [] for c in columns if c not in found}
     if literal:
@@ -86,7 +88,7 @@ def apply_category_mapping(
         if c in kept:
             continue
         table = useful.where(F.col("column") == c)
-        fits = found[c]["n"] <= BROADCAST_ROWS and found[c]["bytes"] <= BROADCAST_BYTES
+        fits = found[c]["n"] <= broadcast_rows and found[c]["bytes"] <= BROADCAST_BYTES
         weight = "count" if "count" in mapping.columns else None
         result = lookup(
             result, to_text(quoted(c), null_token), table, "value", "category", c, F.lit(other), weight, fits
@@ -112,7 +114,11 @@ def cardinalities(vocabulary: DataFrame) -> DataFrame:
 
 
 def encode_vocabulary(
-    df: DataFrame, vocabulary: DataFrame, columns: Sequence[str], suffix: str = "_index"
+    df: DataFrame,
+    vocabulary: DataFrame,
+    columns: Sequence[str],
+    suffix: str = "_index",
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Append ``<column><suffix>``: the token's index, 0 for null or unknown, or when the column is absent."""
     size = F.sum(F.octet_length("token") + F.lit(32))
@@ -123,7 +129,7 @@ def encode_vocabulary(
         if c not in df.columns or c not in found:
             result = result.withColumn(f"{c}{suffix}", F.lit(0))
             continue
-        fits = found[c]["n"] <= BROADCAST_ROWS and found[c]["bytes"] <= BROADCAST_BYTES
+        fits = found[c]["n"] <= broadcast_rows and found[c]["bytes"] <= BROADCAST_BYTES
         table = vocabulary.where(F.col("column") == c)
         result = lookup(
             result, quoted(c).cast("string"), table, "token", "index", f"{c}{suffix}", F.lit(0), "count", fits

@@ -25,6 +25,7 @@ from riskflow.session import materialise_table
 TRAINING_PARAMS = {"maxIter": 1000, "stepSize": 0.1, "maxDepth": 5, "seed": 42}
 EXPLORATION_PARAMS = {"maxIter": 100, "stepSize": 0.1, "maxDepth": 6, "seed": 42}
 MAX_CATEGORIES = 512
+MODEL_OUTPUTS = ("_features", "rawPrediction", "probability", "prediction")
 
 
 class TabularModel(ABC):
@@ -133,15 +134,15 @@ class _BoostedTrees(TabularModel):
         return self.model
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """``df`` with the model's output columns."""
+        """``df`` with the model's output columns, which replace columns of the same name."""
         model = self._fitted()
-        scored = model.transform(self._prepare(df))
+        scored = model.transform(self._prepare(df.drop(*MODEL_OUTPUTS)))
         return scored.drop(*(c for c in scored.columns if c.startswith(("_text_", "_value_", "_missing_", "_index_"))))
 
     def predict(self, df: DataFrame) -> DataFrame:
         """``df`` with a ``prediction`` column."""
         kept = [c for c in df.columns if c != "prediction"]
-        return self.transform(df.select(*(quoted(c) for c in kept))).select(*(quoted(c) for c in kept), "prediction")
+        return self.transform(df).select(*(quoted(c) for c in kept), "prediction")
 
     def importances(self, top: int | None = None) -> DataFrame:
         """Named importances, ranked, with their running sum."""
@@ -204,15 +205,18 @@ class BoostedTreesClassifier(_BoostedTrees):
 
     def predict_proba(self, df: DataFrame, name: str = "score") -> DataFrame:
         """``df`` with the probability of the positive class."""
-        kept = [c for c in df.columns if c != name]
-        scored = self.transform(df)
-        return scored.select(*(quoted(c) for c in kept), vector_to_array("probability")[1].alias(name))
+        return self._appended(df, "probability", name)
 
     def margins(self, df: DataFrame, name: str = "margin") -> DataFrame:
         """``df`` with the raw margin of the positive class."""
-        kept = [c for c in df.columns if c != name]
-        scored = self.transform(df)
-        return scored.select(*(quoted(c) for c in kept), vector_to_array("rawPrediction")[1].alias(name))
+        return self._appended(df, "rawPrediction", name)
+
+    def _appended(self, df: DataFrame, output: str, name: str) -> DataFrame:
+        held = [(c, f"_held_{i}") for i, c in enumerate(df.columns) if c in MODEL_OUTPUTS]
+        scored = self.transform(df.withColumnsRenamed(dict(held)))
+        back = dict(held)
+        kept = [quoted(back.get(c, c)).alias(c) for c in df.columns if c != name]
+        return scored.select(*kept, vector_to_array(output)[1].alias(name))
 
     def evaluate(self, df: DataFrame, metric: str = "roc_auc") -> float:
         if metric == "roc_auc":

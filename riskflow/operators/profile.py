@@ -16,7 +16,7 @@ from riskflow.operators.ordering import SINGLE_TASK_ROWS, running_total, value_c
 from riskflow.session import materialise
 
 
-def _melt(aggregated: DataFrame, names: Sequence[str], label: str, **parts: str) -> DataFrame:
+def melt(aggregated: DataFrame, names: Sequence[str], label: str, **parts: str) -> DataFrame:
     """One wide aggregate row to one row per column; ``parts`` maps output name to column prefix."""
     entry = [
         F.struct(F.lit(n).alias(label), *(F.col(f"{prefix}{i}").alias(out) for out, prefix in parts.items()))
@@ -29,13 +29,13 @@ def non_null_counts(df: DataFrame) -> DataFrame:
     """(column_name, non_null_count, row_count)."""
     present = [F.count(F.when(~is_missing(f), 1)).alias(f"p{i}") for i, f in enumerate(df.schema)]
     rows = [F.count("*").alias(f"r{i}") for i in range(len(df.columns))]
-    return _melt(df.agg(*present, *rows), df.columns, "column_name", non_null_count="p", row_count="r")
+    return melt(df.agg(*present, *rows), df.columns, "column_name", non_null_count="p", row_count="r")
 
 
 def counts_by_target(df: DataFrame, target: str) -> DataFrame:
-    """Per target value, the non-null count of every other column."""
+    """Per target value, the non-null count of every other column; rows without a target are left out."""
     others = [f for f in df.schema if f.name != target]
-    return df.groupBy(target).agg(*(F.count(F.when(~is_missing(f), 1)).alias(f.name) for f in others))
+    return df.where(quoted(target).isNotNull()).groupBy(target).agg(*(F.count(F.when(~is_missing(f), 1)).alias(f.name) for f in others))
 
 
 def group_counts(df: DataFrame, keys: Sequence[str], name: str = "count") -> DataFrame:
@@ -81,7 +81,7 @@ def missingness(df: DataFrame) -> DataFrame:
     missing = [F.count_if(is_missing(f)).alias(f"m{i}") for i, f in enumerate(df.schema)]
     rows = [F.count("*").alias(f"r{i}") for i in range(len(df.columns))]
     return (
-        _melt(df.agg(*missing, *rows), df.columns, "column_name", null_count="m", rows="r")
+        melt(df.agg(*missing, *rows), df.columns, "column_name", null_count="m", rows="r")
         .where(F.col("null_count") > 0)
         .select("column_name", "null_count", (F.lit(100.0) * F.col("null_count") / F.col("rows")).alias("null_percent"))
         .orderBy(F.desc("null_count"), "column_name")
@@ -194,7 +194,7 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     for i, c in enumerate(names):
         x = number(df.schema[c])
         parts += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-    moments = _melt(df.agg(*parts), names, "column_name", count="n", mean="mean", std="std", min="lo", max="hi")
+    moments = melt(df.agg(*parts), names, "column_name", count="n", mean="mean", std="std", min="lo", max="hi")
     quartiles = exact_quantiles(df, names, (0.25, 0.5, 0.75)).select(
         F.col("column").alias("column_name"), F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75")
     )

@@ -34,13 +34,16 @@ def read_csv(
     schema: T.StructType | str | None = None,
     types: Mapping[str, str] | None = None,
     infer: bool = False,
+    multiline: bool = False,
 ) -> DataFrame:
     """CSV with a header and one schema for the whole file.
 
+    ``multiline`` allows line breaks inside quoted values, at the price of one task per file.
+
     Without ``schema`` the header gives the names and ``raw_schema`` the types, so a value never
     depends on what its neighbours look like. ``infer`` costs one more pass over the file.
     """
-    reader = spark.read.option("header", True)
+    reader = spark.read.option("header", True).option("multiLine", multiline)
     if infer and schema is None:
         return reader.option("inferSchema", True).csv(path)
     if schema is None:
