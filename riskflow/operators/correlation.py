@@ -12,7 +12,17 @@ from riskflow.functions.scalars import number
 from riskflow.operators.joins import lookup, small_enough
 from riskflow.operators.ordering import SINGLE_TASK_ROWS, average_ranks
 
-PAIRS_PER_JOB = 200
+PAIRS_PER_JOB = 100
+
+
+def _correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation over the rows where both are present, null when either is constant there.
+
+    The built-in ``corr`` divides by zero for a constant, which is an error under ANSI rules. The
+    squared correlation is defined there: null for a constant ``b``, 1 for a constant ``a``.
+    """
+    together, squared = F.covar_pop(a, b), F.regr_r2(a, b)
+    return F.when((together != 0) | (squared != 1), F.signum(together) * F.sqrt(squared))
 
 
 def _pairwise(df: DataFrame, pairs: Sequence[tuple[str, str]], value: dict[str, Column]) -> DataFrame:
@@ -20,7 +30,7 @@ def _pairwise(df: DataFrame, pairs: Sequence[tuple[str, str]], value: dict[str,
     jobs = []
     for start in range(0, len(pairs), PAIRS_PER_JOB):
         chunk = pairs[start : start + PAIRS_PER_JOB]
-        wide = df.agg(*(F.corr(value[a], value[b]).alias(f"r{i}") for i, (a, b) in enumerate(chunk)))
+        wide = df.agg(*(_correlation(value[a], value[b]).alias(f"r{i}") for i, (a, b) in enumerate(chunk)))
         rows = F.array(
             *(
                 F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"r{i}").alias("correlation"))
@@ -31,8 +41,7 @@ def _pairwise(df: DataFrame, pairs: Sequence[tuple[str, str]], value: dict[str,
     result = jobs[0]
     for job in jobs[1:]:
         result = result.unionByName(job)
-    # A constant column has no correlation; the aggregate gives NaN for it.
-    return result.withColumn("correlation", F.when(~F.isnan("correlation"), F.col("correlation")))
+    return result
 
 
 def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from riskflow.functions.scalars import number, quoted
 from riskflow.operators.categorical import apply_category_mapping, fit_category_mapping
 from riskflow.operators.ordering import value_counts_long
-from riskflow.session import materialise_table
+from riskflow.session import materialise_table, spread
 
 MAX_TOKENS = 200_000
+MAX_PARTITIONS = 256
 
 
 @dataclass
@@ -115,7 +116,7 @@ def fit_row_encoder(
         if sum(near) > max_tokens * 0.8:
             grouping = fit_category_mapping(df, categorical)
     encoder = RowEncoder(list(categorical), list(numeric), splits, grouping, None, size)
-    sentences = materialise_table(encoder.tokens(df).select("_tokens"), "sentences")
+    sentences = spread(materialise_table(encoder.tokens(df).select("_tokens"), "sentences"))
     if grouping is not None:
         tokens = value_counts_long(sentences.select(F.explode("_tokens").alias("t")), {"t": F.col("t")})
         found = tokens.count()
@@ -129,7 +130,7 @@ def fit_row_encoder(
         seed=seed,
         maxIter=rounds,
         windowSize=max(2, len(categorical) + len(numeric)),
-        numPartitions=partitions or max(1, min(sentences.rdd.getNumPartitions(), 64)),
+        numPartitions=partitions or min(sentences.rdd.getNumPartitions(), MAX_PARTITIONS),
     )
     encoder.model = word2vec.fit(sentences)
     return encoder

@@ -19,12 +19,13 @@ from riskflow.functions.scalars import number, quoted
 from riskflow.operators import metrics
 from riskflow.operators.ordering import running_total
 from riskflow.operators.sampling import with_class_weights
-from riskflow.session import materialise_table
+from riskflow.session import materialise_table, spread
 
 # Defaults for the two uses of boosted trees: the trained model and the quick look.
 TRAINING_PARAMS = {"maxIter": 1000, "stepSize": 0.1, "maxDepth": 5, "seed": 42}
 EXPLORATION_PARAMS = {"maxIter": 100, "stepSize": 0.1, "maxDepth": 6, "seed": 42}
 MAX_CATEGORIES = 512
+MAX_BINS = 255
 MODEL_OUTPUTS = ("_features", "rawPrediction", "probability", "prediction")
 
 
@@ -53,13 +54,15 @@ class _BoostedTrees(TabularModel):
         numeric: Sequence[str] = (),
         label: str = "label",
         max_categories: int = MAX_CATEGORIES,
+        max_bins: int = MAX_BINS,
         validation: str | None = None,
         **params: Any,
     ):
         if max_categories < 2:
             raise ValueError("max_categories must be at least 2")
         self.categorical, self.numeric, self.label = list(categorical), list(numeric), label
-        self.max_categories, self.validation, self.params = max_categories, validation, dict(params)
+        self.max_categories, self.max_bins = max_categories, max_bins
+        self.validation, self.params = validation, dict(params)
         self.hashed: list[str] = []
         self.model: PipelineModel | None = None
 
@@ -103,20 +106,22 @@ class _BoostedTrees(TabularModel):
             prepared.select(quoted(self.label).cast("double").alias("_label"), *(quoted(c) for c in [*inputs, *extra])),
             "training",
         )
+        table = spread(table)
         stages: list = []
+        bins = self.max_bins
         if self.categorical:
-            stages.append(
-                StringIndexer(
-                    inputCols=[f"_text_{c}" for c in self.categorical],
-                    outputCols=[f"_index_{c}" for c in self.categorical],
-                    handleInvalid="keep",
-                    stringOrderType="frequencyDesc",
-                )
-            )
+            indexer = StringIndexer(
+                inputCols=[f"_text_{c}" for c in self.categorical],
+                outputCols=[f"_index_{c}" for c in self.categorical],
+                handleInvalid="keep",
+                stringOrderType="frequencyDesc",
+            ).fit(table)
+            stages.append(indexer)
+            bins = max(bins, *(len(labels) + 1 for labels in indexer.labelsArray))
         vector = [f"_index_{c}" for c in self.categorical]
         vector += [f"_value_{c}" for c in self.numeric] + [f"_missing_{c}" for c in self.numeric]
         stages.append(VectorAssembler(inputCols=vector, outputCol="_features"))
-        trees = self._estimator().setFeaturesCol("_features").setLabelCol("_label").setMaxBins(self.max_categories + 2)
+        trees = self._estimator().setFeaturesCol("_features").setLabelCol("_label").setMaxBins(bins)
         if self.validation:
             trees = trees.setValidationIndicatorCol(self.validation)
         if "_weight" in table.columns:
@@ -165,6 +170,7 @@ class _BoostedTrees(TabularModel):
             "numeric": self.numeric,
             "label": self.label,
             "max_categories": self.max_categories,
+            "max_bins": self.max_bins,
             "validation": self.validation,
             "hashed": self.hashed,
             "params": self.params,

@@ -6,9 +6,14 @@ from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import riskflow
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+# Steps travel to the executors with their code, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(riskflow)
+
 SCORING_BATCH = 4096
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskflow.operators.sampling import hashed_folds, stratified_folds
-from riskflow.session import materialise_table
+from riskflow.session import materialise_table, spread
 
 log = logging.getLogger(__name__)
 
@@ -93,7 +93,7 @@ class RandomSearch:
             if exact_folds
             else hashed_folds(df, key, self.folds, self.seed, "_fold")
         )
-        table = materialise_table(folded, "folds")
+        table = spread(materialise_table(folded, "folds"))
 
         def objective(params: dict[str, Any]) -> float:
             values = []

@@ -65,3 +65,13 @@ def materialise_table(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """Deal a scan out over all cores when it has fewer partitions than that.
+
+    For work that costs far more than the shuffle, such as training. A table with at least as many
+    partitions as cores, which any large one is, stays as it is.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table

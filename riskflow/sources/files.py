@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def _status(spark: SparkSession, path: str):
@@ -37,16 +37,27 @@ def extension_glob(extension: str | Sequence[str]) -> str:
     return "*.{" + ",".join(patterns) + "}"
 
 
+def _listing(spark: SparkSession, directory: str, extension: str | Sequence[str] | None, recursive: bool) -> list[str]:
+    """Paths from Spark's own file index; no file is opened, and empty files count."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    if extension is not None:
+        reader = reader.option("pathGlobFilter", extension_glob(extension))
+    return sorted(unquote(p) for p in reader.load(directory).inputFiles())
+
+
 def list_files(
     spark: SparkSession, directory: str, extension: str | Sequence[str] | None = None, recursive: bool = False
 ) -> DataFrame:
-    """(path, length, modified) of the matching files, sorted by path. File contents are not read."""
+    """(path) of the matching files, sorted."""
     require_directory(spark, directory)
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    if extension is not None:
-        reader = reader.option("pathGlobFilter", extension_glob(extension))
-    return reader.load(directory).select("path", "length", F.col("modificationTime").alias("modified")).orderBy("path")
+    found = _listing(spark, directory, extension, recursive)
+    return spark.createDataFrame([(p,) for p in found], "path string").orderBy("path")
+
+
+def file_count(spark: SparkSession, directory: str, extension: str = "parquet") -> int:
+    """Number of files under a folder and its subfolders."""
+    return len(_listing(spark, directory, extension, True))
 
 
 def has_files(spark: SparkSession, directory: str, extension: str) -> bool:
-    return path_exists(spark, directory) and not list_files(spark, directory, extension).isEmpty()
+    return path_exists(spark, directory) and bool(_listing(spark, directory, extension, False))

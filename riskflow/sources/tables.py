@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskflow.config import COMPRESSION, NUMERIC_RAW_COLUMNS, TABLE_KEY, TARGET
-from riskflow.sources.files import has_files, path_exists
+from riskflow.sources.files import file_count, has_files, path_exists
 
 
 def csv_header(spark: SparkSession, path: str) -> list[str]:
@@ -105,12 +105,6 @@ def write_partitioned(
     return file_count(spark, directory)
 
 
-def file_count(spark: SparkSession, directory: str) -> int:
-    """Number of Parquet files under a folder, from the listing alone."""
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return listing.option("pathGlobFilter", "*.parquet").load(directory).select("path").count()
-
-
 def write_csv_report(df: DataFrame, directory: str) -> None:
     """A small result as one CSV with a header."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(directory)
