@@ -14,10 +14,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskflow.config import OTHER
 from riskflow.functions.scalars import number, quoted
 from riskflow.operators.categorical import apply_category_mapping, fit_category_mapping
-from riskflow.operators.ordering import value_counts_long
-from riskflow.session import materialise_table, spread
+from riskflow.operators.ordering import row_positions
+from riskflow.session import materialise, materialise_table, spread
 
 MAX_TOKENS = 200_000
 MAX_PARTITIONS = 256
@@ -85,6 +86,15 @@ def _token_array(df: DataFrame, categorical: Sequence[str], splits: dict[str, li
     return F.array(*parts)
 
 
+def _within(mapping: DataFrame, budget: int) -> DataFrame:
+    """The mapping with at most ``budget`` values that keep their name, the most frequent ones."""
+    if mapping.where(F.col("category") != OTHER).count() <= budget:
+        return mapping
+    placed = row_positions(mapping, [], [F.desc("count"), F.asc("column"), F.asc("value")], "_place")
+    category = F.when(F.col("_place") > budget, F.lit(OTHER)).otherwise(F.col("category"))
+    return materialise(placed.withColumn("category", category).drop("_place"))
+
+
 def fit_row_encoder(
     df: DataFrame,
     categorical: Sequence[str],
@@ -99,7 +109,8 @@ def fit_row_encoder(
     """Learn token vectors from the rows of ``df``.
 
     The token vectors live on the driver while training, so the token count is measured first. Past
-    ``max_tokens`` the columns go through category grouping, whose long tail becomes one value each.
+    ``max_tokens`` the columns go through category grouping, whose long tail becomes one value per
+    column; should the rest still be too many, the least frequent of it joins the tail.
     """
     splits: dict[str, list[float]] = {}
     if numeric:
@@ -114,14 +125,10 @@ def fit_row_encoder(
     if categorical:
         near = df.agg(*(F.approx_count_distinct(quoted(c)).alias(f"n{i}") for i, c in enumerate(categorical))).first()
         if sum(near) > max_tokens * 0.8:
-            grouping = fit_category_mapping(df, categorical)
+            budget = max_tokens - len(categorical) - (bins + 1) * len(numeric)
+            grouping = _within(fit_category_mapping(df, categorical), max(1, budget))
     encoder = RowEncoder(list(categorical), list(numeric), splits, grouping, None, size)
     sentences = spread(materialise_table(encoder.tokens(df).select("_tokens"), "sentences"))
-    if grouping is not None:
-        tokens = value_counts_long(sentences.select(F.explode("_tokens").alias("t")), {"t": F.col("t")})
-        found = tokens.count()
-        if found > max_tokens:
-            raise ValueError(f"{found} tokens remain after grouping, more than max_tokens={max_tokens}")
     word2vec = Word2Vec(
         vectorSize=size,
         inputCol="_tokens",

@@ -12,7 +12,6 @@ from riskflow.functions.scalars import quoted
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 * 1024 * 1024
 HOT_VALUES = 20_000
-SALTS = 64
 
 
 def left_join(left: DataFrame, right: DataFrame, key: str | Sequence[str]) -> DataFrame:
@@ -31,9 +30,13 @@ def left_join(left: DataFrame, right: DataFrame, key: str | Sequence[str]) -> Da
 
 
 def semi_join(df: DataFrame, kept: DataFrame, key: str | Sequence[str]) -> DataFrame:
-    """Rows of ``df`` whose key appears in ``kept``. No distinct is needed: a semi join never repeats."""
+    """Rows of ``df`` whose key appears in ``kept``.
+
+    The kept keys are made distinct first: that combines a frequent key before the shuffle, and leaves
+    the keys partitioned as the join wants them, so it adds no shuffle.
+    """
     keys = [key] if isinstance(key, str) else list(key)
-    return df.join(kept.select(*keys), keys, "left_semi")
+    return df.join(kept.select(*keys).distinct(), keys, "left_semi")
 
 
 def small_enough(table: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
@@ -58,8 +61,8 @@ def lookup(
 
     ``table`` must be materialised and unique on ``value``; ``fits`` passes on an earlier measurement. Within the broadcast bounds the lookup moves
     no rows of ``df``. Beyond them the most frequent values (by ``weight``) are still broadcast, and
-    only the rest is shuffled; rows already answered, and rows without a value, are spread over salts
-    that match nothing, so no value can fill a task.
+    only the rest is shuffled; rows already answered, and rows without a value, get a salt of their own
+    that matches nothing, so they spread over all tasks whatever their value.
     """
     key = F.col(column) if isinstance(column, str) else column
     entries = table.select(
@@ -79,7 +82,8 @@ def lookup(
         keyed = keyed.withColumn("_hot", F.lit(None).cast(entries.schema["_found"].dataType)).withColumn(
             "_is_hot", F.lit(None).cast("boolean")
         )
-    spread = F.pmod(F.xxhash64(*(quoted(c) for c in df.columns)), F.lit(SALTS)) + 1
+    mixed = F.xxhash64(*(quoted(c) for c in df.columns))
+    spread = F.when(mixed == 0, F.lit(1).cast("bigint")).otherwise(mixed)
     settled = F.col("_is_hot").isNotNull() | F.col("_key").isNull()
     keyed = keyed.withColumn("_salt", F.when(settled, spread).otherwise(F.lit(0).cast("bigint")))
     cold = entries.select("_key", "_found", F.lit(0).cast("bigint").alias("_salt"))

@@ -19,6 +19,7 @@ from riskflow.session import materialise
 
 SINGLE_TASK_ROWS = 1_000_000
 ROWS_PER_RANGE = 500_000
+MAX_RANGES = 10_000
 
 
 def running_total(
@@ -30,16 +31,16 @@ def running_total(
 ) -> DataFrame:
     """Append, per group and in the given order, the inclusive running sum of each amount.
 
-    ``table`` is counted first, so pass a file scan or a materialised table. ``group`` must be columns
-    with few values (column names, labels, sets); they may not be null. Rows equal under ``order`` keep
-    the order they are stored in.
+    ``table`` must be a file scan or a materialised table: it is counted first, and rows equal under
+    ``order`` are told apart by where they are stored. ``group`` must be columns with few values (column
+    names, labels, sets); they may not be null.
     """
     rows = table.count()
     if rows <= single_task_rows:
         window = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return table.select("*", *(F.sum(a).over(window).alias(n) for n, a in amounts.items()))
 
-    ranges = max(2, math.ceil(rows / ROWS_PER_RANGE))
+    ranges = min(max(2, math.ceil(rows / ROWS_PER_RANGE)), MAX_RANGES)
     # The row id lets equal rows be cut into several ranges; the written copy keeps the cut fixed.
     placed = materialise(
         table.withColumn("_tie", F.monotonically_increasing_id())

@@ -6,11 +6,13 @@ import logging
 import random
 import time
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from riskflow.operators.sampling import hashed_folds, stratified_folds
 from riskflow.session import materialise_table, spread
@@ -36,12 +38,13 @@ class Trial:
 class RandomSearch:
     """Draws parameter sets on the driver; every trial is a set of Spark jobs over the whole table."""
 
-    def __init__(self, trials: int = 100, folds: int = 5, seed: int = 42, timeout: float | None = None):
+    def __init__(self, trials: int = 100, folds: int = 5, seed: int = 42, timeout: float | None = None, parallelism: int = 1):
         if trials < 1:
             raise ValueError("trials must be at least 1")
         if folds < 2:
             raise ValueError("folds must be at least 2")
         self.trials, self.folds, self.seed, self.timeout = trials, folds, seed, timeout
+        self.parallelism = parallelism  # folds trained at once
         self.direction = "maximize"
         self.results: list[Trial] | None = None
 
@@ -95,11 +98,14 @@ class RandomSearch:
         )
         table = spread(materialise_table(folded, "folds"))
 
+        def one_fold(fold: int, params: dict[str, Any]) -> float:
+            model = train(table.where(F.col("_fold") != fold).drop("_fold"), params)
+            return score(model, table.where(F.col("_fold") == fold).drop("_fold"))
+
         def objective(params: dict[str, Any]) -> float:
-            values = []
-            for fold in range(self.folds):
-                model = train(table.where(F.col("_fold") != fold).drop("_fold"), params)
-                values.append(score(model, table.where(F.col("_fold") == fold).drop("_fold")))
+            with ThreadPoolExecutor(self.parallelism) as pool:
+                run = inheritable_thread_target(df.sparkSession)(lambda fold: one_fold(fold, params))
+                values = list(pool.map(run, range(self.folds)))
             return sum(values) / len(values)
 
         return self.optimize(objective, space, direction)

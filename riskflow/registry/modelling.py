@@ -37,8 +37,8 @@ def classifier(**options) -> models.BoostedTreesClassifier:
 @query("gbt_scores")
 def gbt_scores(spark, folder):
     rows = returned_lines(spark, folder)
-    model = classifier(balanced=True).fit(rows)
-    return model.predict_proba(model.predict(rows)).select(*LINE_KEY, "prediction", "score")
+    scored = classifier(balanced=True).fit(rows).transform(rows)
+    return scored.select(*LINE_KEY, "prediction", vector_to_array("probability")[1].alias("score"))
 
 
 @query("gbt_margin")
@@ -128,7 +128,7 @@ def tuning_trials(spark, folder):
         scored = model.transform(part).select("returned", vector_to_array("probability")[1].alias("score"))
         return metrics.roc_auc(scored, "returned", "score").first()["roc_auc"]
 
-    search = RandomSearch(trials=2, folds=2)
+    search = RandomSearch(trials=2, folds=2, parallelism=2)
     space = {"maxDepth": lambda rng: rng.randint(2, 4), "stepSize": lambda rng: rng.choice([0.1, 0.2, 0.3])}
     search.optimize_model(rows, "returned", "key", train, score, space)
     return search.top_trials(10).withColumn("params", F.to_json("params"))

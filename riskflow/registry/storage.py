@@ -129,8 +129,8 @@ def prepare_and_merge(spark, folder):
     path = scratch_path(spark, "prepare")
     documents = table(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars")
     labels = table(spark, folder, "labels").withColumnRenamed("quality", "quality-score")
-    tables.write_csv_report(documents, f"{path}/raw/train_transaction.csv")
-    tables.write_csv_report(labels, f"{path}/raw/train_identity.csv")
+    documents.write.option("header", True).csv(f"{path}/raw/train_transaction.csv")
+    labels.write.option("header", True).csv(f"{path}/raw/train_identity.csv")
     plan = Preparation(
         f"{path}/raw",
         f"{path}/interim",

@@ -72,13 +72,21 @@ def write_parquet(
     compression: str = COMPRESSION,
     partition_by: Sequence[str] = (),
     overwrite: bool = True,
+    rebalance: bool = True,
 ) -> None:
-    """Write Parquet files straight from the tasks that hold the rows; nothing is gathered or moved."""
+    """Write Parquet files.
+
+    Without partition columns, each task writes the rows it holds and nothing moves. With them, rows are
+    first rebalanced by those columns, so that files are few and of even size: adaptive execution merges
+    small values and splits a value that holds most rows. ``rebalance=False`` saves that shuffle.
+    """
     absent = [c for c in partition_by if c not in df.columns]
     if absent:
         raise ValueError(f"partition columns not in the table: {absent}")
     if rows_per_file is not None and rows_per_file < 1:
         raise ValueError("rows_per_file must be at least 1")
+    if partition_by and rebalance:
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("overwrite" if overwrite else "errorifexists").option("compression", compression)
     if rows_per_file is not None:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
