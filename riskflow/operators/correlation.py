@@ -5,43 +5,40 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
+from pyspark.errors import ArithmeticException, SparkRuntimeException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskflow.functions.scalars import number
-from riskflow.operators.joins import lookup, small_enough
+from riskflow.operators.joins import BROADCAST_ROWS, lookup
 from riskflow.operators.ordering import SINGLE_TASK_ROWS, average_ranks
+from riskflow.session import materialise
 
 PAIRS_PER_JOB = 100
 
 
-def _correlation(a: Column, b: Column) -> Column:
-    """Pearson correlation over the rows where both are present, null when either is constant there.
-
-    The built-in ``corr`` divides by zero for a constant, which is an error under ANSI rules. The
-    squared correlation is defined there: null for a constant ``b``, 1 for a constant ``a``.
-    """
-    together, squared = F.covar_pop(a, b), F.regr_r2(a, b)
-    return F.when((together != 0) | (squared != 1), F.signum(together) * F.sqrt(squared))
+def _guarded(a: Column, b: Column) -> Column:
+    """Correlation from the three sums over complete rows; null when either is constant among them."""
+    return F.try_divide(F.regr_sxy(a, b), F.sqrt(F.regr_sxx(a, b)) * F.sqrt(F.regr_syy(a, b)))
 
 
 def _pairwise(df: DataFrame, pairs: Sequence[tuple[str, str]], value: dict[str, Column]) -> DataFrame:
-    """(column_a, column_b, correlation) of the given pairs, many pairs per pass."""
-    jobs = []
+    """(column_a, column_b, correlation) of the given pairs, many pairs per pass.
+
+    Under ANSI rules the built-in ``corr`` fails on a column that is constant among the complete rows of
+    a pair. It is several times faster than the guarded form, so only a batch that fails is repeated.
+    """
+    rows = []
     for start in range(0, len(pairs), PAIRS_PER_JOB):
         chunk = pairs[start : start + PAIRS_PER_JOB]
-        wide = df.agg(*(_correlation(value[a], value[b]).alias(f"r{i}") for i, (a, b) in enumerate(chunk)))
-        rows = F.array(
-            *(
-                F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"r{i}").alias("correlation"))
-                for i, (a, b) in enumerate(chunk)
-            )
-        )
-        jobs.append(wide.select(F.explode(rows).alias("_r")).select("_r.*"))
-    result = jobs[0]
-    for job in jobs[1:]:
-        result = result.unionByName(job)
-    return result
+        try:
+            found = df.agg(*(F.corr(value[a], value[b]).alias(f"r{i}") for i, (a, b) in enumerate(chunk))).first()
+        except (ArithmeticException, SparkRuntimeException) as error:
+            if "DIVIDE_BY_ZERO" not in str(error):
+                raise
+            found = df.agg(*(_guarded(value[a], value[b]).alias(f"r{i}") for i, (a, b) in enumerate(chunk))).first()
+        rows += [(a, b, r) for (a, b), r in zip(chunk, found, strict=True)]
+    return df.sparkSession.createDataFrame(rows, "column_a string, column_b string, correlation double")
 
 
 def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -50,7 +47,12 @@ def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _pairwise(df, pairs, {c: number(df.schema[c]) for c in columns})
 
 
-def spearman_matrix(df: DataFrame, columns: Sequence[str], single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
+def spearman_matrix(
+    df: DataFrame,
+    columns: Sequence[str],
+    single_task_rows: int = SINGLE_TASK_ROWS,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
     """Pearson correlation of average ranks, upper triangle with diagonal.
 
     Columns must be free of nulls; for a pair with nulls use ``spearman``, which ranks the complete
@@ -58,11 +60,12 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str], single_task_rows: int
     ranked once and never gathers its rows in one task.
     """
     values = {c: number(df.schema[c]) for c in columns}
-    ranks = average_ranks(df, values, single_task_rows)
+    ranks = materialise(average_ranks(df, values, single_task_rows), "ranks")
+    sizes = {r["column"]: r["n"] for r in ranks.groupBy("column").agg(F.count("*").alias("n")).collect()}
     ranked = df.select(*(values[c].alias(c) for c in columns))
     for c in columns:
         table = ranks.where(F.col("column") == c)
-        fits = small_enough(table.select("value", "average_rank"))
+        fits = sizes.get(c, 0) <= broadcast_rows
         ranked = lookup(
             ranked, c, table, "value", "average_rank", f"_rank_{c}", F.lit(None).cast("double"), "count", fits
         )

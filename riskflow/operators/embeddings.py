@@ -18,7 +18,7 @@ from riskflow.config import OTHER
 from riskflow.functions.scalars import number, quoted
 from riskflow.operators.categorical import apply_category_mapping, fit_category_mapping
 from riskflow.operators.ordering import row_positions
-from riskflow.session import materialise, materialise_table, spread
+from riskflow.session import materialise, spread
 
 MAX_TOKENS = 200_000
 MAX_PARTITIONS = 256
@@ -128,7 +128,7 @@ def fit_row_encoder(
             budget = max_tokens - len(categorical) - (bins + 1) * len(numeric)
             grouping = _within(fit_category_mapping(df, categorical), max(1, budget))
     encoder = RowEncoder(list(categorical), list(numeric), splits, grouping, None, size)
-    sentences = spread(materialise_table(encoder.tokens(df).select("_tokens"), "sentences"))
+    sentences = spread(materialise(encoder.tokens(df).select("_tokens"), "sentences"))
     word2vec = Word2Vec(
         vectorSize=size,
         inputCol="_tokens",

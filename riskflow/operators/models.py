@@ -19,7 +19,7 @@ from riskflow.functions.scalars import number, quoted
 from riskflow.operators import metrics
 from riskflow.operators.ordering import running_total
 from riskflow.operators.sampling import with_class_weights
-from riskflow.session import materialise_table, spread
+from riskflow.session import materialise, spread
 
 # Defaults for the two uses of boosted trees: the trained model and the quick look.
 TRAINING_PARAMS = {"maxIter": 1000, "stepSize": 0.1, "maxDepth": 5, "seed": 42}
@@ -102,7 +102,7 @@ class _BoostedTrees(TabularModel):
         prepared = self._prepare(self._weighted(df))
         inputs = [c for c in prepared.columns if c.startswith(("_text_", "_value_", "_missing_"))]
         extra = [c for c in ("_weight", self.validation) if c and c in prepared.columns]
-        table = materialise_table(
+        table = materialise(
             prepared.select(quoted(self.label).cast("double").alias("_label"), *(quoted(c) for c in [*inputs, *extra])),
             "training",
         )

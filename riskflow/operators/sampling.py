@@ -10,7 +10,7 @@ from riskflow.functions.hashing import hash_bucket, hash_fraction, hash_text
 from riskflow.functions.scalars import quoted
 from riskflow.operators.joins import semi_join
 from riskflow.operators.ordering import SINGLE_TASK_ROWS, row_positions
-from riskflow.session import materialise_table
+from riskflow.session import materialise
 
 MAX_CLASSES = 1000
 
@@ -73,7 +73,7 @@ def stratified_folds(
         raise ValueError("folds must be at least 2")
     hashed = df.withColumn("_hash", hash_text(key, seed))
     if df.count() > single_task_rows:
-        hashed = materialise_table(hashed, "hashed")
+        hashed = materialise(hashed, "hashed")
     placed = row_positions(hashed, [label], [F.col("_hash"), quoted(key)], "_position", single_task_rows)
     return placed.withColumn(name, F.pmod(F.col("_position") - 1, F.lit(folds)).cast("int")).drop("_hash", "_position")
 

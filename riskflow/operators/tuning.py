@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from riskflow.operators.sampling import hashed_folds, stratified_folds
-from riskflow.session import materialise_table, spread
+from riskflow.session import materialise, spread
 
 log = logging.getLogger(__name__)
 
@@ -96,7 +96,7 @@ class RandomSearch:
             if exact_folds
             else hashed_folds(df, key, self.folds, self.seed, "_fold")
         )
-        table = spread(materialise_table(folded, "folds"))
+        table = spread(materialise(folded, "folds"))
 
         def one_fold(fold: int, params: dict[str, Any]) -> float:
             model = train(table.where(F.col("_fold") != fold).drop("_fold"), params)

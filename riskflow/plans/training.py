@@ -16,7 +16,7 @@ from riskflow.operators.calibration import calibrate, fit_isotonic
 from riskflow.operators.metrics import classification_report, metrics_by_set
 from riskflow.operators.models import BoostedTreesClassifier
 from riskflow.operators.sampling import split_rows, undersample_negatives
-from riskflow.session import materialise_table
+from riskflow.session import materialise
 from riskflow.sources.artefacts import write_settings
 from riskflow.sources.tables import write_csv_report
 
@@ -71,7 +71,7 @@ def train_and_judge(
         train = undersample_negatives(train, label, keys, seed)
     model = BoostedTreesClassifier(categorical, numeric, label, balanced=balance == "weights", **params).fit(train)
     raw = model.predict_proba(rows.select(*(quoted(c) for c in dict.fromkeys([*keys, label, *categorical, *numeric, "set"]))), "score")
-    written = materialise_table(raw, "scores")
+    written = materialise(raw, "scores")
     calibrator = fit_isotonic(written.where(F.col("set") == calibration_set), label, "score")
     scored = calibrate(written, calibrator, "score", "calibrated")
     return TrainingResult(model, calibrator, scored, metrics_by_set(scored, label, "calibrated", "score"), label)

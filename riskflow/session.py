@@ -54,14 +54,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to reliable storage once, so that later jobs neither recompute nor re-order it."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialise(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
 
-
-def materialise_table(df: DataFrame, label: str) -> DataFrame:
-    """Like ``materialise`` for wide or large tables: columnar, compressed, prunable when read back."""
+    Cuts the lineage: later jobs neither recompute nor re-order it, and a lost executor takes nothing
+    with it. The copy is columnar, so later scans prune it, and its size and row count are known.
+    """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -95,12 +95,10 @@ def test_pearson_in_several_jobs(spark, monkeypatch, tables):
     assert rows(correlation.pearson_matrix(tables("lineitem"), names)) == whole
 
 
-def test_spearman_on_the_range_and_shuffle_paths(tables, monkeypatch):
+def test_spearman_on_the_range_and_shuffle_paths(tables):
     names = ["l_quantity", "l_extendedprice"]
     whole = rows(correlation.spearman_matrix(tables("lineitem"), names))
-    monkeypatch.setattr("riskflow.operators.joins.BROADCAST_ROWS", 0)
-    monkeypatch.setattr(correlation, "small_enough", lambda table: False)
-    other = rows(correlation.spearman_matrix(tables("lineitem"), names, single_task_rows=10))
+    other = rows(correlation.spearman_matrix(tables("lineitem"), names, single_task_rows=10, broadcast_rows=0))
     assert [(a, b, round(r, 9)) for a, b, r in other] == [(a, b, round(r, 9)) for a, b, r in whole]
 
 
