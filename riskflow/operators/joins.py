@@ -14,11 +14,16 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 HOT_VALUES = 20_000
 
 
-def left_join(left: DataFrame, right: DataFrame, key: str | Sequence[str]) -> DataFrame:
+def left_join(
+    left: DataFrame, right: DataFrame, key: str | Sequence[str], right_unique: bool = True
+) -> DataFrame:
     """All left rows; the right columns that the left does not have, after the left columns.
 
     The join strategy is left to the optimiser: adaptive execution picks broadcast or sort-merge by
-    measured size and splits left partitions that a frequent key makes large.
+    measured size and splits left partitions that a frequent key makes large. In an outer join it cannot
+    split the right side, so a right table that may repeat a key often should come with
+    ``right_unique=False``: matches are then found by an inner join, where both sides can be split, and
+    left rows without a match are added.
     """
     keys = [key] if isinstance(key, str) else list(key)
     for side, name in ((left, "left"), (right, "right")):
@@ -26,7 +31,13 @@ def left_join(left: DataFrame, right: DataFrame, key: str | Sequence[str]) -> Da
         if absent:
             raise ValueError(f"join key {absent} not in the {name} table")
     added = [c for c in right.columns if c not in left.columns]
-    return left.join(right.select(*keys, *added), keys, "left").select(*left.columns, *added)
+    wanted = right.select(*keys, *added)
+    if right_unique:
+        return left.join(wanted, keys, "left").select(*left.columns, *added)
+    matched = left.join(wanted, keys, "inner").select(*left.columns, *added)
+    alone = left.join(right.select(*keys).distinct(), keys, "left_anti")
+    nothing = [F.lit(None).cast(right.schema[c].dataType).alias(c) for c in added]
+    return matched.unionByName(alone.select(*left.columns, *nothing))
 
 
 def semi_join(df: DataFrame, kept: DataFrame, key: str | Sequence[str]) -> DataFrame:

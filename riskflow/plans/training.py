@@ -1,4 +1,4 @@
-"""Split, train, calibrate and judge (section "make train" of the blueprint; MDL-1, 7; MET-5, 7)."""
+"""Split, train, calibrate and judge (MDL-1, 7; MET-5, 7)."""
 
 from __future__ import annotations
 

@@ -32,6 +32,17 @@ def left_join_identity(spark, folder):
     return labelled_documents(spark, folder)
 
 
+@query(
+    "left_join_many",
+    "SELECT c_custkey, c_mktsegment, o_orderkey, o_totalprice FROM customer LEFT JOIN orders ON c_custkey = o_custkey",
+)
+def left_join_many(spark, folder):
+    """A right side that repeats the key."""
+    orders = table(spark, folder, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    joined = joins.left_join(table(spark, folder, "customer"), orders, "c_custkey", right_unique=False)
+    return joined.select("c_custkey", "c_mktsegment", "o_orderkey", "o_totalprice")
+
+
 @query(
     "non_null_counts",
     " UNION ALL ".join(

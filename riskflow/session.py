@@ -66,10 +66,10 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
 
 
 def spread(table: DataFrame) -> DataFrame:
-    """Deal a scan out over all cores when it has fewer partitions than that.
+    """Write a scan out again in one file per core when it has fewer partitions than cores.
 
-    For work that costs far more than the shuffle, such as training. A table with at least as many
+    For tables that are read many times by costly work, such as training. A table with at least as many
     partitions as cores, which any large one is, stays as it is.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    return materialise(table.repartition(cores), "spread") if table.rdd.getNumPartitions() < cores else table

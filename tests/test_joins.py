@@ -14,6 +14,19 @@ def test_left_join_keeps_left_rows_and_left_columns(spark):
     assert rows(out) == [(1, "a", 9), (2, "b", None)]
 
 
+@pytest.mark.parametrize("broadcast", ["-1", "10485760"])
+def test_left_join_with_repeated_right_keys(spark, broadcast):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        left = spark.createDataFrame([(1, "a"), (1, "c"), (2, "b"), (None, "n")], "k int, v string")
+        right = spark.createDataFrame([(1, 9), (1, 8), (3, 7), (None, 6)], "k int, w int")
+        for unique in (True, False):
+            out = rows(left_join(left, right, "k", unique))
+            assert out == [(None, "n", None), (1, "a", 8), (1, "a", 9), (1, "c", 8), (1, "c", 9), (2, "b", None)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_left_join_needs_the_key(spark):
     left = spark.createDataFrame([(1,)], "k int")
     with pytest.raises(ValueError, match="right"):
