@@ -159,12 +159,7 @@ def metrics_by_set(
     )
     gap = F.when(F.col("bin").between(0, n_bins - 1), F.abs(F.col("hits") - F.col("mass"))).otherwise(F.lit(0.0))
     ece = bins.groupBy(by).agg((F.sum(gap) / F.sum("rows")).alias("ece"))
-    # One row per set on each side.
-    return (
-        auc.join(F.broadcast(rates), by)
-        .join(F.broadcast(ece), by)
-        .select("roc_auc", "f1_score", "precision", "recall", "ece", by)
-    )
+    return auc.join(rates, by).join(ece, by).select("roc_auc", "f1_score", "precision", "recall", "ece", by)
 
 
 def classification_report(df: DataFrame, label: str, prediction: str | Column) -> DataFrame:

@@ -3,7 +3,7 @@
 ``Window.orderBy`` without ``partitionBy`` (or partitioned by a handful of column names or labels)
 moves every row of a group to one task. Up to a counted number of rows that is the cheapest plan. Past
 it the table is range-partitioned, each range is summed on its own, and the totals of the ranges before
-it are added. There are only as many range totals as ranges, so they are safe to broadcast.
+it are added.
 """
 
 from __future__ import annotations
@@ -61,7 +61,7 @@ def running_total(
     zero = F.lit(0)
     return (
         placed.select("*", *(F.sum(a).over(inside).alias(f"_inside_{n}") for n, a in amounts.items()))
-        .join(F.broadcast(before), ["_range", *group], "left")
+        .join(before, ["_range", *group], "left")  # both sides are already partitioned this way
         .select(
             *(F.col(c) for c in table.columns),
             *((F.col(f"_inside_{n}") + F.coalesce(f"_before_{n}", zero)).alias(n) for n in amounts),
