@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 SLICE_BYTES = 1 << 20
@@ -42,7 +43,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
 
 def byte_offsets(column: pa.Array) -> np.ndarray:
     """Offsets of the values of a binary array from its first byte; nulls are empty."""
-    lengths = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     return np.concatenate(([0], np.cumsum(lengths.astype(np.int64))))
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm import chat, exact_dedup, mixing, packing, token_counts, tokens
+from riskflow.llm import chat, exact_dedup, fingerprints, mixing, ngram_join, packing, token_counts, tokens, toxicity
 from riskflow.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,18 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    model = toxicity.train(documents, labels.where(~toxicity.held_out("doc_id")))
+    scored = toxicity.score(documents.select("doc_id", "text"), model, "text", "score")
+    return scored.select(
+        "doc_id",
+        toxicity.held_out("doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     tokens.write_tokens(_table(spark, folder, "documents"), path, tokens.tokenizer_path())
@@ -40,6 +52,14 @@ def digested(packed: DataFrame) -> DataFrame:
     )
 
 
+def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprint_pairs(_table(spark, folder, "documents"))
+
+
+def op7_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.jaccard_components(_table(spark, folder, "documents"))
+
+
 PROBE = "</s>[INST] ok [/INST]"
 
 
@@ -128,6 +148,9 @@ FROM draws d JOIN sums s ON d.source IS NOT DISTINCT FROM s.source AND s.total <
 """
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_token_files, op4_token_counts, op5_packing, op8_chat, op9_exact_dedup, op10_mixing)
-}
+    f.__name__: f for f in (
+        op1_toxicity, op2_token_files, op4_token_counts, op5_packing, op6_fingerprints, op7_jaccard,
+        op8_chat, op9_exact_dedup, op10_mixing,
+    )
+}
 ORACLES: dict[str, str] = {"op9_exact_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
