@@ -99,8 +99,8 @@ class RollingHash:
 
     def windows(self, width: int) -> np.ndarray:
         """Hash of the ``width`` bytes from every position that has so many."""
-        n = len(self._sums) - width
-        return (self._sums[width:] - self._sums[:n]) * self._back[:n] if n > 0 else np.zeros(0, np.uint64)
+        n = max(0, len(self._sums) - width)
+        return (self._sums[width:] - self._sums[:n]) * self._back[:n]
 
 
 _SPACE = np.zeros(256, dtype=bool)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm import chat, exact_dedup, fingerprints, mixing, ngram_join, packing, token_counts, tokens, toxicity
+from riskflow.llm import chat, exact_dedup, fingerprints, mixing, ngram_join, packing, repeats, token_counts, tokens, toxicity
 from riskflow.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,15 @@ def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = repeats.remove_repeats(_table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return cleaned.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, folder, "documents"), tokens.tokenizer_path("piece_bpe_32k.model"))
 
@@ -149,7 +158,7 @@ FROM draws d JOIN sums s ON d.source IS NOT DISTINCT FROM s.source AND s.total <
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
-        op1_toxicity, op2_token_files, op4_token_counts, op5_packing, op6_fingerprints, op7_jaccard,
+        op1_toxicity, op2_token_files, op3_repeats, op4_token_counts, op5_packing, op6_fingerprints, op7_jaccard,
         op8_chat, op9_exact_dedup, op10_mixing,
     )
 }
