@@ -5,18 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskflow.llm import exact_dedup, mixing, packing, queries, tokens
+from riskflow.llm import exact_dedup, mixing, ngram_join, packing, queries, tokens, toxicity
+from riskflow.llm.common import fresh
 from riskflow.session import materialise
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones, doesn't reject."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    (score,) = fresh(docs, "toxicity")
+    return toxicity.score(docs, model, "text", score).where(F.col(score) < toxicity.THRESHOLD).drop(score)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of texts that are equal without white space."""
     return exact_dedup.keep_first(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that is linked by a Jaccard similarity of 0.75 or more of five-word shingles."""
+    return ngram_join.keep_one(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's rate draws, in mixed order."""
     return mixing.poisson_mix(docs, mixing.source_rates(docs))
@@ -28,7 +42,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
     ("exact_dedup", drop_copies),
+    ("ngram_jaccard", drop_near_copies),
     ("mixing", mix_sources),
     ("packing", pack),
 ]

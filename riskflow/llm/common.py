@@ -8,7 +8,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -27,6 +28,24 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
+def row_identity(key: str, text: str) -> list[Column]:
+    """What tells a row from others: whether the key is null, the key, and a hash of the text."""
+    known = F.col(f"`{key}`").cast("bigint")
+    return [known.isNull(), F.coalesce(known, F.lit(0).cast("bigint")), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))]
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of ``docs`` whose identity is in ``kept`` (unknown, id, tie, every; each identity once): all of them with
+    ``every``, else one. One shuffle of the rows, which the choice of one reuses."""
+    names = fresh(docs, "unknown_key", "known_key", "text_tie", "every_row", "row_number", "row_hash")
+    marked = docs.select("*", *(c.alias(n) for c, n in zip(row_identity(key, text), names, strict=False)))
+    right = kept.select(*(F.col(c).alias(n) for c, n in zip(("unknown", "id", "tie", "every"), names, strict=False)))
+    joined = marked.join(right, names[:3]).withColumn(names[5], F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    window = Window.partitionBy(*names[:3]).orderBy(names[5])
+    chosen = joined.withColumn(names[4], F.row_number().over(window)).where(F.col(names[3]) | (F.col(names[4]) == 1))
+    return chosen.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the binary ``column`` holds at most ``limit`` bytes, or one row."""
     for batch in batches:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskflow.llm.common import fresh
+from riskflow.llm.common import fresh, keep_rows, row_identity
 from riskflow.session import materialise
 
 SPACES = b" \t\n\x0b\x0c\r"
@@ -184,6 +184,21 @@ def with_digests(docs: DataFrame, text: str, name: str) -> DataFrame:
     return wide.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
 
 
+def _digested(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The narrow table that the rest works on: identity, number of code points, digest and row number."""
+    names = ("unknown", "id", "tie")
+    narrow = docs.select(
+        *(c.alias(n) for c, n in zip(row_identity(key, text), names, strict=True)),
+        F.coalesce(F.length(F.col(f"`{text}`")), F.lit(0)).cast("bigint").alias("characters"),
+        F.col(f"`{text}`").alias("text"),
+    )
+    digested = with_digests(narrow, "text", "digest").select(
+        F.when(~F.col("unknown"), F.col("id")).alias("id"), "tie", "characters", "digest",
+        F.monotonically_increasing_id().alias("row"), F.lit(1).cast("bigint").alias("copies"),
+    )
+    return materialise(digested, "digests")
+
+
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: key, keep_id, group_size, kept, digest.
 
@@ -191,17 +206,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     key comes last, a null text is empty. Of rows with the same key and length exactly one is ``kept``. An empty
     table gives no rows. Other columns are not read, so their names don't matter.
     """
-    narrow = docs.select(
-        F.col(f"`{key}`").cast("bigint").alias("id"),
-        F.coalesce(F.length(F.col(f"`{text}`")), F.lit(0)).cast("bigint").alias("characters"),
-        F.col(f"`{text}`").alias("text"),
-    )
-    rows = materialise(
-        with_digests(narrow, "text", "digest")
-        .select("id", "characters", "digest", F.monotonically_increasing_id().alias("row"), F.lit(1).cast("bigint").alias("copies")),
-        "digests",
-    )
-    return _judged(rows).select(F.col("id").alias(key), "keep_id", "group_size", "kept", "digest")
+    return _judged(_digested(docs, key, text)).select(F.col("id").alias(key), "keep_id", "group_size", "kept", "digest")
 
 
 def _judged(rows: DataFrame) -> DataFrame:
@@ -214,19 +219,10 @@ def _judged(rows: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that ``exact_groups`` would not keep; all columns, whatever their names."""
-    names = fresh(docs, "digest", "row")
-    whole = materialise(
-        with_digests(docs, text, names[0]).withColumn(names[1], F.monotonically_increasing_id()), "documents"
-    )
-    rows = whole.select(
-        F.col(f"`{names[0]}`").alias("digest"),
-        F.coalesce(F.length(F.col(f"`{text}`")), F.lit(0)).cast("bigint").alias("characters"),
-        F.col(f"`{key}`").cast("bigint").alias("id"),
-        F.col(names[1]).alias("row"),
-        F.lit(1).cast("bigint").alias("copies"),
+    kept = _judged(_digested(docs, key, text)).where("kept").select(
+        F.col("id").isNull().alias("unknown"), F.coalesce("id", F.lit(0)).alias("id"), "tie", F.lit(False).alias("every")
     )
-    kept = _judged(rows).where("kept").select(F.col("row").alias(names[1]))
-    return whole.join(kept, names[1], "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return keep_rows(docs, kept, key, text)
 
 
 def apply_changes(live: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskflow.llm.common import RollingHash, bytes_of, fresh, mix, slices, word_bounds
+from riskflow.llm.common import RollingHash, bytes_of, keep_rows, mix, row_identity, slices, word_bounds
 from riskflow.llm.components import components
 from riskflow.session import materialise
 
@@ -79,7 +79,7 @@ _BUCKETS = 1 << BUCKET_BITS
 
 
 def _nodes(docs: DataFrame, words: int) -> DataFrame:
-    """Rows (id, node, size, bitmap) of documents, and rows (part, counts) of each task's bucket counts."""
+    """Rows (id, tie, node, size, bitmap) of documents, and rows (part, counts) of each task's bucket counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(_BUCKETS, np.int32)
@@ -89,7 +89,7 @@ def _nodes(docs: DataFrame, words: int) -> DataFrame:
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id"), pa.array(_node(values, first)), pa.array(np.diff(first)),
+                    batch.column("id"), batch.column("tie"), pa.array(_node(values, first)), pa.array(np.diff(first)),
                     pa.array([b.tobytes() for b in _bitmaps(values, first)], pa.binary()),
                     pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
                 ],
@@ -99,16 +99,16 @@ def _nodes(docs: DataFrame, words: int) -> DataFrame:
             parts = np.split(counts, PARTS)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(pa.nulls(PARTS, pa.int64()) for _ in range(3)), pa.nulls(PARTS, pa.binary()),
+                    *(pa.nulls(PARTS, pa.int64()) for _ in range(4)), pa.nulls(PARTS, pa.binary()),
                     pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()),
                 ],
                 names=_NODE_NAMES,
             )
 
-    return docs.mapInArrow(run, "id bigint, node bigint, size bigint, bitmap binary, part int, counts binary")
+    return docs.mapInArrow(run, "id bigint, tie bigint, node bigint, size bigint, bitmap binary, part int, counts binary")
 
 
-_NODE_NAMES = ["id", "node", "size", "bitmap", "part", "counts"]
+_NODE_NAMES = ["id", "tie", "node", "size", "bitmap", "part", "counts"]
 
 
 def _bucket_counts(nodes: DataFrame) -> np.ndarray:
@@ -304,10 +304,12 @@ def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def jaccard_nodes(docs: DataFrame, key: str, text: str, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
-    """Documents (id, node, size) and components (node, root) of the nodes that have links."""
-    chosen = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("binary").alias("text"))
+    """Documents (id, tie, node, size) and components (node, root) of the nodes that have links."""
+    chosen = docs.select(
+        F.col(f"`{key}`").cast("bigint").alias("id"), row_identity(key, text)[2].alias("tie"), F.col(f"`{text}`").cast("binary").alias("text")
+    )
     every = materialise(_nodes(chosen, words), "nodes")
-    documents = every.where("part IS NULL").select("id", "node", "size")
+    documents = every.where("part IS NULL").select("id", "tie", "node", "size")
     nodes = materialise(
         every.where("part IS NULL AND size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("bitmap").alias("bitmap"), F.min("id").alias("id")), "nodes"
     )
@@ -361,14 +363,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component: that with the smallest key, of rows with the same key one; documents
     without words all stay. All columns, whatever their names."""
-    row, kept = fresh(docs, "row", "kept")
-    whole = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
-    found = jaccard_components(whole.select(F.col(row).alias("doc_id"), F.col(f"`{text}`").alias("text")))
-    ids = whole.select(F.col(row).alias("doc_id"), F.col(f"`{key}`").alias("key"))
-    order = F.struct(F.col("key").isNull(), "key", "doc_id")
-    stays = (
-        found.join(ids, "doc_id")
-        .groupBy("component_id").agg(F.min(order).alias("best"))
-        .select(F.col("best.doc_id").alias(kept))
-    )
-    return whole.join(stays, F.col(row) == F.col(kept), "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    documents, roots = jaccard_nodes(docs, key, text)
+    joined = documents.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    identity = F.struct(F.col("id").isNull().alias("unknown"), F.coalesce("id", F.lit(0)).alias("id"), "tie")
+    best = joined.where("size > 0").groupBy("root").agg(F.min(identity).alias("row")).select("row.*", F.lit(False).alias("every"))
+    empty = joined.where("size = 0").select(identity.alias("row")).distinct().select("row.*", F.lit(True).alias("every"))
+    return keep_rows(docs, best.unionByName(empty), key, text)
