@@ -5,8 +5,8 @@
 2. Two sets with a Jaccard similarity of t share a shingle among the first ``size - ceil(t * size) + 1`` of each in any
    common order. Those shingles meet in a shuffle; as rare ones come first, few documents meet at each.
 3. Where documents of different components meet, they are compared in tiles of size bands: members in order of size, each tile
-   with those within the ratio t. The number of bits that two bitmaps have in common bounds the overlap from above; pairs that
-   may link are verified by intersecting their sorted arrays of shingles.
+   with those within the ratio t. Bits that one bitmap has and the other lacks bound the overlap from above, first in short
+   bitmaps within the tiles, then in longer ones for the pairs left; pairs that may link are verified by intersecting their sorted arrays of shingles.
 
 Rounds: first each node is tried with the partner that it meets most often. Verified links join nodes to components, which
 settles large groups of near copies with one test a member. Then all pairs of different components that still meet are
@@ -28,9 +28,10 @@ from riskflow.session import materialise
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
-BITS = 512
-BUCKET_BITS = 18
-PARTS = 16
+BITS = 4096
+COARSE_BITS = 512
+BUCKET_BITS = 20
+PARTS = 64
 TILE = 1024
 
 _STEP = mix(np.arange(11, 11 + WORDS, dtype=np.uint64)) | np.uint64(1)
@@ -69,13 +70,14 @@ def _node(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (mix(total + size.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
 
 
-def _bitmaps(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    bits = np.zeros((len(first) - 1, BITS), dtype=bool)
-    bits[np.repeat(np.arange(len(first) - 1), np.diff(first)), (values >> np.uint64(40)) % np.uint64(BITS)] = True
+def _bitmaps(values: np.ndarray, first: np.ndarray, size: int = BITS) -> np.ndarray:
+    bits = np.zeros((len(first) - 1, size), dtype=bool)
+    bits[np.repeat(np.arange(len(first) - 1), np.diff(first)), (values >> np.uint64(40)) % np.uint64(size)] = True
     return np.packbits(bits, axis=1)
 
 
 _BUCKETS = 1 << BUCKET_BITS
+_WIDTHS = {_BUCKETS // PARTS * n: t for n, t in ((1, np.uint8), (2, np.uint16), (4, np.int32))}
 
 
 def _nodes(docs: DataFrame, words: int) -> DataFrame:
@@ -90,25 +92,26 @@ def _nodes(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"), batch.column("tie"), pa.array(_node(values, first)), pa.array(np.diff(first)),
-                    pa.array([b.tobytes() for b in _bitmaps(values, first)], pa.binary()),
+                    *(pa.array([b.tobytes() for b in _bitmaps(values, first, size)], pa.binary()) for size in (BITS, COARSE_BITS)),
                     pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
                 ],
                 names=_NODE_NAMES,
             )
         if counts.any():
-            parts = np.split(counts, PARTS)
+            narrow = np.uint8 if counts.max() < 1 << 8 else np.uint16 if counts.max() < 1 << 16 else np.int32
+            parts = np.split(counts.astype(narrow), PARTS)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(pa.nulls(PARTS, pa.int64()) for _ in range(4)), pa.nulls(PARTS, pa.binary()),
+                    *(pa.nulls(PARTS, pa.int64()) for _ in range(4)), *(pa.nulls(PARTS, pa.binary()) for _ in range(2)),
                     pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()),
                 ],
                 names=_NODE_NAMES,
             )
 
-    return docs.mapInArrow(run, "id bigint, tie bigint, node bigint, size bigint, bitmap binary, part int, counts binary")
+    return docs.mapInArrow(run, "id bigint, tie bigint, node bigint, size bigint, bitmap binary, coarse binary, part int, counts binary")
 
 
-_NODE_NAMES = ["id", "tie", "node", "size", "bitmap", "part", "counts"]
+_NODE_NAMES = ["id", "tie", "node", "size", "bitmap", "coarse", "part", "counts"]
 
 
 def _bucket_counts(nodes: DataFrame) -> np.ndarray:
@@ -118,7 +121,7 @@ def _bucket_counts(nodes: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(counts, np.int32).astype(np.int64)
+                sums[part] = sums.get(part, 0) + np.frombuffer(counts, _WIDTHS[len(counts)]).astype(np.int64)
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["part", "counts"]
         )
@@ -208,8 +211,8 @@ def _enough(overlap, a_size, b_size):
     return DENOMINATOR * overlap >= NUMERATOR * (a_size + b_size - overlap)
 
 
-def _bits(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+def _bits(column: pa.ChunkedArray | pa.Array, size: int = BITS) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, size // 64)
 
 
 def _tiles(key: int, node, size, root, bits) -> Iterator[np.ndarray]:
@@ -238,7 +241,7 @@ def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     table = pa.Table.from_batches(held)
     key, node, size, root = (table.column(n).to_numpy() for n in ("key", "node", "size", "root"))
-    bits = _bits(table.column("bitmap"))
+    bits = _bits(table.column("coarse"), COARSE_BITS)
     order = np.argsort(key, kind="stable")
     edges = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1], [True])))
     found: set[tuple[int, int]] = set()
@@ -311,7 +314,7 @@ def jaccard_nodes(docs: DataFrame, key: str, text: str, words: int = WORDS) -> t
     every = materialise(_nodes(chosen, words), "nodes")
     documents = every.where("part IS NULL").select("id", "tie", "node", "size")
     nodes = materialise(
-        every.where("part IS NULL AND size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("bitmap").alias("bitmap"), F.min("id").alias("id")), "nodes"
+        every.where("part IS NULL AND size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("bitmap").alias("bitmap"), F.first("coarse").alias("coarse"), F.min("id").alias("id")), "nodes"
     )
     sample = nodes.select("node", "id")
     prefixes = _prefixes(chosen, _bucket_counts(every), words)
@@ -332,12 +335,12 @@ def jaccard_nodes(docs: DataFrame, key: str, text: str, words: int = WORDS) -> t
     rooted = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = materialise(rooted, "meetings")
     apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    open_rows = rooted.join(apart, "key").join(nodes.select("node", "bitmap"), "node")
+    open_rows = rooted.join(apart, "key").join(nodes.select("node", "coarse"), "node")
     pairs = (
-        open_rows.select("key", "node", "size", "root", "bitmap").repartition("key")
+        open_rows.select("key", "node", "size", "root", "coarse").repartition("key")
         .mapInArrow(_all_pairs, "a bigint, b bigint").distinct().join(tried, ["a", "b"], "left_anti")
     )
-    rest = materialise(pairs, "pairs")
+    rest = materialise(_bounded(pairs, nodes), "pairs")
     if not rest.isEmpty():
         links = links.unionByName(_verified(rest, chosen, sample, words))
         roots = components(links)
