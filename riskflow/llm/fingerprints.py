@@ -13,6 +13,7 @@ fixed size whatever the number of words, and no document is ever joined with its
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -114,13 +115,15 @@ def _total(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0), lambda s, x: s + x)
 
 
-def with_next(df: DataFrame, key: str, carried: list[str], prefix: str) -> DataFrame:
-    """Append each ``carried`` column of the next row, by descending ``key``; after the last comes the first.
+def with_next(df: DataFrame, key: str, text: str, derive: Callable[[DataFrame], DataFrame], derived: str, prefix: str) -> DataFrame:
+    """``derive(df)``, which appends ``derived``, with ``text`` and ``derived`` of the next row by descending ``key`` under
+    ``prefix``; after the last row comes the first.
 
-    ``key`` is a bigint; null comes last, equal keys by a hash of the row. Rows go to ranges of the key, one shuffle; the
+    ``key`` is a bigint; null comes last, equal keys by a hash of the text. Rows go to ranges of the key, one shuffle; the
     last row of a range takes what the first row of the next range has, from a table of one row a range.
     """
-    part, tie, place, order = fresh(df, "range", "tie", "place", "range_order")
+    carried = [text, derived]
+    part, tie, order = fresh(df, "range", "tie", "range_order")
     session = df.sparkSession
     parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), 1)
     coarse, fine = min(parts, COARSE), -(-parts // COARSE)
@@ -132,23 +135,23 @@ def with_next(df: DataFrame, key: str, carried: list[str], prefix: str) -> DataF
     low, high = F.get(steps, cell - 1), F.get(steps, cell)
     inner = F.when((cell > 0) & (high > low), F.floor((F.col(key) - low) * fine / (high - low))).otherwise(F.lit(0))
     ranged = df.withColumn(part, F.coalesce((cell * fine + inner).cast("bigint"), F.lit(-1).cast("bigint")) if fine > 1 else F.when(F.col(key).isNull(), F.lit(-1)).otherwise(cell).cast("bigint"))
-    ranged = ranged.withColumn(tie, F.xxhash64(*(F.col(f"`{c}`") for c in carried)))
+    ranged = ranged.withColumn(tie, F.xxhash64(F.col(text)))
     window = Window.partitionBy(part).orderBy(F.col(key).desc_nulls_last(), F.col(tie).desc())
-    led = ranged.select("*", F.row_number().over(window).alias(place), *(F.lead(c).over(window).alias(f"{prefix}{c}") for c in carried), F.lead(F.lit(1)).over(window).alias(order))
+    led = derive(ranged).select("*", *(F.lead(c).over(window).alias(f"{prefix}{c}") for c in carried), F.lead(F.lit(1)).over(window).alias(order))
     # The first row of each range: its key and tie are few numbers, its other columns are read again by them.
     heads = ranged.groupBy(part).agg(F.max(F.struct(F.coalesce(F.col(key), F.lit(0)).alias("k"), F.col(tie).alias("t"))).alias("head"))
     heads = materialise(heads.select(part, "head.k", "head.t"), "heads")
     following = Window.orderBy(F.col(part).desc())
     top = heads.agg(F.max(part).alias("m"))
     chain = heads.select(F.col(part).alias("from_range"), F.coalesce(F.lead(part).over(following), top.scalar()).alias("to_range"))
-    first = (
-        ranged.join(F.broadcast(heads), part).where((F.coalesce(F.col(key), F.lit(0)) == F.col("k")) & (F.col(tie) == F.col("t")))
-        .groupBy(part).agg(*(F.first(c).alias(f"head_{c}") for c in carried))
-    )
+    # One row a range, so a table of as many rows as there are shuffle partitions.
+    found = ranged.join(F.broadcast(heads), part).where((F.coalesce(F.col(key), F.lit(0)) == F.col("k")) & (F.col(tie) == F.col("t")))
+    first = derive(materialise(found.select(part, text), "heads")).groupBy(part).agg(*(F.first(c).alias(f"head_{c}") for c in carried))
     linked = materialise(chain.join(first, F.col("to_range") == F.col(part)).drop(part, "to_range"), "heads")
     joined = led.join(linked, F.col(part) == F.col("from_range"))
     return joined.select(
         *(F.col(f"`{c}`") for c in df.columns),
+        derived,
         *(F.when(F.col(order).isNull(), F.col(f"head_{c}")).otherwise(F.col(f"{prefix}{c}")).alias(f"{prefix}{c}") for c in carried),
     )
 
@@ -167,8 +170,7 @@ def fingerprint_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """
     chosen = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     flags = lexicon(chosen, "text")
-    marked = with_fingerprint(chosen, "text", flags, "marks")
-    paired = with_next(marked, "key", ["text", "marks"], "next_")
+    paired = with_next(chosen, "key", "text", lambda df: with_fingerprint(df, "text", flags, "marks"), "marks", "next_")
     edited = paired.withColumn("edited", edited_text(F.col("text"), F.col("next_text"))).select(
         "key", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "edited", "marks", "next_marks"
     )
