@@ -21,6 +21,13 @@ COMPRESSION = "snappy"
 ECE_BINS = 10
 DECISION_THRESHOLD = 0.5
 SPLITS = ("train", "test")
+# Raw file, interim folder, whether an absent target is filled with the mark of an unknown one.
+RAW_TABLES = (
+    ("train_identity.csv", "train/identity", False),
+    ("train_transaction.csv", "train/transactions", False),
+    ("test_identity.csv", "test/identity", False),
+    ("test_transaction.csv", "test/transactions", True),
+)
 
 CATEGORICAL_FEATURES = [
     "ProductCD",

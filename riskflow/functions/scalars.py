@@ -48,6 +48,16 @@ def to_text(column: str | Column, null_token: str | None = "nan") -> Column:
     return text if null_token is None else F.coalesce(text, F.lit(null_token))
 
 
+def value_text(field: T.StructField, null_token: str | None = "nan") -> Column:
+    """Text of a column's values in one spelling: NaN is missing, a whole number has no fraction whatever its type."""
+    c = quoted(field.name)
+    if not isinstance(field.dataType, FRACTIONAL):
+        return to_text(c, null_token)
+    c = nan_to_null(c)
+    whole = (c == F.floor(c)) & (F.abs(c) < F.lit(1e15))
+    return to_text(F.when(whole, c.cast("bigint").cast("string")).otherwise(c.cast("string")), null_token)
+
+
 def to_number(column: str | Column, default: float | None = 0.0) -> Column:
     """Text or number to double; what does not parse, and NaN, becomes ``default``."""
     parsed = nan_to_null(_column(column).try_cast("double"))

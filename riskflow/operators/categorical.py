@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskflow.config import CATEGORY_SHARE, NULL_TOKEN, OTHER
-from riskflow.functions.scalars import quoted, to_text
+from riskflow.functions.scalars import quoted, value_text
 from riskflow.operators.joins import BROADCAST_BYTES, BROADCAST_ROWS, lookup
 from riskflow.operators.ordering import SINGLE_TASK_ROWS, row_positions, running_total, value_counts_long
 from riskflow.session import materialise
@@ -29,7 +29,7 @@ def fit_category_mapping(
     Values are taken most frequent first, ties by value. A value keeps its own name while the share
     covered up to and including it stays within ``share`` percent; later ones become ``other``.
     """
-    counts = materialise(value_counts_long(df, {c: to_text(quoted(c), null_token) for c in columns}))
+    counts = materialise(value_counts_long(df, {c: value_text(df.schema[c], null_token) for c in columns}))
     totals = counts.groupBy("column").agg(F.sum("count").alias("_total"))  # one row per column
     running = running_total(
         counts, ["column"], [F.desc("count"), F.asc("value")], {"cumulative_count": F.col("count")}, single_task_rows
@@ -81,7 +81,7 @@ def apply_category_mapping(
 
     replaced = {}
     for c, values in kept.items():
-        text = to_text(quoted(c), null_token)
+        text = value_text(df.schema[c], null_token)
         replaced[c] = F.when(text.isin(values), text).otherwise(F.lit(other)) if values else F.lit(other)
     result = df.withColumns(replaced) if replaced else df
     for c in columns:
@@ -91,7 +91,7 @@ def apply_category_mapping(
         fits = found[c]["n"] <= broadcast_rows and found[c]["bytes"] <= BROADCAST_BYTES
         weight = "count" if "count" in mapping.columns else None
         result = lookup(
-            result, to_text(quoted(c), null_token), table, "value", "category", c, F.lit(other), weight, fits
+            result, value_text(df.schema[c], null_token), table, "value", "category", c, F.lit(other), weight, fits
         ).select(*(quoted(n) for n in df.columns))
     return result
 
@@ -103,7 +103,7 @@ def fit_vocabulary(
 
     Index 0 is left for null and for tokens not seen here. Fit on training rows only.
     """
-    counts = materialise(value_counts_long(df, {c: quoted(c).cast("string") for c in columns}, value="token"))
+    counts = materialise(value_counts_long(df, {c: value_text(df.schema[c], None) for c in columns}, value="token"))
     placed = row_positions(counts, ["column"], [F.desc("count"), F.desc("token")], "index", single_task_rows)
     return materialise(placed.select("column", "token", F.col("index").cast("int").alias("index"), "count"))
 
@@ -132,6 +132,6 @@ def encode_vocabulary(
         fits = found[c]["n"] <= broadcast_rows and found[c]["bytes"] <= BROADCAST_BYTES
         table = vocabulary.where(F.col("column") == c)
         result = lookup(
-            result, quoted(c).cast("string"), table, "token", "index", f"{c}{suffix}", F.lit(0), "count", fits
+            result, value_text(df.schema[c], None), table, "token", "index", f"{c}{suffix}", F.lit(0), "count", fits
         )
     return result

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskflow.functions.scalars import FRACTIONAL, NUMERIC, nan_to_null, quoted, to_number, to_text
+from riskflow.functions.scalars import FRACTIONAL, NUMERIC, nan_to_null, quoted, to_number, value_text
 
 
 def numeric_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
@@ -59,7 +59,7 @@ def underscore_names(df: DataFrame) -> DataFrame:
 
 def categories_to_text(df: DataFrame, columns: Iterable[str], null_token: str | None = "nan") -> DataFrame:
     """Cast the given columns, where present, to text."""
-    return df.withColumns({c: to_text(quoted(c), null_token) for c in columns if c in df.columns})
+    return df.withColumns({c: value_text(df.schema[c], null_token) for c in columns if c in df.columns})
 
 
 def add_target_if_absent(df: DataFrame, target: str, value: int = -1) -> DataFrame:

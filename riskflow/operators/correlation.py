@@ -55,11 +55,19 @@ def spearman_matrix(
 ) -> DataFrame:
     """Pearson correlation of average ranks, upper triangle with diagonal.
 
-    Columns must be free of nulls; for a pair with nulls use ``spearman``, which ranks the complete
-    rows. Ranks are found once per distinct value and looked up, so a value shared by many rows is
+    A pair with a column that holds nulls (or NaN) is ranked within its complete rows, pair by pair. Ranks of the other
+    columns are found once per distinct value and looked up, so a value shared by many rows is
     ranked once and never gathers its rows in one task.
     """
     values = {c: number(df.schema[c]) for c in columns}
+    missing = df.agg(*(F.count_if(values[c].isNull()).alias(f"m{i}") for i, c in enumerate(columns))).first() if columns else ()
+    holed = {c for c, n in zip(columns, missing, strict=True) if n}
+    if holed:
+        whole = spearman_matrix(df, [c for c in columns if c not in holed], single_task_rows, broadcast_rows)
+        for a, b in combinations_with_replacement(columns, 2):
+            if a in holed or b in holed:
+                whole = whole.unionByName(spearman(df, a, b))
+        return whole
     ranks = materialise(average_ranks(df, values, single_task_rows), "ranks")
     sizes = {r["column"]: r["n"] for r in ranks.groupBy("column").agg(F.count("*").alias("n")).collect()}
     ranked = df.select(*(values[c].alias(c) for c in columns))
@@ -76,8 +84,9 @@ def spearman_matrix(
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """One pair, ranked within the rows where both values are present."""
     va, vb = number(df.schema[a]), number(df.schema[b])
-    complete = df.select(va.alias(a), vb.alias(b)).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    return spearman_matrix(complete, [a, b]).where((F.col("column_a") == a) & (F.col("column_b") == b))
+    complete = df.select(va.alias("x"), vb.alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    found = spearman_matrix(complete, ["x", "y"]).where("column_a = 'x' AND column_b = 'y'")
+    return found.select(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), "correlation")
 
 
 def target_correlation(df: DataFrame, target: str, columns: Sequence[str], top: int = 15) -> DataFrame:

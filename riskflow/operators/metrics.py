@@ -9,11 +9,10 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 from collections.abc import Sequence
 
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskflow.config import DECISION_THRESHOLD, ECE_BINS
+from riskflow.config import DECISION_THRESHOLD, ECE_BINS, UNKNOWN_TARGET
 from riskflow.functions.scalars import at_least, equal_width_bin, quoted, safe_ratio
 from riskflow.operators.ordering import SINGLE_TASK_ROWS, running_total
 from riskflow.session import materialise
@@ -26,6 +25,11 @@ def _labelled(df: DataFrame, label: str, *scores: str) -> DataFrame:
     return rows
 
 
+def _known(df: DataFrame, label: str) -> DataFrame:
+    """Rows whose target is there and is not the mark of an unknown one."""
+    return df.where(quoted(label).isNotNull() & (F.coalesce(quoted(label).try_cast("double"), F.lit(0.0)) != UNKNOWN_TARGET))
+
+
 def roc_auc(
     df: DataFrame, label: str, score: str, by: Sequence[str] = (), single_task_rows: int = SINGLE_TASK_ROWS
 ) -> DataFrame:
@@ -163,10 +167,13 @@ def metrics_by_set(
 
 
 def classification_report(df: DataFrame, label: str, prediction: str | Column) -> DataFrame:
-    """(label, precision, recall, f1_score, support) per class, then accuracy and the two averages."""
+    """(label, precision, recall, f1_score, support) per class, then accuracy and the two averages.
+
+    Rows with an unknown target take no part. The summary rows are told apart from classes of the same name.
+    """
     yhat = quoted(prediction) if isinstance(prediction, str) else prediction
     confusion = (
-        df.select(quoted(label).cast("string").alias("y"), yhat.cast("string").alias("yhat"))
+        _known(df, label).select(quoted(label).cast("string").alias("y"), yhat.cast("string").alias("yhat"))
         .groupBy("y", "yhat")
         .agg(F.count("*").alias("n"))
     )
@@ -197,21 +204,24 @@ def classification_report(df: DataFrame, label: str, prediction: str | Column) -
     )
     # Each class row also feeds the three summary rows, so the table is scanned once.
     summary = ("accuracy", "macro avg", "weighted avg")
-    fed = classes.withColumn("row", F.explode(F.array(F.col("label"), *(F.lit(s) for s in summary))))
+    rows = [F.struct(F.lit(True).alias("own"), F.col("label").alias("row"))]
+    rows += [F.struct(F.lit(False).alias("own"), F.lit(s).alias("row")) for s in summary]
+    fed = classes.withColumn("_row", F.explode(F.array(*rows))).select("*", "_row.own", "_row.row")
 
     def shown(name: str, accuracy: Column) -> Column:
         weighted = safe_ratio(F.sum(F.col(name) * F.col("support")), F.sum("support"))
-        row = F.col("row")
+        row = F.when(~F.col("own"), F.col("row"))
         return F.when(row == "accuracy", accuracy).when(row == "weighted avg", weighted).otherwise(F.avg(name)).alias(name)
 
     overall = safe_ratio(F.sum("right"), F.sum("support"))
     none = F.lit(None).cast("double")
     return (
-        fed.groupBy("row")
+        fed.groupBy("own", "row")
         .agg(
             shown("precision", none), shown("recall", none), shown("f1_score", overall), F.sum("support").alias("support")
         )
         .withColumnRenamed("row", "label")
+        .drop("own")
     )
 
 
@@ -220,15 +230,27 @@ def mean_squared_error(df: DataFrame, label: str, prediction: str, by: Sequence[
 
 
 def accuracy(df: DataFrame, label: str, prediction: str, by: Sequence[str] = ()) -> DataFrame:
+    """Share of rows predicted right, of those with a known target."""
     hit = (quoted(label) == quoted(prediction)).cast("double")
-    return df.groupBy(*by).agg(F.avg(hit).alias("accuracy"))
+    return _known(df, label).groupBy(*by).agg(F.avg(hit).alias("accuracy"))
 
 
 def bucketed_auc(df: DataFrame, label: str, score: str, buckets: int = 200) -> DataFrame:
-    """Approximate area from about ``buckets`` points of the curve."""
-    rows = _labelled(df, label, score).select(quoted(label).cast("double").alias("y"), quoted(score).alias("s"))
-    evaluator = BinaryClassificationEvaluator(rawPredictionCol="s", labelCol="y", numBins=buckets)
-    return df.sparkSession.createDataFrame([(float(evaluator.evaluate(rows)),)], "bucketed_auc double")
+    """Area under the curve through ``buckets`` even thresholds, the first below 0 and the last above 1, by trapezoids.
+
+    Scores between the same two thresholds are ties, so one aggregate of at most ``buckets`` rows has it all.
+    """
+    steps = buckets - 1
+    s, near = quoted(score).cast("double"), F.ceil(quoted(score) * F.lit(steps))
+    # Rounding can put a score on the wrong side of its threshold; compare with the thresholds themselves.
+    passed = near - (F.lit(1.0) * (near - 1) / steps >= s).cast("bigint") + (F.lit(1.0) * near / steps < s).cast("bigint")
+    y = quoted(label)
+    points = (
+        _labelled(df, label, score)
+        .groupBy(F.least(F.greatest(passed, F.lit(1)), F.lit(steps)).alias("passed"))
+        .agg(F.count_if(y == 1).alias("positive"), F.count_if(y == 0).alias("negative"))
+    )
+    return auc_from_points(materialise(points), "passed").withColumnRenamed("roc_auc", "bucketed_auc")
 
 
 class Metric(ABC):

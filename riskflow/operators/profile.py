@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskflow.functions.scalars import NUMERIC, is_missing, number, quoted
@@ -44,9 +44,9 @@ def group_counts(df: DataFrame, keys: Sequence[str], name: str = "count") -> Dat
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
-    """(value, count), most frequent first, ties by value."""
+    """(value, count), most frequent first, ties by value; null and NaN are no values."""
     return (
-        df.where(quoted(column).isNotNull())
+        df.where(~is_missing(df.schema[column]))
         .groupBy(quoted(column).alias("value"))
         .agg(F.count("*").alias("count"))
         .orderBy(F.desc("count"), "value")
@@ -56,7 +56,7 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 def target_distribution(df: DataFrame, target: str) -> DataFrame:
     """(target, count, percent of all rows). Nulls weigh in the total but get no row."""
     counts = df.groupBy(quoted(target).alias(target)).agg(F.count("*").alias("count"))
-    total = F.sum("count").over(Window.partitionBy(F.lit(0)))  # over the distinct targets, not the rows
+    total = df.select(F.count(F.lit(1)).alias("n")).scalar()
     return (
         counts.select(target, "count", (F.lit(100.0) * F.col("count") / total).alias("percent"))
         .where(quoted(target).isNotNull())
@@ -97,8 +97,11 @@ def _mean_std(df: DataFrame, columns: Sequence[str]) -> list[Column]:
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column_name, distinct_count), exact, nulls left out, all columns in one shuffle."""
-    values = {c: quoted(c).cast("string") for c in columns}
+    """(column_name, distinct_count), exact, null and NaN left out, all columns in one shuffle.
+
+    A text longer than its digest is counted by its SHA-256, so that long texts are not shuffled.
+    """
+    values = {c: _short(F.when(~is_missing(df.schema[c]), quoted(c)).cast("string")) for c in columns}
     found = value_counts_long(df, values).groupBy("column").agg(F.count("*").alias("n"))
     named = F.explode(F.array(*(F.lit(c) for c in columns)))
     asked = df.sparkSession.range(1).select(named.alias("column"))
@@ -108,7 +111,11 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
-    return df.select(quoted(column).alias("value")).where(F.col("value").isNotNull()).distinct()
+    return df.where(~is_missing(df.schema[column])).select(quoted(column).alias("value")).distinct()
+
+
+def _short(text: Column) -> Column:
+    return F.when(F.octet_length(text) > 64, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise(text)
 
 
 def column_profile(df: DataFrame, free_text_threshold: int = 1000) -> DataFrame:

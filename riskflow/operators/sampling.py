@@ -7,13 +7,11 @@ from pyspark.sql import functions as F
 
 from riskflow.config import SEED, TRAIN_FRACTION
 from riskflow.functions.hashing import hash_bucket, hash_fraction, hash_text
-from riskflow.functions.scalars import quoted
-from riskflow.operators.joins import semi_join
+from riskflow.functions.scalars import is_missing, quoted
+from riskflow.operators.joins import lookup, semi_join
 from riskflow.operators.ordering import SINGLE_TASK_ROWS, row_positions
 from riskflow.session import materialise
 
-MAX_CLASSES = 1000
-
 
 def sample_rows(df: DataFrame, key: str | Column | list, fraction: float, seed: int = SEED) -> DataFrame:
     """Rows whose hash falls below ``fraction``: the same rows in every run and plan."""
@@ -87,21 +85,18 @@ def hashed_folds(df: DataFrame, key: str | Column | list, folds: int = 5, seed:
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """(label, count, weight) with balanced weights ``n / (classes * count)``."""
-    counts = df.where(quoted(label).isNotNull()).groupBy(quoted(label).alias("label")).agg(F.count("*").alias("count"))
+    counts = df.where(~is_missing(df.schema[label])).groupBy(quoted(label).alias("label")).agg(F.count("*").alias("count"))
+    counts = materialise(counts, "classes")  # one scan of the rows, one row per class
     totals = counts.agg(F.sum("count").alias("n"), F.count("*").alias("k")).first()
     n, k = totals["n"] or 0, totals["k"]
     return counts.withColumn("weight", F.lit(float(n)) / (F.lit(k) * F.col("count")))
 
 
 def with_class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """Append the balanced weight of each row's class as a literal expression."""
-    rows = class_weights(df, label).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
-    weight = F.lit(None).cast("double")
-    for r in rows:
-        weight = F.when(quoted(label) == F.lit(r["label"]), F.lit(r["weight"])).otherwise(weight)
-    return df.withColumn(name, weight)
+    """Append the balanced weight of each row's class, null without a class; any number of classes."""
+    weights = materialise(class_weights(df, label), "weights")
+    found = lookup(df, quoted(label), weights, "label", "weight", name, F.lit(None).cast("double"), "count")
+    return found.select(*(quoted(c) for c in df.columns if c != name), name)
 
 
 def shuffled(df: DataFrame, key: str | Column | list, seed: int = SEED) -> DataFrame:

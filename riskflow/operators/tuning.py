@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import math
 import random
 import time
 from collections.abc import Callable, Mapping
@@ -67,7 +68,10 @@ class RandomSearch:
                 break
             params = {name: suggest(rng) for name, suggest in space.items()}
             try:
-                trial = Trial(n, float(objective(params)), params)
+                value = float(objective(params))
+                if math.isnan(value):
+                    raise ValueError("the objective is not a number")
+                trial = Trial(n, value, params)
             except Exception as error:
                 log.warning("trial %d failed: %s", n, error)
                 trial = Trial(n, WORST[direction], params, "failed")

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from urllib.parse import unquote
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,37 +26,40 @@ def require_directory(spark: SparkSession, path: str) -> None:
         raise NotADirectoryError(f"Path is not a directory: {path}")
 
 
-def extension_glob(extension: str | Sequence[str]) -> str:
-    """Case-insensitive glob for ``csv``, ``.csv`` or ``*.csv``, or several of them."""
+def _endings(extension: str | Sequence[str] | None) -> tuple[str, ...]:
+    """``csv``, ``.csv`` or ``*.csv``, or several of them, as lower-case name endings; all names without."""
+    if extension is None:
+        return ("",)
     wanted = [extension] if isinstance(extension, str) else list(extension)
-    patterns = []
-    for e in wanted:
-        name = e.lstrip("*").lstrip(".")
-        patterns.append("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in name))
-    return "*.{" + ",".join(patterns) + "}"
+    return tuple("." + e.lstrip("*").lstrip(".").lower() for e in wanted)
 
 
-def _listing(spark: SparkSession, directory: str, extension: str | Sequence[str] | None, recursive: bool) -> list[str]:
-    """Paths from Spark's own file index; no file is opened, and empty files count."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    if extension is not None:
-        reader = reader.option("pathGlobFilter", extension_glob(extension))
-    return sorted(unquote(p) for p in reader.load(directory).inputFiles())
+def _listing(spark: SparkSession, directory: str, extension: str | Sequence[str] | None, recursive: bool) -> Iterator[str]:
+    """Paths of the matching files, one by one as the file system gives them; names of any kind, empty files too."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    system = location.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = system.listFiles(location, True) if recursive else system.listStatusIterator(location)
+    endings = _endings(extension)
+    while found.hasNext():
+        status = found.next()
+        if status.isFile() and status.getPath().getName().lower().endswith(endings):
+            yield status.getPath().toString()
 
 
 def list_files(
     spark: SparkSession, directory: str, extension: str | Sequence[str] | None = None, recursive: bool = False
 ) -> DataFrame:
-    """(path) of the matching files, sorted."""
+    """(path) of the matching files, sorted; without ``recursive`` those of the folder itself only."""
     require_directory(spark, directory)
-    found = _listing(spark, directory, extension, recursive)
+    found = sorted(_listing(spark, directory, extension, recursive))
     return spark.createDataFrame([(p,) for p in found], "path string").orderBy("path")
 
 
 def file_count(spark: SparkSession, directory: str, extension: str = "parquet") -> int:
     """Number of files under a folder and its subfolders."""
-    return len(_listing(spark, directory, extension, True))
+    return sum(1 for _ in _listing(spark, directory, extension, True))
 
 
 def has_files(spark: SparkSession, directory: str, extension: str) -> bool:
-    return path_exists(spark, directory) and bool(_listing(spark, directory, extension, False))
+    """Whether the folder or a subfolder has such a file; the search ends at the first."""
+    return path_exists(spark, directory) and next(_listing(spark, directory, extension, True), None) is not None

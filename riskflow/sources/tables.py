@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskflow.config import COMPRESSION, NUMERIC_RAW_COLUMNS, TABLE_KEY, TARGET
+from riskflow.functions.scalars import quoted
 from riskflow.sources.files import file_count, has_files, path_exists
 
 
 def csv_header(spark: SparkSession, path: str) -> list[str]:
     """Column names of a CSV; reads its first line only."""
-    return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+    return spark.read.option("header", True).option("inferSchema", False).option("escape", '"').csv(path).columns
 
 
 def raw_schema(names: Sequence[str], types: Mapping[str, str] | None = None) -> str:
@@ -35,20 +36,27 @@ def read_csv(
     types: Mapping[str, str] | None = None,
     infer: bool = False,
     multiline: bool = False,
+    missing: Sequence[str] = (),
 ) -> DataFrame:
-    """CSV with a header and one schema for the whole file.
+    """CSV with a header and one schema for the whole file; a quote inside a quoted value is doubled.
 
-    ``multiline`` allows line breaks inside quoted values, at the price of one task per file.
+    ``multiline`` allows line breaks inside quoted values, at the price of one task per file. ``missing`` are
+    spellings of a missing value in text columns; in others whatever does not parse is missing.
 
     Without ``schema`` the header gives the names and ``raw_schema`` the types, so a value never
     depends on what its neighbours look like. ``infer`` costs one more pass over the file.
     """
-    reader = spark.read.option("header", True).option("multiLine", multiline)
+    reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
     if infer and schema is None:
-        return reader.option("inferSchema", True).csv(path)
+        return _without(reader.option("inferSchema", True).csv(path), missing)
     if schema is None:
         schema = raw_schema(csv_header(spark, path), types)
-    return reader.schema(schema).csv(path)
+    return _without(reader.schema(schema).csv(path), missing)
+
+
+def _without(df: DataFrame, missing: Sequence[str]) -> DataFrame:
+    text = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)] if missing else []
+    return df.withColumns({c: F.when(~quoted(c).isin(list(missing)), quoted(c)) for c in text}) if text else df
 
 
 def read_parquet(spark: SparkSession, directory: str) -> DataFrame:
@@ -104,18 +112,21 @@ def write_partitioned(
     compression: str = COMPRESSION,
     schema: T.StructType | str | None = None,
     types: Mapping[str, str] | None = None,
+    multiline: bool = False,
+    missing: Sequence[str] = (),
 ) -> int:
     """CSV to Parquet, in one folder per combination of the partition columns; returns the file count.
 
     Rows without a partition value are kept, in Spark's default partition.
     """
-    write_parquet(read_csv(spark, csv_path, schema, types), directory, rows_per_file, compression, partition_by)
+    write_parquet(read_csv(spark, csv_path, schema, types, multiline=multiline, missing=missing), directory, rows_per_file, compression, partition_by)
     return file_count(spark, directory)
 
 
 def write_csv_report(df: DataFrame, directory: str) -> None:
     """A small result as one CSV with a header."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(directory)
+    writer = df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(directory)
 
 
 def load_split(spark: SparkSession, interim: str, split: str) -> tuple[DataFrame, DataFrame]:

@@ -12,13 +12,13 @@ from riskflow.operators.categorical import fit_category_mapping
 from riskflow.plans.prepare import Preparation
 from riskflow.sources import artefacts, examples, files, tables
 
-NAMES = ["file1.csv", "file2.csv", "file3.parquet", "file4.txt", "subdir/nested.csv", "subdir/nested.parquet"]
+TREE = ["ledger.csv", "_draft.CSV", ".hidden.csv", "rates.parquet", "README", "day=1/ledger.csv", "day=1/rates.parquet", "plain/deep/rates.parquet"]
 
 
 @pytest.fixture
 def tree(tmp_path):
-    (tmp_path / "subdir").mkdir()
-    for name in NAMES:
+    for name in TREE:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).touch()
     return str(tmp_path)
 
@@ -27,16 +27,21 @@ def listed(spark, *args, **options):
     return [os.path.basename(r["path"]) for r in files.list_files(spark, *args, **options).collect()]
 
 
-@pytest.mark.parametrize(
-    "extension, recursive, expected",
-    [
-        (None, False, 4), ("csv", False, 2), (".csv", False, 2), ("*.csv", False, 2), ("CSV", False, 2),
-        (["csv", ".parquet"], False, 3), (None, True, 6), (".csv", True, 3), (".xyz", False, 0),
-    ],
-)
-def test_list_files(spark, tree, extension, recursive, expected):
-    found = listed(spark, tree, extension, recursive)
-    assert len(found) == expected and found == sorted(found, key=lambda n: (n.startswith("nested"), n))
+@pytest.mark.parametrize("extension", [None, "csv", ".csv", "*.csv", "CSV", ["csv", ".parquet"], ".xyz"])
+@pytest.mark.parametrize("recursive", [False, True])
+def test_list_files(spark, tree, extension, recursive):
+    """Hidden names, upper case, partition folders beside plain ones: as walking the tree finds them."""
+    wanted = ["csv"] if isinstance(extension, str) and "csv" in extension.lower() else extension
+    endings = {None: ("",), ".xyz": (".xyz",)}.get(extension) if not isinstance(wanted, list) else tuple("." + e.lstrip(".") for e in wanted)
+    expected = sorted(n for n in TREE if (recursive or "/" not in n) and n.lower().endswith(endings))
+    found = [r["path"] for r in files.list_files(spark, tree, extension, recursive).collect()]
+    assert found == sorted(found) and sorted(p.split(f"{tree}/")[1] for p in found) == expected
+
+
+def test_files_of_subfolders_are_found(spark, tree):
+    assert files.has_files(spark, tree, "parquet") and files.has_files(spark, f"{tree}/plain", "parquet")
+    assert not files.has_files(spark, f"{tree}/day=1", "xyz") and not files.has_files(spark, f"{tree}/none", "csv")
+    assert files.file_count(spark, tree) == 3
 
 
 def test_list_files_ignores_case_of_the_file(spark, tmp_path):
@@ -49,7 +54,7 @@ def test_list_files_errors(spark, tree):
     with pytest.raises(FileNotFoundError):
         files.list_files(spark, f"{tree}/missing")
     with pytest.raises(NotADirectoryError):
-        files.list_files(spark, f"{tree}/file1.csv")
+        files.list_files(spark, f"{tree}/ledger.csv")
 
 
 def test_no_parquet_is_an_error(spark, tree, tmp_path_factory):
@@ -64,19 +69,19 @@ def test_no_parquet_is_an_error(spark, tree, tmp_path_factory):
 
 # -- preparation -----------------------------------------------------------------------------------
 def raw_tables(folder, names=("train_identity", "train_transaction", "test_identity", "test_transaction")):
+    """Each transaction has a code with leading zeros and a note with quotes, commas and a line break; two in three have an identity."""
     os.makedirs(folder, exist_ok=True)
-    products = "WHSCR"
     for name in names:
         with open(f"{folder}/{name}.csv", "w", encoding="utf-8") as f:
             if "identity" in name:
-                f.write("TransactionID,id-01,id_02\n" + "".join(f"{i + 1},{float(i)},cat_{i}\n" for i in range(10)))
+                f.write("TransactionID,id-01,id_02\n" + "".join(f"{700 + i},{i / 4},device {i % 2}\n" for i in range(10) if i % 3))
             else:
-                lines = (f"{i + 1},{100.0 * (i + 1)},{products[i % 5]}\n" for i in range(10))
-                f.write("TransactionID,TransactionAmt,ProductCD\n" + "".join(lines))
+                lines = (f'{700 + i},{12.5 * i},00{i},"said ""{i}"", then\nleft"\n' for i in range(10))
+                f.write("TransactionID,TransactionAmt,ProductCD,note\n" + "".join(lines))
 
 
 def plan(tmp_path, **options):
-    return Preparation(str(tmp_path / "raw"), str(tmp_path / "interim"), types={"id_02": "string"}, **options)
+    return Preparation(str(tmp_path / "raw"), str(tmp_path / "interim"), types={"id_02": "string"}, multiline=True, **options)
 
 
 def parquet_files(folder):
@@ -87,12 +92,14 @@ def test_prepare_all(spark, tmp_path):
     raw_tables(tmp_path / "raw")
     p = plan(tmp_path, rows_per_file=3)
     assert p.prepare_all(spark) == ["train/identity", "train/transactions", "test/identity", "test/transactions"]
-    for folder in ("train/identity", "test/transactions"):
-        assert len(parquet_files(tmp_path / "interim" / folder)) == 4
+    for folder, n in (("train/identity", 2), ("test/transactions", 4)):
+        assert len(parquet_files(tmp_path / "interim" / folder)) == n
     identity, transactions = tables.load_split(spark, p.interim, "test")
     assert identity.columns == ["TransactionID", "id_01", "id_02"]
     assert dict(identity.dtypes)["id_01"] == "double"
     assert {r["isFraud"] for r in transactions.collect()} == {-1}
+    assert {r["note"] for r in transactions.collect()} == {f'said "{i}", then\nleft' for i in range(10)}
+    assert {r["ProductCD"] for r in transactions.collect()} == {f"00{i}" for i in range(10)}
     assert "isFraud" not in tables.load_split(spark, p.interim, "train")[1].columns
     merged = p.merged(spark, "train")
     assert merged.count() == 10 and "id_02" in merged.columns
@@ -140,22 +147,30 @@ def test_load_split(spark, tmp_path):
     assert identity.count() == transactions.count() == 0
 
 
-def test_values_survive(spark, tmp_path):
-    df = spark.range(1000).select("id", (F.col("id") + 1000).alias("value"), F.concat(F.lit("cat_"), (F.col("id") % 10).cast("string")).alias("category"))
+def test_chunks_hold_all_rows(spark, tmp_path):
+    df = spark.range(230).select((F.col("id") * 3).alias("order"), (F.col("id") % 7).cast("string").alias("lane"), (F.col("id") / 8).alias("weight"))
     df.coalesce(1).write.option("header", True).csv(str(tmp_path / "in"))
-    schema = "id bigint, value bigint, category string"
-    n = tables.write_partitioned(spark, str(tmp_path / "in"), str(tmp_path / "out"), rows_per_file=100, schema=schema)
-    assert n == 10
+    schema = "order bigint, lane string, weight double"
+    n = tables.write_partitioned(spark, str(tmp_path / "in"), str(tmp_path / "out"), rows_per_file=50, schema=schema)
+    assert n == 5
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(df)
 
 
-def test_unicode_and_codes_survive(spark, tmp_path):
-    texts = ["hello", "café", "日本語", "émojis 🎉", "two\nlines"]
-    df = spark.createDataFrame([(i, t, "007") for i, t in enumerate(texts)], "id bigint, text string, code string")
+def test_csv_text_survives(spark, tmp_path):
+    texts = ["Grüße", "𝕏 and 中", 'a "quoted" word', '"', "first\nsecond\r\nthird", "comma, tab\t", "back\\slash \\", "007"]
+    df = spark.createDataFrame([(i, t, "0042") for i, t in enumerate(texts)], "id bigint, text string, code string")
     tables.write_csv_report(df, str(tmp_path / "csv"))
     back = tables.read_csv(spark, str(tmp_path / "csv"), types={"id": "bigint"}, multiline=True)
     assert rows(back) == rows(df)
-    assert dict(tables.read_csv(spark, str(tmp_path / "csv"), infer=True, multiline=True).dtypes)["id"] == "int"
+    n = tables.write_partitioned(spark, str(tmp_path / "csv"), str(tmp_path / "out"), ["code"], types={"id": "bigint"}, multiline=True)
+    assert n and rows(spark.read.parquet(str(tmp_path / "out")), "id", "text") == rows(df, "id", "text")
+
+
+def test_missing_spellings(spark, tmp_path):
+    (tmp_path / "in.csv").write_text('TransactionID,dist1,note\n1,NA,"NA"\n2,1.5,none\n3,,plain\n')
+    found = tables.read_csv(spark, str(tmp_path / "in.csv"), missing=["NA", "none"])
+    assert rows(found) == [(1, None, None), (2, 1.5, None), (3, None, "plain")]
+
 
 
 @pytest.mark.parametrize("compression", ["snappy", "gzip", "none"])
