@@ -8,13 +8,14 @@
    with those within the ratio t. Bits that one bitmap has and the other lacks bound the overlap from above, first in short
    bitmaps within the tiles, then in longer ones for the pairs left; pairs that may link are verified by intersecting their sorted arrays of shingles.
 
-Rounds: first each node is tried with the partner that it meets most often. Verified links join nodes to components, which
-settles large groups of near copies with one test a member. Then all pairs of different components that still meet are
+Rounds: first each node is tried with the partner that it meets most often, ``ROUNDS`` times. Verified links join nodes to
+components, which settles large groups of near copies with a test or two a member. Then all pairs of different components that still meet are
 tried. No link between different components is left out, so the components are those of all links.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +30,11 @@ from riskflow.session import materialise
 WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
 BITS = 4096
-COARSE_BITS = 512
-BUCKET_BITS = 20
+COARSE_BITS = 1024
+BUCKET_BITS = 24
 PARTS = 64
 TILE = 1024
+ROUNDS = 2
 
 _STEP = mix(np.arange(11, 11 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
@@ -77,17 +79,20 @@ def _bitmaps(values: np.ndarray, first: np.ndarray, size: int = BITS) -> np.ndar
 
 
 _BUCKETS = 1 << BUCKET_BITS
-_WIDTHS = {_BUCKETS // PARTS * n: t for n, t in ((1, np.uint8), (2, np.uint16), (4, np.int32))}
+
+
+def _bucket(values: np.ndarray) -> np.ndarray:
+    return values >> np.uint64(64 - BUCKET_BITS)
 
 
 def _nodes(docs: DataFrame, words: int) -> DataFrame:
     """Rows (id, tie, node, size, bitmap) of documents, and rows (part, counts) of each task's bucket counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(_BUCKETS, np.int32)
+        met: list[np.ndarray] = []
         for batch in slices(batches, "text"):
             values, first = shingle_sets(*bytes_of(batch.column("text")), words)
-            counts += np.bincount((values >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=_BUCKETS).astype(np.int32)
+            met.append(_bucket(values).astype(np.uint32))
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [
@@ -97,13 +102,15 @@ def _nodes(docs: DataFrame, words: int) -> DataFrame:
                 ],
                 names=_NODE_NAMES,
             )
-        if counts.any():
-            narrow = np.uint8 if counts.max() < 1 << 8 else np.uint16 if counts.max() < 1 << 16 else np.int32
-            parts = np.split(counts.astype(narrow), PARTS)
+        if met:
+            counts = np.zeros(_BUCKETS, np.uint8)
+            found, times = np.unique(np.concatenate(met), return_counts=True)
+            counts[found] = np.minimum(times, 255)
+            parts = [zlib.compress(p.tobytes(), 1) for p in np.split(counts, PARTS)]
             yield pa.RecordBatch.from_arrays(
                 [
                     *(pa.nulls(PARTS, pa.int64()) for _ in range(4)), *(pa.nulls(PARTS, pa.binary()) for _ in range(2)),
-                    pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()),
+                    pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary()),
                 ],
                 names=_NODE_NAMES,
             )
@@ -114,31 +121,31 @@ def _nodes(docs: DataFrame, words: int) -> DataFrame:
 _NODE_NAMES = ["id", "tie", "node", "size", "bitmap", "coarse", "part", "counts"]
 
 
-def _bucket_counts(nodes: DataFrame) -> np.ndarray:
-    """Sum of all tasks' counts: an array of fixed size, added up part by part on the executors."""
+def _bucket_ranks(nodes: DataFrame) -> np.ndarray:
+    """Rank of each bucket from rare to common, in quarter octaves of its count so that chance differences hardly matter.
+
+    All tasks' counts are added up part by part on the executors; what comes to the driver has a fixed size.
+    """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(counts, _WIDTHS[len(counts)]).astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["part", "counts"]
-        )
+                sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(counts), np.uint8).astype(np.int32)
+        ranks = [np.round(4 * np.log2(1.0 + s)).astype(np.uint8).tobytes() for s in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(ranks, pa.binary())], names=["part", "ranks"])
 
     parts = nodes.where("part IS NOT NULL").select("part", "counts")
-    found = parts.repartition(PARTS, "part").mapInArrow(add, "part int, counts binary").collect()  # PARTS rows
-    total = np.zeros((PARTS, _BUCKETS // PARTS), np.int64)
+    found = parts.repartition(PARTS, "part").mapInArrow(add, "part int, ranks binary").collect()  # PARTS rows
+    total = np.zeros((PARTS, _BUCKETS // PARTS), np.uint8)
     for row in found:
-        total[row.part] += np.frombuffer(row.counts, np.int64)
+        total[row.part] = np.frombuffer(row.ranks, np.uint8)
     return total.ravel()
 
 
-def _prefixes(docs: DataFrame, counts: np.ndarray, words: int) -> DataFrame:
+def _prefixes(docs: DataFrame, ranks: np.ndarray, words: int) -> DataFrame:
     """(key, node, size) for the shingles of each set's prefix, once a task for each node."""
-    # Rank classes by octave quarter, so that chance differences of a bucket's count don't matter.
-    rank = np.round(4 * np.log2(1 + counts)).astype(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(rank)
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared.value
@@ -152,7 +159,7 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, words: int) -> DataFrame:
                     seen.add(node)
                     keep[i] = True
             text = np.repeat(np.arange(len(nodes)), size)
-            ordered = (rank[(values >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] << np.uint64(56)) | (values >> np.uint64(8))
+            ordered = (rank[_bucket(values).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (values >> np.uint64(8))
             order = np.lexsort((ordered, text))
             place = np.arange(len(text)) - first[:-1][text]
             prefix = size + (size * -NUMERATOR // DENOMINATOR) + 1  # size - ceil(t * size) + 1
@@ -306,6 +313,23 @@ def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "s", "t", "p", "q").mapInArrow(run, "a bigint, b bigint")
 
 
+def _open_keys(rooted: DataFrame) -> DataFrame:
+    """(key, low) of keys at which nodes of different components meet; ``low`` is the smallest component."""
+    ends = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    return ends.where("low <> high").select("key", "low")
+
+
+def _often_met(rooted: DataFrame) -> DataFrame:
+    """(a, b): each node with that node of another component which it meets most often, of one node a key."""
+    keyed = rooted.join(_open_keys(rooted), "key")
+    hubs = keyed.where("root = low").groupBy("key").agg(F.min("node").alias("hub"))
+    return (
+        keyed.where("root <> low").join(hubs, "key").groupBy("node", "hub").agg(F.count("*").alias("times"))
+        .groupBy("node").agg(F.max(F.struct("times", "hub")).alias("best"))
+        .select(F.least("node", "best.hub").alias("a"), F.greatest("node", "best.hub").alias("b")).distinct()
+    )
+
+
 def jaccard_nodes(docs: DataFrame, key: str, text: str, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """Documents (id, tie, node, size) and components (node, root) of the nodes that have links."""
     chosen = docs.select(
@@ -317,25 +341,26 @@ def jaccard_nodes(docs: DataFrame, key: str, text: str, words: int = WORDS) -> t
         every.where("part IS NULL AND size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("bitmap").alias("bitmap"), F.first("coarse").alias("coarse"), F.min("id").alias("id")), "nodes"
     )
     sample = nodes.select("node", "id")
-    prefixes = _prefixes(chosen, _bucket_counts(every), words)
+    prefixes = _prefixes(chosen, _bucket_ranks(every), words)
     met = materialise(prefixes.repartition("key").mapInArrow(_meetings, "key bigint, node bigint, size bigint"), "meetings")
 
-    # Each node with the one that it meets most often among the first of its keys.
-    first = met.groupBy("key").agg(F.min("node").alias("hub"))
-    often = (
-        met.join(first, "key").where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("times"))
-        .groupBy("node").agg(F.max(F.struct("times", "hub")).alias("best"))
-        .select(F.least("node", "best.hub").alias("a"), F.greatest("node", "best.hub").alias("b")).distinct()
-    )
-    tried = materialise(_bounded(often, nodes), "pairs")
-    links = _verified(tried, chosen, sample, words)
-    roots = components(links)
+    rooted, tried, links, roots = met.withColumn("root", F.col("node")), None, None, None
+    for _ in range(ROUNDS):
+        pairs = _often_met(rooted)
+        fresh_pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        found = materialise(_bounded(fresh_pairs, nodes), "pairs")
+        if found.isEmpty():
+            break
+        tried = found if tried is None else tried.unionByName(found)
+        good = _verified(found, chosen, sample, words)
+        links = good if links is None else links.unionByName(good)
+        roots = components(links)
+        rooted = materialise(met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "meetings")
+    if tried is None:  # no two documents meet
+        return documents, nodes.select("node", F.col("node").alias("root")).limit(0)
 
     # All pairs of different components that still meet.
-    rooted = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = materialise(rooted, "meetings")
-    apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    open_rows = rooted.join(apart, "key").join(nodes.select("node", "coarse"), "node")
+    open_rows = rooted.join(_open_keys(rooted).select("key"), "key").join(nodes.select("node", "coarse"), "node")
     pairs = (
         open_rows.select("key", "node", "size", "root", "coarse").repartition("key")
         .mapInArrow(_all_pairs, "a bigint, b bigint").distinct().join(tried, ["a", "b"], "left_anti")
