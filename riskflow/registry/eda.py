@@ -274,3 +274,51 @@ def rename_and_cast(spark, folder):
     filled = columns.fill_by_type(typed)
     with_target = filled.withColumn("target", to_integer("toxic_text"))
     return columns.with_defaults(with_target, {"absent_feature": F.lit(0.0)})
+
+
+HOLED_SQL = (
+    "SELECT nullif(p_size % 10, 3)::double AS a, CASE WHEN p_size % 7 <> 2 THEN p_retailprice END AS b, "
+    "p_partkey::double AS c FROM part"
+)
+
+
+def holed_parts(spark, folder):
+    """A double column with NaN, one with nulls, one whole."""
+    part = table(spark, folder, "part")
+    return part.select(
+        F.when(F.col("p_size") % 10 == 3, F.lit(float("nan"))).otherwise((F.col("p_size") % 10).cast("double")).alias("a"),
+        F.when(F.col("p_size") % 7 != 2, F.col("p_retailprice")).alias("b"),
+        F.col("p_partkey").cast("double").alias("c"),
+    )
+
+
+@query(
+    "nan_reports",
+    f"WITH h AS ({HOLED_SQL}) SELECT a::bigint::varchar AS value, count(*) AS count, "
+    "(SELECT count(DISTINCT a) FROM h) AS distinct_count, any_value(a::bigint::varchar) AS text FROM h WHERE a IS NOT NULL GROUP BY a",
+)
+def nan_reports(spark, folder):
+    """NaN is no value in counts, distinct counts and categories, and whole numbers are spelled without a fraction."""
+    rows = holed_parts(spark, folder)
+    counted = profile.value_counts(rows, "a").select(F.col("value").cast("bigint").cast("string").alias("value"), "count")
+    distinct = profile.distinct_counts(rows, ["a"]).select("distinct_count")
+    text = columns.categories_to_text(rows, ["a"], None).select(F.col("a").alias("text")).where("text IS NOT NULL").distinct()
+    values = profile.distinct_values(rows, "a").select(F.col("value").cast("bigint").cast("string").alias("value"))
+    return counted.join(values, "value").join(text, F.col("value") == F.col("text")).join(F.broadcast(distinct))
+
+
+def _rank_sql(column: str, source: str) -> str:
+    return f"rank() OVER (ORDER BY {column}) + (count(*) OVER (PARTITION BY {column}) - 1) / 2.0 AS r_{column}"
+
+
+@query(
+    "spearman_with_nulls",
+    f"WITH h AS ({HOLED_SQL}) "
+    + " UNION ALL ".join(
+        f"SELECT '{x}' AS column_a, '{y}' AS column_b, round(corr(r_x, r_y), 6) + 0.0::double AS correlation FROM ("
+        f"SELECT {_rank_sql('x', 'h')}, {_rank_sql('y', 'h')} FROM (SELECT {x} AS x, {y} AS y FROM h) WHERE x IS NOT NULL AND y IS NOT NULL)"
+        for x, y in (("a", "a"), ("a", "b"), ("a", "c"), ("b", "b"), ("b", "c"), ("c", "c"))
+    ),
+)
+def spearman_with_nulls(spark, folder):
+    return rounded(correlation.spearman_matrix(holed_parts(spark, folder), ["a", "b", "c"]))

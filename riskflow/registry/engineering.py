@@ -226,17 +226,17 @@ def assemble_features(spark, folder):
 @query(
     "vector_to_columns",
     "SELECT vec_id, round(list_avg(embedding::double[]), 6) + 0.0::double AS mean_value, "
-    + ", ".join(f"round(embedding[{i + 1}]::double, 6) + 0.0::double AS part_{i}" for i in range(4))
+    + ", ".join(f"round(embedding[{i + 1}]::double, 6) + 0.0::double AS part_{i}" for i in range(64))
     + " FROM embeddings",
 )
 def vector_to_columns(spark, folder):
     vectors = table(spark, folder, "embeddings")
-    spread = assemble.spread_array(vectors, "embedding", "part_", 4)
+    spread = assemble.spread_array(vectors, "embedding", "part_", 64)
     return rounded(
         spread.select(
             "vec_id",
             assemble.array_mean("embedding").alias("mean_value"),
-            *(F.col(f"part_{i}").cast("double").alias(f"part_{i}") for i in range(4)),
+            *(F.col(f"part_{i}").cast("double").alias(f"part_{i}") for i in range(64)),
         )
     )
 

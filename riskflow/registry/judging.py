@@ -208,6 +208,29 @@ def importance_rank(spark, folder):
     return rounded(ranked.where("feature_importance_rank <= 3"))
 
 
-@query("bucketed_auc")
+@query(
+    "report_unknown_target",
+    f"WITH s AS (SELECT y, (p >= 0.5)::int AS h FROM ({SCORED}) WHERE l_linestatus = 'F'), "
+    "c AS (SELECT k.label, count(*) FILTER (y = k.label) AS support, count(*) FILTER (h = k.label) AS predicted, "
+    "count(*) FILTER (y = k.label AND h = k.label) AS hits FROM s, (SELECT unnest([0, 1]) AS label) k GROUP BY k.label) "
+    "SELECT label::varchar AS label, round(coalesce(hits / nullif(predicted, 0), 0), 6) AS precision, "
+    "round(coalesce(hits / nullif(support, 0), 0), 6) AS recall, support, "
+    "(SELECT round(avg((y = h)::int), 6) FROM s) AS accuracy FROM c",
+)
+def report_unknown_target(spark, folder):
+    """Rows with an unknown target, -1 or null, take no part in accuracy and report."""
+    unknown = F.when(F.col("l_linestatus") == "F", F.col("y")).when(F.col("l_linenumber") % 2 == 0, F.lit(-1))
+    rows = scored_lines(spark, folder).withColumn("y", unknown).withColumn("h", at_least("p", 0.5))
+    report = metrics.classification_report(rows, "y", "h").where("label IN ('0', '1')").select("label", "precision", "recall", "support")
+    return rounded(report.join(F.broadcast(metrics.accuracy(rows, "y", "h"))))
+
+
+@query(
+    "bucketed_auc",
+    f"WITH s AS ({SCORED}), t AS (SELECT i, CASE WHEN i = 0 THEN -1e-7 WHEN i = 199 THEN 1 + 1e-7 ELSE i / 199.0::double END AS cut "
+    "FROM range(200) r(i)), c AS (SELECT i, count(*) FILTER (y = 1) / (SELECT count(*) FROM s WHERE y = 1) AS tpr, "
+    "count(*) FILTER (y = 0) / (SELECT count(*) FROM s WHERE y = 0) AS fpr FROM t LEFT JOIN s ON p > cut GROUP BY i) "
+    "SELECT round(sum((a.fpr - b.fpr) * (a.tpr + b.tpr) / 2), 6) AS bucketed_auc FROM c a JOIN c b ON b.i = a.i + 1",
+)
 def bucketed_auc(spark, folder):
-    return metrics.bucketed_auc(scored_lines(spark, folder), "y", "p")
+    return rounded(metrics.bucketed_auc(scored_lines(spark, folder), "y", "p"))

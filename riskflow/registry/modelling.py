@@ -13,7 +13,7 @@ from riskflow.operators.sampling import split_rows
 from riskflow.operators.tuning import RandomSearch
 from riskflow.plans.embedding import append_embeddings
 from riskflow.plans.training import train_and_judge
-from riskflow.registry import query, table
+from riskflow.registry import query, rounded, table
 from riskflow.registry.eda import customer_orders
 from riskflow.registry.splitting import LINE_KEY
 from riskflow.session import scratch_path
@@ -44,7 +44,7 @@ def gbt_scores(spark, folder):
 @query("gbt_margin")
 def gbt_margin(spark, folder):
     rows = returned_lines(spark, folder)
-    quick = models.BoostedTreesClassifier((), NUMBERS, "returned", **{**models.EXPLORATION_PARAMS, "maxIter": 5})
+    quick = models.BoostedTreesClassifier((), NUMBERS, "returned", **models.EXPLORATION_PARAMS)
     return quick.fit(rows).margins(rows).select(*LINE_KEY, "margin")
 
 
@@ -82,7 +82,7 @@ def model_evaluate(spark, folder):
 
 @query("training_metrics")
 def training_metrics(spark, folder):
-    return train_and_judge(returned_lines(spark, folder), LINE_KEY, "returned", CATEGORIES[:1], NUMBERS, **ROUNDS).metrics
+    return train_and_judge(returned_lines(spark, folder), LINE_KEY, "returned", CATEGORIES, NUMBERS, **ROUNDS).metrics
 
 
 @query("row_embeddings")
@@ -128,7 +128,80 @@ def tuning_trials(spark, folder):
         scored = model.transform(part).select("returned", vector_to_array("probability")[1].alias("score"))
         return metrics.roc_auc(scored, "returned", "score").first()["roc_auc"]
 
-    search = RandomSearch(trials=2, folds=2, parallelism=2)
+    search = RandomSearch(trials=2, folds=5, parallelism=2)
     space = {"maxDepth": lambda rng: rng.randint(2, 4), "stepSize": lambda rng: rng.choice([0.1, 0.2, 0.3])}
     search.optimize_model(rows, "returned", "key", train, score, space)
     return search.top_trials(10).withColumn("params", F.to_json("params"))
+
+
+STUMP = {"maxIter": 1, "maxDepth": 1, "seed": 42}
+STUMP_FEATURES = ["l_quantity", "l_discount"]
+
+
+def stump_sql(target: str) -> str:
+    """Common tables: ``best`` (feature, cut) is the split between neighbouring values with the least squared error, ``leaf``
+    the mean of ``target`` on each side."""
+    sums = " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, {f} AS v, count(*) AS n, sum({target}) AS s FROM lineitem GROUP BY {f}" for f in STUMP_FEATURES
+    )
+    value = "CASE feature " + " ".join(f"WHEN '{f}' THEN {f}" for f in STUMP_FEATURES) + " END"
+    return (
+        f"sums AS ({sums}), runs AS (SELECT *, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER (PARTITION BY feature) AS nt, "
+        "sum(s) OVER (PARTITION BY feature) AS st, lead(v) OVER (PARTITION BY feature ORDER BY v) AS above FROM sums "
+        "WINDOW w AS (PARTITION BY feature ORDER BY v)), "
+        "best AS (SELECT feature, (v + above) / 2 AS cut FROM runs WHERE above IS NOT NULL "
+        "ORDER BY sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) DESC LIMIT 1), "
+        f"sided AS (SELECT l.*, best.feature, {value} <= best.cut AS low FROM lineitem l, best), "
+        f"leaf AS (SELECT low, avg({target}) AS mean FROM sided GROUP BY low)"
+    )
+
+
+SIGN = "(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE -1.0 END)::double"
+STUMP_SCORED = (
+    f"WITH {stump_sql(SIGN)}, scored AS (SELECT l_orderkey, l_linenumber, (l_returnflag = 'R')::int AS y, mean AS margin, "
+    "1 / (1 + exp(-2 * mean)) AS score, (mean > 0)::int AS h, feature FROM sided JOIN leaf USING (low)) "
+)
+
+
+def stump(spark, folder):
+    rows = returned_lines(spark, folder)
+    return rows, models.BoostedTreesClassifier((), STUMP_FEATURES, "returned", **STUMP).fit(rows)
+
+
+@query(
+    "stump_scores",
+    STUMP_SCORED + "SELECT l_orderkey, l_linenumber, h::double AS prediction, round(score, 6) AS score, round(margin, 6) AS margin FROM scored",
+)
+def stump_scores(spark, folder):
+    """A single split is exact: labels, probabilities and margins."""
+    rows, model = stump(spark, folder)
+    scored = model.transform(rows)
+    margin = vector_to_array("rawPrediction")[1]
+    return rounded(scored.select("l_orderkey", "l_linenumber", "prediction", vector_to_array("probability")[1].alias("score"), margin.alias("margin")), 6)
+
+
+@query(
+    "stump_regression",
+    f"WITH {stump_sql('l_extendedprice')} SELECT l_orderkey, l_linenumber, round(mean, 4) AS prediction FROM sided JOIN leaf USING (low)",
+)
+def stump_regression(spark, folder):
+    rows = returned_lines(spark, folder)
+    model = models.BoostedTreesRegressor((), STUMP_FEATURES, "l_extendedprice", **STUMP).fit(rows)
+    return rounded(model.predict(rows).select("l_orderkey", "l_linenumber", "prediction"), 4)
+
+
+@query(
+    "stump_saved_metrics",
+    STUMP_SCORED + ", ranked AS (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM scored) "
+    "SELECT 'roc_auc' AS metric, round((sum(r) FILTER (y = 1) - count(*) FILTER (y = 1)::double * (count(*) FILTER (y = 1) + 1) / 2) "
+    "/ (count(*) FILTER (y = 1)::double * count(*) FILTER (y = 0)), 6) AS value FROM ranked "
+    "UNION ALL SELECT 'accuracy', round(avg((y = h)::int), 6) FROM scored",
+)
+def stump_saved_metrics(spark, folder):
+    """Saved, loaded and then judged."""
+    rows, model = stump(spark, folder)
+    path = scratch_path(spark, "stump")
+    model.save(path)
+    loaded = models.BoostedTreesClassifier.load(path)
+    found = [(m, float(loaded.evaluate(rows, m))) for m in ("roc_auc", "accuracy")]
+    return rounded(spark.createDataFrame(found, "metric string, value double"))

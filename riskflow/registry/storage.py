@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskflow.config import SEED
+from riskflow.functions.hashing import hash_fraction
 from riskflow.operators import categorical, joins
 from riskflow.operators.scaling import Scaling, fit_scaling
 from riskflow.plans.prepare import Preparation
@@ -28,6 +30,25 @@ def csv_roundtrip(spark, folder):
     return tables.read_parquet_or_empty(spark, f"{path}/interim", ORDER_SCHEMA)
 
 
+@query("csv_text_roundtrip", "SELECT * FROM documents")
+def csv_text_roundtrip(spark, folder):
+    """Whole texts through CSV and partitioned Parquet: quotes, line breaks, commas, backslashes, spaces at the ends."""
+    path = scratch_path(spark, "csv-text")
+    documents = table(spark, folder, "documents")
+    tables.write_csv(documents, f"{path}/raw")
+    types = {"doc_id": "bigint", "n_chars": "bigint"}
+    tables.write_partitioned(spark, f"{path}/raw", f"{path}/interim", ["lang"], types=types, multiline=True)
+    return spark.read.schema(documents.schema).parquet(f"{path}/interim").select(*documents.columns)
+
+
+@query("csv_report_roundtrip", "SELECT lang, count(*) AS documents, sum(n_chars)::bigint AS characters FROM documents GROUP BY lang")
+def csv_report_roundtrip(spark, folder):
+    path = scratch_path(spark, "report")
+    report = table(spark, folder, "documents").groupBy("lang").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("characters"))
+    tables.write_csv_report(report, path)
+    return tables.read_csv(spark, path, types={"documents": "bigint", "characters": "bigint"})
+
+
 @query("parquet_write_modes", "SELECT * FROM customer")
 def parquet_write_modes(spark, folder):
     path = f"{scratch_path(spark, 'modes')}/customer"
@@ -79,9 +100,9 @@ def scaling_json_roundtrip(spark, folder):
     return rounded(Scaling.from_table(artefacts.read_scaling(spark, path)).table(spark))
 
 
-EXAMPLE_FEATURES = ["doc_id", "lang", "source", "n_chars", "quality", "toxic", "density"]
+EXAMPLE_FEATURES = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic", "density"]
 EXAMPLES_SQL = (
-    "SELECT doc_id, coalesce(nullif(lang, 'en'), '') AS lang, source, n_chars, coalesce(quality, 0)::bigint AS quality, "
+    "SELECT doc_id, text, coalesce(nullif(lang, 'en'), '') AS lang, source, n_chars, coalesce(quality, 0)::bigint AS quality, "
     f"coalesce(toxic, 0)::bigint AS toxic, round(coalesce(quality * 1.0::double / n_chars, 0), 6) AS density FROM {DOCS}"
 )
 
@@ -89,6 +110,7 @@ EXAMPLES_SQL = (
 def example_rows(spark, folder):
     return labelled_documents(spark, folder).select(
         "doc_id",
+        "text",
         F.nullif("lang", F.lit("en")).alias("lang"),
         "source",
         "n_chars",
@@ -107,30 +129,38 @@ def typed_examples(spark, folder):
 
 @query(
     "chunk_aligned_export",
-    "SELECT doc_id, source, coalesce(quality, 0)::bigint AS quality, coalesce(toxic, -1)::bigint AS toxic "
+    "SELECT doc_id, text, lang, source, n_chars, coalesce(quality, 0)::bigint AS quality, coalesce(toxic, -1)::bigint AS toxic "
     f"FROM {DOCS}",
 )
 def chunk_aligned_export(spark, folder):
     """Join whole tables, then export: a match is found wherever its two rows were stored."""
     path = scratch_path(spark, "export")
-    documents = table(spark, folder, "documents").select("doc_id", "source")
+    documents = table(spark, folder, "documents")
     joined = joins.left_join(documents, table(spark, folder, "labels"), "doc_id")
     joined = joined.withColumn("toxic", F.coalesce("toxic", F.lit(-1)))
-    examples.write_examples(joined, ["doc_id", "source", "quality", "toxic"], path)
+    examples.write_examples(joined, [*documents.columns, "quality", "toxic"], path)
     return examples.read_examples(spark, path)
 
 
+TRAIN_SQL = f"{fraction_sql('doc_id')} <= 0.8"
+
+
 @query(
     "prepare_and_merge",
-    "SELECT doc_id, lang, source, n_chars::double AS n_chars, coalesce(quality::varchar, 'nan') AS quality_score, toxic::int AS toxic "
-    f"FROM {DOCS}",
+    "SELECT doc_id, text, lang, source, n_chars::double AS n_chars, "
+    f"(CASE WHEN {TRAIN_SQL} THEN coalesce(toxic, -1) ELSE -1 END)::int AS toxic, "
+    f"coalesce(quality::varchar, 'nan') AS quality_score, CASE WHEN {TRAIN_SQL} THEN 'train' ELSE 'test' END AS split FROM {DOCS}",
 )
 def prepare_and_merge(spark, folder):
+    """Four raw tables with whole texts, prepared, merged and written for both splits; only the train half has targets."""
     path = scratch_path(spark, "prepare")
-    documents = table(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars")
-    labels = table(spark, folder, "labels").withColumnRenamed("quality", "quality-score")
-    documents.write.option("header", True).csv(f"{path}/raw/train_transaction.csv")
-    labels.write.option("header", True).csv(f"{path}/raw/train_identity.csv")
+    rows = labelled_documents(spark, folder).withColumn("train", hash_fraction("doc_id", SEED) <= 0.8)
+    labels = table(spark, folder, "labels").withColumn("train", hash_fraction("doc_id", SEED) <= 0.8)
+    for split, chosen in (("train", F.col("train")), ("test", ~F.col("train"))):
+        transactions = rows.where(chosen).select("doc_id", "text", "lang", "source", "n_chars", *(["toxic"] if split == "train" else []))
+        tables.write_csv(transactions, f"{path}/raw/{split}_transaction.csv")
+        identity = labels.where(chosen).select("doc_id", F.col("quality").alias("quality-score"))
+        tables.write_csv(identity, f"{path}/raw/{split}_identity.csv")
     plan = Preparation(
         f"{path}/raw",
         f"{path}/interim",
@@ -138,9 +168,17 @@ def prepare_and_merge(spark, folder):
         target="toxic",
         categorical=["lang", "source", "quality_score"],
         types={"doc_id": "bigint", "n_chars": "double", "toxic": "int"},
+        multiline=True,
     )
     plan.prepare_all(spark)
-    return plan.merged(spark, "train")
+    plan.write_merged(spark, f"{path}/merged")
+    halves = [
+        spark.read.parquet(f"{path}/merged/{split}").select(
+            "doc_id", "text", "lang", "source", "n_chars", "toxic", "quality_score", F.lit(split).alias("split")
+        )
+        for split in ("train", "test")
+    ]
+    return halves[0].unionByName(halves[1])
 
 
 @query(

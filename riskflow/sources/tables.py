@@ -123,10 +123,15 @@ def write_partitioned(
     return file_count(spark, directory)
 
 
+def write_csv(df: DataFrame, directory: str) -> None:
+    """CSV files with headers, quotes doubled, white space as it is; ``read_csv`` with ``multiline`` gives the same rows."""
+    writer = df.write.mode("overwrite").option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(directory)
+
+
 def write_csv_report(df: DataFrame, directory: str) -> None:
     """A small result as one CSV with a header."""
-    writer = df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"')
-    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(directory)
+    write_csv(df.coalesce(1), directory)
 
 
 def load_split(spark: SparkSession, interim: str, split: str) -> tuple[DataFrame, DataFrame]:
