@@ -1,7 +1,9 @@
 """Row embeddings from column-value tokens (FE-11..14, AGG-19, MDL-12).
 
-A row is read as a sentence of ``column=value`` tokens, numbers as quantile bins. Vectors are trained
-with Spark's Word2Vec, whose model averages the vectors of a row's tokens.
+A row has one token per column: the column and its value, or the bin of a number between exact quantiles. How often
+two tokens stand in one row is counted and factored by Spark's alternating least squares; a row's vector is the
+mean of its tokens' vectors. Counts and vectors are tables, so neither the number of values nor that of rows has a
+bound on the driver.
 """
 
 from __future__ import annotations
@@ -9,90 +11,94 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import QuantileDiscretizer, Word2Vec, Word2VecModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.recommendation import ALS
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.config import OTHER
-from riskflow.functions.scalars import number, quoted
+from riskflow.functions.scalars import number, quoted, value_text
 from riskflow.operators.categorical import apply_category_mapping, fit_category_mapping
+from riskflow.operators.joins import lookup
 from riskflow.operators.ordering import row_positions
-from riskflow.session import materialise, spread
+from riskflow.operators.profile import exact_quantiles
+from riskflow.session import materialise
+from riskflow.sources.artefacts import read_settings, write_settings
 
-MAX_TOKENS = 200_000
-MAX_PARTITIONS = 256
+BLOCKS = 10
 
 
 @dataclass
 class RowEncoder:
-    """Fitted token vectors. ``transform`` needs no shuffle and no Python."""
+    """Fitted token vectors: ``vectors`` has one row (column, value, count, vector) per token."""
 
     categorical: list[str]
     numeric: list[str]
     splits: dict[str, list[float]]
     grouping: DataFrame | None
-    model: Word2VecModel
+    vectors: DataFrame
     size: int
     prefix: str = "encoder_emb_"
 
     def tokens(self, df: DataFrame, name: str = "_tokens") -> DataFrame:
-        grouped = df
-        if self.grouping is not None:
-            copies = {f"_group_{c}": quoted(c) for c in self.categorical}
-            renamed = self.grouping.withColumn("column", F.concat(F.lit("_group_"), F.col("column")))
-            grouped = apply_category_mapping(df.withColumns(copies), renamed, list(copies))
-        return grouped.withColumn(name, self._token_array(df, self.grouping is not None)).drop(
-            *(f"_group_{c}" for c in self.categorical)
+        """``df`` with an array of (column, value), one per column of the encoder."""
+        texts = self._texts()
+        valued = self._valued(df)
+        return valued.withColumn(
+            name, F.array(*(F.struct(F.lit(c).alias("column"), F.col(t).alias("value")) for c, t in texts.items()))
+        ).drop(*texts.values())
+
+    def _texts(self) -> dict[str, str]:
+        return {c: f"_token_{i}" for i, c in enumerate([*self.categorical, *self.numeric])}
+
+    def _valued(self, df: DataFrame) -> DataFrame:
+        """``df`` with the text of every token in a column of its own."""
+        texts = self._texts()
+        found = df.withColumns(
+            {texts[c]: value_text(df.schema[c]) for c in self.categorical}
+            | {texts[c]: F.coalesce(_bin(number(df.schema[c]), self.splits[c]).cast("string"), F.lit("nan")) for c in self.numeric}
         )
-
-    def _token_array(self, df: DataFrame, grouped: bool) -> Column:
-        return _token_array(df, self.categorical, self.splits, grouped)
+        if self.grouping is None:
+            return found
+        # The mapping goes by column name, here that of the copy.
+        named = F.create_map(*(F.lit(x) for pair in texts.items() for x in pair))
+        return apply_category_mapping(found, self.grouping.withColumn("column", named[F.col("column")]), [texts[c] for c in self.categorical])
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """``df`` with ``<prefix>0..size-1``: the mean vector of each row's tokens."""
-        vectors = self.model.transform(self.tokens(df))
-        values = vector_to_array(F.col("_embedding"))
+        """``df`` with ``<prefix>0..size-1``: the mean vector of each row's tokens; unknown tokens count as zero."""
+        texts = self._texts()
+        zero = F.array(*(F.lit(0.0).cast("float") for _ in range(self.size)))
+        found = self._valued(df)
+        for i, (c, t) in enumerate(texts.items()):
+            found = lookup(found, t, self.vectors.where(F.col("column") == c), "value", "vector", f"_vector_{i}", zero, "count")
         names = [f"{self.prefix}{i}" for i in range(self.size)]
         kept = [quoted(c) for c in df.columns if c not in names]
-        return vectors.select(*kept, values.alias("_values")).select(
-            *kept, *(F.col("_values")[i].alias(n) for i, n in enumerate(names))
-        )
 
-    def value_vectors(self) -> DataFrame:
-        """(column, value, vector): the dense vector of each category value or bin."""
-        word = F.col("word")
-        return self.model.getVectors().select(
-            F.substring_index(word, "=", 1).alias("column"),
-            F.expr("substr(word, instr(word, '=') + 1)").alias("value"),
-            vector_to_array("vector").alias("vector"),
-        )
+        def mean(i: int) -> Column:
+            return sum((F.col(f"_vector_{j}")[i].cast("double") for j in range(len(texts))), F.lit(0.0)) / F.lit(len(texts))
 
+        return found.select(*kept, *(mean(i).alias(n) for i, n in enumerate(names)))
 
-def _bin(x: Column, splits: Sequence[float]) -> Column:
-    inner = [s for s in splits if s not in (float("-inf"), float("inf"))]
-    return sum(((x >= F.lit(s)).cast("int") for s in inner), F.lit(0))
+    def value_vectors(self) -> DataFrame:
+        """(column, value, vector): the dense vector of each category value or bin."""
+        return self.vectors.select("column", "value", "vector")
 
+    def save(self, path: str) -> None:
+        """Vectors and grouping as Parquet, the rest as JSON, under one folder."""
+        settings = {"categorical": self.categorical, "numeric": self.numeric, "splits": self.splits, "size": self.size}
+        write_settings(self.vectors.sparkSession, {**settings, "prefix": self.prefix, "grouped": self.grouping is not None}, f"{path}/settings")
+        self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+        if self.grouping is not None:
+            self.grouping.write.mode("overwrite").parquet(f"{path}/grouping")
 
-def _token_array(df: DataFrame, categorical: Sequence[str], splits: dict[str, list[float]], grouped: bool) -> Column:
-    parts = []
-    for c in categorical:
-        value = quoted(f"_group_{c}" if grouped else c).cast("string")
-        parts.append(F.concat(F.lit(f"{c}="), F.coalesce(value, F.lit("nan"))))
-    for c, edges in splits.items():
-        x = number(df.schema[c])
-        label = F.coalesce(_bin(x, edges).cast("string"), F.lit("nan"))
-        parts.append(F.concat(F.lit(f"{c}="), label))
-    return F.array(*parts)
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> RowEncoder:
+        s = read_settings(spark, f"{path}/settings")
+        grouping = spark.read.parquet(f"{path}/grouping") if s.pop("grouped") else None
+        return cls(**s, grouping=grouping, vectors=spark.read.parquet(f"{path}/vectors"))
 
 
-def _within(mapping: DataFrame, budget: int) -> DataFrame:
-    """The mapping with at most ``budget`` values that keep their name, the most frequent ones."""
-    if mapping.where(F.col("category") != OTHER).count() <= budget:
-        return mapping
-    placed = row_positions(mapping, [], [F.desc("count"), F.asc("column"), F.asc("value")], "_place")
-    category = F.when(F.col("_place") > budget, F.lit(OTHER)).otherwise(F.col("category"))
-    return materialise(placed.withColumn("category", category).drop("_place"))
+def _bin(x: Column, edges: Sequence[float]) -> Column:
+    """Number of edges at or below the value; null for null."""
+    return sum(((x >= F.lit(s)).cast("int") for s in edges), F.when(x.isNotNull(), F.lit(0)))
 
 
 def fit_row_encoder(
@@ -102,42 +108,46 @@ def fit_row_encoder(
     size: int = 8,
     bins: int = 8,
     seed: int = 42,
-    rounds: int = 1,
-    partitions: int | None = None,
-    max_tokens: int = MAX_TOKENS,
+    rounds: int = 5,
+    blocks: int = BLOCKS,
+    group_share: float | None = None,
 ) -> RowEncoder:
     """Learn token vectors from the rows of ``df``.
 
-    The token vectors live on the driver while training, so the token count is measured first. Past
-    ``max_tokens`` the columns go through category grouping, whose long tail becomes one value per
-    column; should the rest still be too many, the least frequent of it joins the tail.
+    ``group_share`` puts the categorical columns through category grouping first, so that values beyond that share of
+    the rows are one token; without it every value has its vector. The result depends on the rows, the seed and
+    ``blocks``, not on cores or partitions.
     """
     splits: dict[str, list[float]] = {}
     if numeric:
-        measured = df.select(*(number(df.schema[c]).alias(c) for c in numeric))
-        discretizer = QuantileDiscretizer(
-            inputCols=list(numeric), outputCols=[f"_bin_{c}" for c in numeric], numBuckets=bins, handleInvalid="skip"
-        )
-        fitted = discretizer.fit(measured.na.drop(how="all")).getSplitsArray()
-        splits = {c: [float(s) for s in fitted[i]] for i, c in enumerate(numeric)}
-
-    grouping = None
-    if categorical:
-        near = df.agg(*(F.approx_count_distinct(quoted(c)).alias(f"n{i}") for i, c in enumerate(categorical))).first()
-        if sum(near) > max_tokens * 0.8:
-            budget = max_tokens - len(categorical) - (bins + 1) * len(numeric)
-            grouping = _within(fit_category_mapping(df, categorical), max(1, budget))
-    encoder = RowEncoder(list(categorical), list(numeric), splits, grouping, None, size)
-    sentences = spread(materialise(encoder.tokens(df).select("_tokens"), "sentences"))
-    word2vec = Word2Vec(
-        vectorSize=size,
-        inputCol="_tokens",
-        outputCol="_embedding",
-        minCount=1,
-        seed=seed,
-        maxIter=rounds,
-        windowSize=max(2, len(categorical) + len(numeric)),
-        numPartitions=partitions or min(sentences.rdd.getNumPartitions(), MAX_PARTITIONS),
+        inner = [i / bins for i in range(1, bins)]
+        edges = {r["column"]: r for r in exact_quantiles(df, numeric, inner).collect()}  # one row per column
+        splits = {c: sorted({edges[c][f"q{i}"] for i in range(len(inner))}) if c in edges else [] for c in numeric}
+    grouping = fit_category_mapping(df, categorical, group_share) if categorical and group_share is not None else None
+    encoder = RowEncoder(list(categorical), list(numeric), splits, grouping, df.limit(0), size)
+    rows = materialise(encoder.tokens(df).select("_tokens"), "tokens")
+
+    counts = materialise(
+        rows.select(F.explode("_tokens").alias("t")).groupBy("t.column", "t.value").agg(F.count("*").alias("count")), "counts"
     )
-    encoder.model = word2vec.fit(sentences)
+    placed = materialise(row_positions(counts, [], [F.desc("count"), F.col("column"), F.col("value")], "id"), "vocabulary")
+    pairs = (
+        rows.select(F.explode("_tokens").alias("a"), "_tokens").select("a", F.explode("_tokens").alias("b"))
+        .where("a <> b").groupBy("a", "b").agg(F.count("*").alias("times"))
+    )
+    ids = placed.select(F.struct("column", "value").alias("token"), F.col("id").cast("int").alias("id"))
+    together = (
+        pairs.join(ids.select(F.col("token").alias("a"), F.col("id").alias("i")), "a")
+        .join(ids.select(F.col("token").alias("b"), F.col("id").alias("j")), "b")
+        .select("i", "j", F.ln(F.col("times") + 1.0).cast("float").alias("weight"))
+    )
+    zero = F.array(*(F.lit(0.0).cast("float") for _ in range(size)))
+    if together.isEmpty():  # rows of one column only
+        learned = placed.select("id", zero.alias("vector"))
+    else:
+        ordered = materialise(together.repartition(blocks, F.xxhash64("i", "j")).sortWithinPartitions("i", "j"), "pairs")
+        als = ALS(rank=size, maxIter=rounds, implicitPrefs=True, seed=seed, userCol="i", itemCol="j", ratingCol="weight", numUserBlocks=blocks, numItemBlocks=blocks)
+        learned = als.fit(ordered).userFactors.select("id", F.col("features").alias("vector"))
+    vectors = placed.join(learned, "id", "left").select("column", "value", "count", F.coalesce("vector", zero).alias("vector"))
+    encoder.vectors = materialise(vectors, "vectors")
     return encoder

@@ -17,14 +17,15 @@ from pyspark.sql import functions as F
 
 from riskflow.functions.scalars import number, quoted
 from riskflow.operators import metrics
-from riskflow.operators.ordering import running_total
+from riskflow.operators.joins import lookup
+from riskflow.operators.ordering import running_total, value_counts_long
+from riskflow.operators.profile import distinct_counts
 from riskflow.operators.sampling import with_class_weights
 from riskflow.session import materialise, spread
 
 # Defaults for the two uses of boosted trees: the trained model and the quick look.
 TRAINING_PARAMS = {"maxIter": 1000, "stepSize": 0.1, "maxDepth": 5, "seed": 42}
 EXPLORATION_PARAMS = {"maxIter": 100, "stepSize": 0.1, "maxDepth": 6, "seed": 42}
-MAX_CATEGORIES = 512
 MAX_BINS = 255
 MODEL_OUTPUTS = ("_features", "rawPrediction", "probability", "prediction")
 
@@ -53,25 +54,34 @@ class _BoostedTrees(TabularModel):
         categorical: Sequence[str] = (),
         numeric: Sequence[str] = (),
         label: str = "label",
-        max_categories: int = MAX_CATEGORIES,
+        frequency: Sequence[str] = (),
         max_bins: int = MAX_BINS,
         validation: str | None = None,
         **params: Any,
     ):
-        if max_categories < 2:
-            raise ValueError("max_categories must be at least 2")
+        unknown = [c for c in frequency if c not in categorical]
+        if unknown:
+            raise ValueError(f"frequency columns are not categorical: {unknown}")
         self.categorical, self.numeric, self.label = list(categorical), list(numeric), label
-        self.max_categories, self.max_bins = max_categories, max_bins
+        self.frequency, self.max_bins = list(frequency), max_bins
         self.validation, self.params = validation, dict(params)
-        self.hashed: list[str] = []
+        self.shares: DataFrame | None = None  # (column, value, share) of the frequency columns
         self.model: PipelineModel | None = None
 
     # -- features ------------------------------------------------------------------------------
     def _category(self, c: str) -> Column:
-        text = F.coalesce(quoted(c).cast("string"), F.lit("nan"))
-        if c in self.hashed:  # too many values for a tree split: fold them into a fixed number
-            text = F.pmod(F.xxhash64(text), F.lit(self.max_categories)).cast("string")
-        return text.alias(f"_text_{c}")
+        return F.coalesce(quoted(c).cast("string"), F.lit("nan")).alias(f"_text_{c}")
+
+    @property
+    def indexed(self) -> list[str]:
+        """Categorical columns whose values are told apart by the trees."""
+        return [c for c in self.categorical if c not in self.frequency]
+
+    def _with_shares(self, df: DataFrame) -> DataFrame:
+        for c in self.frequency:
+            table = self.shares.where(F.col("column") == c)
+            df = lookup(df, F.col(f"_text_{c}"), table, "value", "share", f"_share_{c}", F.lit(0.0), "share")
+        return df
 
     def _prepare(self, df: DataFrame) -> DataFrame:
         """Text categories, and numbers with missing ones as 0 beside an indicator."""
@@ -95,12 +105,13 @@ class _BoostedTrees(TabularModel):
 
         The training columns are written once, since every boosting round reads them again.
         """
-        if self.categorical:
-            seen = df.agg(*(F.approx_count_distinct(quoted(c)).alias(f"n{i}") for i, c in enumerate(self.categorical)))
-            counts = seen.first()
-            self.hashed = [c for i, c in enumerate(self.categorical) if counts[f"n{i}"] > self.max_categories * 0.8]
         prepared = self._prepare(self._weighted(df))
-        inputs = [c for c in prepared.columns if c.startswith(("_text_", "_value_", "_missing_"))]
+        if self.frequency:
+            values = value_counts_long(prepared, {c: F.col(f"_text_{c}") for c in self.frequency})
+            share = F.col("count") / F.lit(float(df.count()))
+            self.shares = materialise(values.select("column", "value", share.alias("share")), "shares")
+        prepared = self._with_shares(prepared)
+        inputs = [c for c in prepared.columns if c.startswith(("_text_", "_value_", "_missing_", "_share_"))]
         extra = [c for c in ("_weight", self.validation) if c and c in prepared.columns]
         table = materialise(
             prepared.select(quoted(self.label).cast("double").alias("_label"), *(quoted(c) for c in [*inputs, *extra])),
@@ -109,16 +120,20 @@ class _BoostedTrees(TabularModel):
         table = spread(table)
         stages: list = []
         bins = self.max_bins
-        if self.categorical:
+        if self.indexed:
+            counts = {r["column_name"]: r["distinct_count"] for r in distinct_counts(table, [f"_text_{c}" for c in self.indexed]).collect()}
+            wide = [c for c in self.indexed if counts[f"_text_{c}"] > self.max_bins]
+            if wide:
+                raise ValueError(f"more than max_bins={self.max_bins} values in {wide}: name them in frequency, or raise max_bins")
             indexer = StringIndexer(
-                inputCols=[f"_text_{c}" for c in self.categorical],
-                outputCols=[f"_index_{c}" for c in self.categorical],
+                inputCols=[f"_text_{c}" for c in self.indexed],
+                outputCols=[f"_index_{c}" for c in self.indexed],
                 handleInvalid="keep",
                 stringOrderType="frequencyDesc",
             ).fit(table)
             stages.append(indexer)
             bins = max(bins, *(len(labels) + 1 for labels in indexer.labelsArray))
-        vector = [f"_index_{c}" for c in self.categorical]
+        vector = [f"_{'share' if c in self.frequency else 'index'}_{c}" for c in self.categorical]
         vector += [f"_value_{c}" for c in self.numeric] + [f"_missing_{c}" for c in self.numeric]
         stages.append(VectorAssembler(inputCols=vector, outputCol="_features"))
         trees = self._estimator().setFeaturesCol("_features").setLabelCol("_label").setMaxBins(bins)
@@ -141,8 +156,8 @@ class _BoostedTrees(TabularModel):
     def transform(self, df: DataFrame) -> DataFrame:
         """``df`` with the model's output columns, which replace columns of the same name."""
         model = self._fitted()
-        scored = model.transform(self._prepare(df.drop(*MODEL_OUTPUTS)))
-        return scored.drop(*(c for c in scored.columns if c.startswith(("_text_", "_value_", "_missing_", "_index_"))))
+        scored = model.transform(self._with_shares(self._prepare(df.drop(*MODEL_OUTPUTS))))
+        return scored.drop(*(c for c in scored.columns if c.startswith(("_text_", "_value_", "_missing_", "_index_", "_share_"))))
 
     def predict(self, df: DataFrame) -> DataFrame:
         """``df`` with a ``prediction`` column."""
@@ -169,10 +184,9 @@ class _BoostedTrees(TabularModel):
             "categorical": self.categorical,
             "numeric": self.numeric,
             "label": self.label,
-            "max_categories": self.max_categories,
+            "frequency": self.frequency,
             "max_bins": self.max_bins,
             "validation": self.validation,
-            "hashed": self.hashed,
             "params": self.params,
         }
 
@@ -182,14 +196,18 @@ class _BoostedTrees(TabularModel):
         spark = SparkSession.getActiveSession()
         row = spark.createDataFrame([(json.dumps(self._config()),)], "config string")
         row.coalesce(1).write.mode("overwrite").text(f"{path}/config")
+        if self.shares is not None:
+            self.shares.write.mode("overwrite").parquet(f"{path}/shares")
 
     @classmethod
     def load(cls, path: str) -> _BoostedTrees:
         spark = SparkSession.getActiveSession()
         config = json.loads(spark.read.text(f"{path}/config").first()["value"])
-        params, hashed = config.pop("params"), config.pop("hashed")
+        params = config.pop("params")
         loaded = cls(**{k: v for k, v in config.items()}, **params)
-        loaded.hashed, loaded.model = hashed, PipelineModel.load(f"{path}/model")
+        loaded.model = PipelineModel.load(f"{path}/model")
+        if loaded.frequency:
+            loaded.shares = spark.read.parquet(f"{path}/shares")
         return loaded
 
 

@@ -6,6 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SPREAD = 16
 
 
 def build_session(cores: str | int = "*", app: str = "riskflow", **conf: str) -> SparkSession:
@@ -66,10 +69,11 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
 
 
 def spread(table: DataFrame) -> DataFrame:
-    """Write a scan out again in one file per core when it has fewer partitions than cores.
+    """Write a scan with few partitions out again in ``SPREAD`` files, rows dealt by a hash of what they hold.
 
-    For tables that are read many times by costly work, such as training. A table with at least as many
-    partitions as cores, which any large one is, stays as it is.
+    For tables that are read many times by costly work, such as training. The layout follows from the rows, not from
+    the cores, and so does what is trained on it. A table with at least ``SPREAD`` partitions stays as it is.
     """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return materialise(table.repartition(cores), "spread") if table.rdd.getNumPartitions() < cores else table
+    if table.rdd.getNumPartitions() >= SPREAD:
+        return table
+    return materialise(table.repartition(SPREAD, F.xxhash64(*(F.col(f"`{c}`") for c in table.columns))), "spread")

@@ -80,14 +80,21 @@ def test_guards(cases):
     with pytest.raises(ValueError):
         models.BoostedTreesRegressor([], ["x"], "y").evaluate(cases, "roc_auc")
     with pytest.raises(ValueError):
-        models.BoostedTreesClassifier(max_categories=1)
+        models.BoostedTreesClassifier(frequency=["c"])
 
 
-def test_many_categories_are_folded(spark):
+def test_many_categories_need_an_encoding(spark, tmp_path):
     df = spark.range(400).select((F.col("id") % 200).cast("string").alias("c"), (F.col("id") % 2).cast("int").alias("y"))
-    model = models.BoostedTreesClassifier(["c"], [], "y", max_categories=16, max_bins=8, **SMALL).fit(df)
-    assert model.hashed == ["c"]
-    assert model.predict_proba(df).where("score IS NULL").count() == 0
+    with pytest.raises(ValueError, match="frequency"):
+        models.BoostedTreesClassifier(["c"], [], "y", max_bins=100, **SMALL).fit(df)
+    exact = models.BoostedTreesClassifier(["c"], [], "y", max_bins=200, **SMALL).fit(df)
+    assert exact.evaluate(exact.transform(df), "accuracy") == 1.0
+    skewed = df.where("id < 200 OR id % 3 = 0")
+    model = models.BoostedTreesClassifier(["c"], [], "y", frequency=["c"], max_bins=8, **SMALL).fit(skewed)
+    model.save(str(tmp_path / "m"))
+    loaded = models.BoostedTreesClassifier.load(str(tmp_path / "m"))
+    scored = loaded.predict_proba(df.unionByName(df.limit(1).withColumn("c", F.lit("unseen"))))
+    assert scored.where("score IS NULL").count() == 0 and scored.count() == 401
 
 
 def test_regressor(cases):
@@ -145,24 +152,34 @@ def test_row_vectors_are_means_of_value_vectors(cases):
     out = encoder.transform(cases)
     assert out.columns == [*cases.columns, "encoder_emb_0", "encoder_emb_1", "encoder_emb_2"]
     assert out.count() == 600
-    vectors = {f"{r['column']}={r['value']}": r["vector"] for r in encoder.value_vectors().collect()}
-    assert "c=hot" in vectors and "x=nan" in vectors
-    tokens = {r["id"]: r["_tokens"] for r in encoder.tokens(cases).select("id", "_tokens").collect()}
+    vectors = {(r["column"], r["value"]): r["vector"] for r in encoder.value_vectors().collect()}
+    assert ("c", "hot") in vectors and ("x", "nan") in vectors
+    tokens = {r["id"]: [tuple(t) for t in r["_tokens"]] for r in encoder.tokens(cases).select("id", "_tokens").collect()}
     for r in out.where("id < 40").collect():
         of = [vectors[t] for t in tokens[r["id"]]]
         for i in range(3):
             assert r[f"encoder_emb_{i}"] == pytest.approx(sum(v[i] for v in of) / len(of), abs=1e-5)
 
 
-def test_long_tails_are_grouped_before_training_vectors(spark):
-    df = spark.range(500).select(F.when(F.col("id") < 400, F.lit("a=b")).otherwise(F.col("id").cast("string")).alias("c"))
-    encoder = embeddings.fit_row_encoder(df, ["c"], size=2, max_tokens=60)
-    assert encoder.grouping is not None
-    values = {r["value"] for r in encoder.value_vectors().collect()}
-    assert {"a=b", "Other"} <= values and len(values) <= 60
-    assert encoder.transform(df).columns == ["c", "encoder_emb_0", "encoder_emb_1"]
-    few = embeddings.fit_row_encoder(df, ["c"], size=2, max_tokens=10)
-    assert few.value_vectors().count() == 10 and few.transform(df).count() == 500
+def test_row_vectors_do_not_depend_on_partitions(spark, cases, tmp_path):
+    found = []
+    for parts in (1, 7):
+        encoder = embeddings.fit_row_encoder(cases.repartition(parts, "id"), ["c"], ["x"], size=3, bins=4)
+        found.append({r["id"]: [r[f"encoder_emb_{i}"] for i in range(3)] for r in encoder.transform(cases).collect()})
+    assert all(found[0][k] == pytest.approx(found[1][k], abs=1e-6) for k in found[0])
+    encoder.save(str(tmp_path / "e"))
+    loaded = embeddings.RowEncoder.load(spark, str(tmp_path / "e"))
+    again = {r["id"]: [r[f"encoder_emb_{i}"] for i in range(3)] for r in loaded.transform(cases).collect()}
+    assert again == found[1]
+
+
+def test_every_value_has_a_vector_unless_grouping_is_asked_for(spark):
+    df = spark.range(500).select(F.when(F.col("id") < 400, F.lit("a=b")).otherwise(F.col("id").cast("string")).alias("c=d"), (F.col("id") % 3).cast("string").alias("e"))
+    encoder = embeddings.fit_row_encoder(df, ["c=d", "e"], size=2)
+    assert encoder.value_vectors().where("column = 'c=d'").count() == 101
+    few = embeddings.fit_row_encoder(df, ["c=d", "e"], size=2, group_share=85.0)
+    assert {r["value"] for r in few.value_vectors().where("column = 'c=d'").collect()} >= {"a=b", "Other"}
+    assert few.value_vectors().count() < 40 and few.transform(df).count() == 500
 
 
 def test_append_embeddings_to_splits(spark, cases, tmp_path):
