@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations_with_replacement
 
 from pyspark.errors import ArithmeticException, SparkRuntimeException
@@ -63,11 +64,10 @@ def spearman_matrix(
     missing = df.agg(*(F.count_if(values[c].isNull()).alias(f"m{i}") for i, c in enumerate(columns))).first() if columns else ()
     holed = {c for c, n in zip(columns, missing, strict=True) if n}
     if holed:
-        whole = spearman_matrix(df, [c for c in columns if c not in holed], single_task_rows, broadcast_rows)
-        for a, b in combinations_with_replacement(columns, 2):
-            if a in holed or b in holed:
-                whole = whole.unionByName(spearman(df, a, b))
-        return whole
+        clean = [c for c in columns if c not in holed]
+        parts = [spearman_matrix(df, clean, single_task_rows, broadcast_rows)] if clean else []
+        parts += [spearman(df, a, b) for a, b in combinations_with_replacement(columns, 2) if a in holed or b in holed]
+        return reduce(DataFrame.unionByName, parts)
     ranks = materialise(average_ranks(df, values, single_task_rows), "ranks")
     sizes = {r["column"]: r["n"] for r in ranks.groupBy("column").agg(F.count("*").alias("n")).collect()}
     ranked = df.select(*(values[c].alias(c) for c in columns))
