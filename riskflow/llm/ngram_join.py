@@ -344,20 +344,20 @@ def jaccard_nodes(docs: DataFrame, key: str, text: str, words: int = WORDS) -> t
     prefixes = _prefixes(chosen, _bucket_ranks(every), words)
     met = materialise(prefixes.repartition("key").mapInArrow(_meetings, "key bigint, node bigint, size bigint"), "meetings")
 
-    rooted, tried, links, roots = met.withColumn("root", F.col("node")), None, None, None
+    none = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    unlinked = nodes.select("node", F.col("node").alias("root")).limit(0)
+    if met.isEmpty():  # no two documents meet
+        return documents, unlinked
+    rooted, tried, links, roots = met.withColumn("root", F.col("node")), none, none, unlinked
     for _ in range(ROUNDS):
-        pairs = _often_met(rooted)
-        fresh_pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        found = materialise(_bounded(fresh_pairs, nodes), "pairs")
-        if found.isEmpty():
+        pairs = _often_met(rooted).join(tried, ["a", "b"], "left_anti")
+        found = materialise(_bounded(pairs, nodes), "pairs")
+        if found.isEmpty():  # one node a key says nothing of the other pairs, which come below
             break
-        tried = found if tried is None else tried.unionByName(found)
-        good = _verified(found, chosen, sample, words)
-        links = good if links is None else links.unionByName(good)
+        tried = tried.unionByName(found)
+        links = links.unionByName(_verified(found, chosen, sample, words))
         roots = components(links)
         rooted = materialise(met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "meetings")
-    if tried is None:  # no two documents meet
-        return documents, nodes.select("node", F.col("node").alias("root")).limit(0)
 
     # All pairs of different components that still meet.
     open_rows = rooted.join(_open_keys(rooted).select("key"), "key").join(nodes.select("node", "coarse"), "node")

@@ -82,6 +82,37 @@ def test_tiles_alone_find_all(spark, rows, monkeypatch):
     assert Counter(map(tuple, ngram_join.jaccard_components(docs).collect())) == brute(rows)
 
 
+def _meeting_through_a_third(tag):
+    """A short text, two near copies that hold it and a common passage, and ten pages with that passage."""
+    short, common = [f"{tag}p{i}" for i in range(30)], [f"q{i}" for i in range(30)]
+    both = short + common
+    texts = [short, both, [*both[:45], "changed", *both[46:]]]
+    texts += [[f"page{n}w{i}" for i in range(200)] + common for n in range(10)]
+    return [" ".join(words) for words in texts]
+
+
+def test_pair_hidden_by_a_third_document(spark):
+    """Where the two copies meet, the smallest node mostly is the short text, which links with neither."""
+    for tag in range(100):
+        texts = _meeting_through_a_third(f"t{tag}")
+        data, offsets = "".join(texts[:3]).encode(), np.cumsum([0, *(len(t) for t in texts[:3])])
+        short, *copies = ngram_join._node(*ngram_join.shingle_sets(np.frombuffer(data, np.uint8), offsets)).tolist()
+        if short < min(copies):
+            rows = list(enumerate(texts))
+            docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+            found = Counter(map(tuple, ngram_join.jaccard_components(docs).collect()))
+            assert found == brute(rows)
+            assert {key: root for key, _, root in found}[2] == 1
+            return
+    raise AssertionError("no order of nodes as wanted")
+
+
+def test_no_two_documents_meet(spark):
+    rows = [(1, "a b c d e"), (2, "f g h i j"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert Counter(map(tuple, ngram_join.jaccard_components(docs).collect())) == brute(rows)
+
+
 def test_jaccard_query(spark, folder, tables):
     rows = [(r.doc_id, r.text) for r in tables("documents").collect()]
     assert Counter(map(tuple, queries.op7_jaccard(spark, folder).collect())) == brute(rows)
