@@ -18,8 +18,6 @@ from riskflow.registry.eda import customer_orders
 from riskflow.registry.splitting import LINE_KEY
 from riskflow.session import scratch_path
 
-# Few rounds keep a check run short; the number is a parameter of every model.
-ROUNDS = {"maxIter": 5, "maxDepth": 4, "seed": 42}
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 CATEGORIES = ["l_linestatus", "l_linenumber"]
 
@@ -31,7 +29,7 @@ def returned_lines(spark, folder):
 
 
 def classifier(**options) -> models.BoostedTreesClassifier:
-    return models.BoostedTreesClassifier(CATEGORIES, NUMBERS, "returned", **{**ROUNDS, **options})
+    return models.BoostedTreesClassifier(CATEGORIES, NUMBERS, "returned", **options)
 
 
 @query("gbt_scores")
@@ -51,7 +49,7 @@ def gbt_margin(spark, folder):
 @query("gbt_regression")
 def gbt_regression(spark, folder):
     rows = customer_orders(spark, folder).select("o_orderkey", "o_totalprice", "o_orderpriority", "c_mktsegment", "c_acctbal")
-    model = models.BoostedTreesRegressor(["o_orderpriority", "c_mktsegment"], ["c_acctbal"], "o_totalprice", **ROUNDS)
+    model = models.BoostedTreesRegressor(["o_orderpriority", "c_mktsegment"], ["c_acctbal"], "o_totalprice")
     return model.fit(rows).predict(rows).select("o_orderkey", "o_totalprice", "prediction")
 
 
@@ -82,7 +80,7 @@ def model_evaluate(spark, folder):
 
 @query("training_metrics")
 def training_metrics(spark, folder):
-    return train_and_judge(returned_lines(spark, folder), LINE_KEY, "returned", CATEGORIES, NUMBERS, **ROUNDS).metrics
+    return train_and_judge(returned_lines(spark, folder), LINE_KEY, "returned", CATEGORIES, NUMBERS).metrics
 
 
 @query("row_embeddings")
@@ -112,7 +110,7 @@ def embedding_head(spark, folder):
     parts = {"train": rows.where("set = 'train'"), "test": rows.where("set <> 'train'")}
     widened, _ = append_embeddings(parts, ["o_orderpriority", "c_mktsegment"], ["o_totalprice", "c_acctbal"], 4)
     vectors = [f"encoder_emb_{i}" for i in range(4)]
-    model = models.BoostedTreesClassifier((), ["o_totalprice", "c_acctbal", *vectors], "finished", **ROUNDS)
+    model = models.BoostedTreesClassifier((), ["o_totalprice", "c_acctbal", *vectors], "finished")
     return model.fit(widened["train"]).predict_proba(widened["test"]).select("o_orderkey", "finished", "score")
 
 
@@ -122,13 +120,13 @@ def tuning_trials(spark, folder):
     rows = VectorAssembler(inputCols=NUMBERS, outputCol="features").transform(lines).select("key", "returned", "features")
 
     def train(part, params):
-        return GBTClassifier(labelCol="returned", seed=42, maxIter=2, **params).fit(part)
+        return GBTClassifier(labelCol="returned", **{**models.TRAINING_PARAMS, **params}).fit(part)
 
     def score(model, part):
         scored = model.transform(part).select("returned", vector_to_array("probability")[1].alias("score"))
         return metrics.roc_auc(scored, "returned", "score").first()["roc_auc"]
 
-    search = RandomSearch(trials=2, folds=5, parallelism=2)
+    search = RandomSearch(parallelism=2)
     space = {"maxDepth": lambda rng: rng.randint(2, 4), "stepSize": lambda rng: rng.choice([0.1, 0.2, 0.3])}
     search.optimize_model(rows, "returned", "key", train, score, space)
     return search.top_trials(10).withColumn("params", F.to_json("params"))

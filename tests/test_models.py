@@ -14,6 +14,7 @@ from riskflow.operators.tuning import RandomSearch
 from riskflow.plans.embedding import append_embeddings, write_splits
 from riskflow.plans.features import FeatureSteps, fit_features, write_processed
 from riskflow.plans.training import train_and_judge
+from riskflow.registry import modelling
 
 SMALL = {"maxIter": 3, "maxDepth": 3, "seed": 1}
 
@@ -129,6 +130,44 @@ def test_train_arguments(cases):
         train_and_judge(cases, "id", "y", ["c"], ["x"], balance="other")
 
 
+# -- registered queries ----------------------------------------------------------------------------------
+class Seen(Exception):
+    """Rounds and depth that a query asks for; ends it before it trains."""
+
+
+@pytest.mark.parametrize(
+    "name", ["gbt_scores", "gbt_regression", "gbt_early_stop", "gbt_importances", "model_evaluate", "training_metrics", "embedding_head"]
+)
+def test_queries_train_with_the_preset(spark, folder, monkeypatch, name):
+    def fit(self, df):
+        raise Seen(self._estimator().getMaxIter(), self._estimator().getMaxDepth())
+
+    monkeypatch.setattr(models._BoostedTrees, "fit", fit)
+    with pytest.raises(Seen) as seen:
+        getattr(modelling, name)(spark, folder)
+    assert seen.value.args == (1000, 5)
+
+
+def test_search_query_runs_the_defaults(spark, folder, monkeypatch):
+    asked, searches = [], []
+
+    def fit(self, df):
+        asked.append(self.getMaxIter())
+        raise Seen
+
+    monkeypatch.setattr(modelling.GBTClassifier, "fit", fit)
+    monkeypatch.setattr(modelling, "RandomSearch", lambda **options: searches.append(RandomSearch(**options)) or searches[-1])
+    assert modelling.tuning_trials(spark, folder).count() == 10
+    assert set(asked) == {1000}
+    assert (len(searches[0].results), searches[0].folds) == (100, 5)
+
+
+def test_early_stop_query_ends_below_its_limit(spark, folder):
+    found = modelling.gbt_early_stop(spark, folder).collect()
+    assert {r["set"] for r in found} == {"train", "validation"}
+    assert all(r["rounds"] < models.TRAINING_PARAMS["maxIter"] for r in found)
+
+
 # -- features and embeddings ---------------------------------------------------------------------------
 def test_feature_steps_are_stored_and_reused(spark, tmp_path, cases):
     train, test = cases.where("id < 400"), cases.where("id >= 400")
