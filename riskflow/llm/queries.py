@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm import chat, exact_dedup, fingerprints, mixing, ngram_join, packing, repeats, token_counts, tokens, toxicity
+from riskflow.llm import (
+    chat, exact_dedup, fingerprints, mixing, ngram_join, packing, repeats, token_counts, tokens, toxicity, tree_queries,
+)
 from riskflow.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,5 +163,5 @@ QUERIES: dict[str, Query] = {
         op1_toxicity, op2_token_files, op3_repeats, op4_token_counts, op5_packing, op6_fingerprints, op7_jaccard,
         op8_chat, op9_exact_dedup, op10_mixing,
     )
-}
-ORACLES: dict[str, str] = {"op9_exact_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
+} | tree_queries.QUERIES
+ORACLES: dict[str, str] = {"op9_exact_dedup": OP9_SQL, "op10_mixing": OP10_SQL, **tree_queries.ORACLES}
