@@ -105,6 +105,12 @@ class _BoostedTrees(TabularModel):
 
         The training columns are written once, since every boosting round reads them again.
         """
+        table, stages, bins = self._training_table(df)
+        self.model = self._train(table, stages, bins)
+        return self
+
+    def _training_table(self, df: DataFrame) -> tuple[DataFrame, list, int]:
+        """The written training columns, the stages that make a vector of them, and the bins that their categories need."""
         prepared = self._prepare(self._weighted(df))
         if self.frequency:
             values = value_counts_long(prepared, {c: F.col(f"_text_{c}") for c in self.frequency})
@@ -113,11 +119,9 @@ class _BoostedTrees(TabularModel):
         prepared = self._with_shares(prepared)
         inputs = [c for c in prepared.columns if c.startswith(("_text_", "_value_", "_missing_", "_share_"))]
         extra = [c for c in ("_weight", self.validation) if c and c in prepared.columns]
-        table = materialise(
-            prepared.select(quoted(self.label).cast("double").alias("_label"), *(quoted(c) for c in [*inputs, *extra])),
-            "training",
+        table = spread(
+            prepared.select(quoted(self.label).cast("double").alias("_label"), *(quoted(c) for c in [*inputs, *extra]))
         )
-        table = spread(table)
         stages: list = []
         bins = self.max_bins
         if self.indexed:
@@ -136,14 +140,15 @@ class _BoostedTrees(TabularModel):
         vector = [f"_{'share' if c in self.frequency else 'index'}_{c}" for c in self.categorical]
         vector += [f"_value_{c}" for c in self.numeric] + [f"_missing_{c}" for c in self.numeric]
         stages.append(VectorAssembler(inputCols=vector, outputCol="_features"))
+        return table, stages, bins
+
+    def _train(self, table: DataFrame, stages: list, bins: int) -> PipelineModel:
         trees = self._estimator().setFeaturesCol("_features").setLabelCol("_label").setMaxBins(bins)
         if self.validation:
             trees = trees.setValidationIndicatorCol(self.validation)
         if "_weight" in table.columns:
             trees = trees.setWeightCol("_weight")
-        stages.append(trees)
-        self.model = Pipeline(stages=stages).fit(table)
-        return self
+        return Pipeline(stages=[*stages, trees]).fit(table)
 
     def _weighted(self, df: DataFrame) -> DataFrame:
         return df
@@ -243,11 +248,20 @@ class BoostedTreesClassifier(_BoostedTrees):
         return scored.select(*kept, vector_to_array(output)[1].alias(name))
 
     def evaluate(self, df: DataFrame, metric: str = "roc_auc") -> float:
-        if metric == "roc_auc":
-            return metrics.roc_auc(self.predict_proba(df, "_score"), self.label, "_score").first()["roc_auc"]
-        if metric == "accuracy":
-            return metrics.accuracy(self.predict(df), self.label, "prediction").first()["accuracy"]
-        raise ValueError(f"unsupported metric {metric!r}: use roc_auc or accuracy")
+        return self.evaluate_all(df, [metric])[metric]
+
+    def evaluate_all(self, df: DataFrame, names: Sequence[str] = ("roc_auc", "accuracy")) -> dict[str, float]:
+        """Several metrics of one scoring run: the scores are written once."""
+        for name in names:
+            if name not in ("roc_auc", "accuracy"):
+                raise ValueError(f"unsupported metric {name!r}: use roc_auc or accuracy")
+        scored = self.transform(df.drop("_score")).select(quoted(self.label).alias("_y"), "prediction", vector_to_array("probability")[1].alias("_score"))
+        scored = materialise(scored, "scores")
+        found = {
+            "roc_auc": lambda: metrics.roc_auc(scored, "_y", "_score").first()["roc_auc"],
+            "accuracy": lambda: metrics.accuracy(scored, "_y", "prediction").first()["accuracy"],
+        }
+        return {name: found[name]() for name in names}
 
 
 class BoostedTreesRegressor(_BoostedTrees):

@@ -6,8 +6,9 @@ import logging
 import math
 import random
 import time
+import uuid
 from collections.abc import Callable, Mapping
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -39,13 +40,19 @@ class Trial:
 class RandomSearch:
     """Draws parameter sets on the driver; every trial is a set of Spark jobs over the whole table."""
 
-    def __init__(self, trials: int = 100, folds: int = 5, seed: int = 42, timeout: float | None = None, parallelism: int = 1):
+    def __init__(
+        self, trials: int = 100, folds: int = 5, seed: int = 42, timeout: float | None = None, parallelism: int = 1,
+        concurrent: int = 1,
+    ):
         if trials < 1:
             raise ValueError("trials must be at least 1")
         if folds < 2:
             raise ValueError("folds must be at least 2")
+        if concurrent < 1:
+            raise ValueError("concurrent must be at least 1")
         self.trials, self.folds, self.seed, self.timeout = trials, folds, seed, timeout
         self.parallelism = parallelism  # folds trained at once
+        self.concurrent = concurrent  # trials run at once
         self.direction = "maximize"
         self.results: list[Trial] | None = None
 
@@ -57,28 +64,59 @@ class RandomSearch:
     ) -> tuple[dict[str, Any], float]:
         """Run the trials; a trial that fails gets the worst score and the search goes on.
 
-        The time limit is checked between trials. Returns the best parameters and their score.
+        Parameters are drawn in order of the trials, so they don't depend on which trial ends first. ``concurrent`` trials
+        run at a time, each in a scheduler pool of its own. Past the time limit no trial is begun (the first always is), the
+        Spark jobs of those that run are cancelled, and they end as ``stopped``, with the worst score. Returns the best
+        parameters and their score.
         """
         if direction not in WORST:
             raise ValueError("direction must be maximize or minimize")
         self.direction, self.results = direction, []
         rng, started = random.Random(self.seed), time.monotonic()
-        for n in range(self.trials):
-            if self.timeout is not None and n and time.monotonic() - started > self.timeout:
-                break
-            params = {name: suggest(rng) for name, suggest in space.items()}
+        spark = SparkSession.getActiveSession()
+        tag = f"search-{uuid.uuid4().hex}"
+
+        def late() -> bool:
+            return self.timeout is not None and time.monotonic() - started > self.timeout
+
+        def run(n: int, params: dict[str, Any]) -> Trial:
+            if spark is not None:
+                spark.sparkContext.addJobTag(tag)
+                spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"trial-{n % self.concurrent}")
             try:
                 value = float(objective(params))
                 if math.isnan(value):
                     raise ValueError("the objective is not a number")
-                trial = Trial(n, value, params)
+                return Trial(n, value, params)
             except Exception as error:
                 log.warning("trial %d failed: %s", n, error)
-                trial = Trial(n, WORST[direction], params, "failed")
-            self.results.append(trial)
+                return Trial(n, WORST[direction], params, "stopped" if late() else "failed")
+            finally:
+                if spark is not None:
+                    spark.sparkContext.removeJobTag(tag)
+                    spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+        begin = inheritable_thread_target(spark)(run) if spark is not None else run
+        running, n = set(), 0
+        with ThreadPoolExecutor(self.concurrent) as pool:
+            while True:
+                while n < self.trials and len(running) < self.concurrent and not (n and late()):
+                    running.add(pool.submit(begin, n, {name: suggest(rng) for name, suggest in space.items()}))
+                    n += 1
+                if not running:
+                    break
+                done, running = wait(running, timeout=self._until(started), return_when=FIRST_COMPLETED)
+                self.results += [trial.result() for trial in done]
+                if running and late() and spark is not None:
+                    spark.sparkContext.cancelJobsWithTag(tag)  # again for jobs that a trial begins meanwhile
+        self.results.sort(key=lambda t: t.number)
         best = self._ordered()[0]
         return best.params, best.value
 
+    def _until(self, started: float) -> float | None:
+        """Seconds to wait for a trial: until the limit, then in short turns."""
+        return None if self.timeout is None else max(started + self.timeout - time.monotonic(), 0.1)
+
     def optimize_model(
         self,
         df: DataFrame,

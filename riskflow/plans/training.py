@@ -17,7 +17,7 @@ from riskflow.operators.metrics import classification_report, metrics_by_set
 from riskflow.operators.models import BoostedTreesClassifier
 from riskflow.operators.sampling import split_rows, undersample_negatives
 from riskflow.session import materialise
-from riskflow.sources.artefacts import write_settings
+from riskflow.sources.artefacts import read_settings, write_settings
 from riskflow.sources.tables import write_csv_report
 
 
@@ -25,7 +25,7 @@ from riskflow.sources.tables import write_csv_report
 class TrainingResult:
     model: BoostedTreesClassifier
     calibrator: IsotonicRegressionModel
-    scored: DataFrame
+    scored: DataFrame | None
     metrics: DataFrame
     label: str
 
@@ -44,6 +44,14 @@ class TrainingResult:
         write_csv_report(self.metrics, f"{directory}/metrics")
         write_settings(spark, self.model._config(), f"{directory}/settings")
 
+    @classmethod
+    def read(cls, spark: SparkSession, directory: str) -> TrainingResult:
+        """A written run: its model and calibrator score new rows, its metrics are as stored; ``scored`` is not kept."""
+        settings = read_settings(spark, f"{directory}/settings")
+        metrics = spark.read.option("header", True).option("inferSchema", True).csv(f"{directory}/metrics")
+        calibrator = IsotonicRegressionModel.load(f"{directory}/calibrator")
+        return cls(BoostedTreesClassifier.load(f"{directory}/model"), calibrator, None, metrics, settings["label"])
+
 
 def train_and_judge(
     df: DataFrame,
@@ -55,12 +63,14 @@ def train_and_judge(
     seed: int = SEED,
     balance: str | None = "weights",
     calibration_set: str = "train",
+    stop_on_validation: bool = False,
     **params: Any,
 ) -> TrainingResult:
     """Train on the hash split, calibrate on ``calibration_set``, and give the metrics of both sets.
 
     ``balance`` is ``weights``, ``undersample`` or ``None``. Rows with an unknown target take no part.
-    Scores are written once; calibration, metrics and reports all read that copy.
+    With ``stop_on_validation`` training ends when the other set stops gaining, otherwise it runs all its rounds. Scores are
+    written once; calibration, metrics and reports all read that copy.
     """
     if balance not in ("weights", "undersample", None):
         raise ValueError("balance must be 'weights', 'undersample' or None")
@@ -69,6 +79,11 @@ def train_and_judge(
     train = rows.where(F.col("set") == "train")
     if balance == "undersample":
         train = undersample_negatives(train, label, keys, seed)
+    if stop_on_validation:
+        train = train.withColumn("_held_out", F.lit(False)).unionByName(
+            rows.where(F.col("set") != "train").withColumn("_held_out", F.lit(True))
+        )
+        params["validation"] = "_held_out"
     model = BoostedTreesClassifier(categorical, numeric, label, balanced=balance == "weights", **params).fit(train)
     raw = model.predict_proba(rows.select(*(quoted(c) for c in dict.fromkeys([*keys, label, *categorical, *numeric, "set"]))), "score")
     written = materialise(raw, "scores")

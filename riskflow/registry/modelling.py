@@ -1,40 +1,57 @@
-"""Models, embeddings and parameter search. SQL has no counterpart; tests check their properties."""
+"""Models, embeddings and parameter search. Where SQL has no counterpart, tests check their properties."""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+import json
+import random
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from riskflow.config import SEED
 from riskflow.operators import metrics, models
+from riskflow.operators.boosting import NewtonBoostedClassifier, loss_by_round
 from riskflow.operators.embeddings import fit_row_encoder
-from riskflow.operators.sampling import split_rows
+from riskflow.operators.rates import binned, out_of_fold_error
+from riskflow.operators.sampling import split_rows, stratified_folds
 from riskflow.operators.tuning import RandomSearch
 from riskflow.plans.embedding import append_embeddings
 from riskflow.plans.training import train_and_judge
 from riskflow.registry import query, rounded, table
 from riskflow.registry.eda import customer_orders
-from riskflow.registry.splitting import LINE_KEY
-from riskflow.session import scratch_path
+from riskflow.registry.splitting import LINE_KEY, LINE_KEY_SQL
+from riskflow.session import materialise, scratch_path, spread
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 CATEGORIES = ["l_linestatus", "l_linenumber"]
 
 
+#: Least relative gain a round on the held-out rows; below it training ends.
+TOLERANCE = 0.03
+CHARGE_SQL = "l_extendedprice * (1 - l_discount) * (1 + l_tax)"
+
+
 def returned_lines(spark, folder):
     return table(spark, folder, "lineitem").select(
         *LINE_KEY, "l_linestatus", *NUMBERS, (F.col("l_returnflag") == "R").cast("int").alias("returned")
     )
 
 
+def valuable_lines(spark, folder):
+    """A target that the features explain, and a fifth of the rows held out: the preset's rounds end when those gain no more."""
+    charge = F.expr(CHARGE_SQL)
+    lines = table(spark, folder, "lineitem").select(*LINE_KEY, "l_linestatus", *NUMBERS, charge.alias("charge"), (charge >= 50_000).cast("int").alias("valuable"))
+    return split_rows(lines, LINE_KEY).withColumn("held_out", F.col("set") == "validation")
+
+
 def classifier(**options) -> models.BoostedTreesClassifier:
-    return models.BoostedTreesClassifier(CATEGORIES, NUMBERS, "returned", **options)
+    options = {"validation": "held_out", "validationTol": TOLERANCE, **options}
+    return models.BoostedTreesClassifier(CATEGORIES, NUMBERS, "valuable", **options)
 
 
 @query("gbt_scores")
 def gbt_scores(spark, folder):
-    rows = returned_lines(spark, folder)
+    rows = valuable_lines(spark, folder)
     scored = classifier(balanced=True).fit(rows).transform(rows)
     return scored.select(*LINE_KEY, "prediction", vector_to_array("probability")[1].alias("score"))
 
@@ -48,39 +65,41 @@ def gbt_margin(spark, folder):
 
 @query("gbt_regression")
 def gbt_regression(spark, folder):
-    rows = customer_orders(spark, folder).select("o_orderkey", "o_totalprice", "o_orderpriority", "c_mktsegment", "c_acctbal")
-    model = models.BoostedTreesRegressor(["o_orderpriority", "c_mktsegment"], ["c_acctbal"], "o_totalprice")
-    return model.fit(rows).predict(rows).select("o_orderkey", "o_totalprice", "prediction")
+    rows = valuable_lines(spark, folder)
+    model = models.BoostedTreesRegressor(CATEGORIES, NUMBERS, "charge", validation="held_out", validationTol=TOLERANCE)
+    return model.fit(rows).predict(rows).select(*LINE_KEY, "charge", "prediction")
 
 
 @query("gbt_early_stop")
 def gbt_early_stop(spark, folder):
-    rows = split_rows(returned_lines(spark, folder), LINE_KEY)
-    rows = rows.withColumn("held_out", F.col("set") == "validation")
-    model = classifier(validation="held_out", validationTol=0.01).fit(rows)
+    """The preset's limit is 1000 rounds; ``rounds`` are those kept."""
+    rows = valuable_lines(spark, folder)
+    model = classifier().fit(rows)
     scored = model.predict_proba(rows)
-    return metrics.roc_auc(scored, "returned", "score", ["set"]).withColumn("rounds", F.lit(model.rounds))
+    return metrics.roc_auc(scored, "valuable", "score", ["set"]).withColumn("rounds", F.lit(model.rounds))
 
 
 @query("gbt_importances")
 def gbt_importances(spark, folder):
-    return classifier().fit(returned_lines(spark, folder)).importances(top=30)
+    return classifier().fit(valuable_lines(spark, folder)).importances(top=30)
 
 
 @query("model_evaluate")
 def model_evaluate(spark, folder):
     """Save, load, then evaluate the loaded model on the whole table."""
-    rows = returned_lines(spark, folder)
+    rows = valuable_lines(spark, folder)
     path = scratch_path(spark, "model")
     classifier().fit(rows).save(path)
-    loaded = models.BoostedTreesClassifier.load(path)
-    found = [(m, float(loaded.evaluate(rows, m))) for m in ("roc_auc", "accuracy")]
-    return spark.createDataFrame(found, "metric string, value double")
+    found = models.BoostedTreesClassifier.load(path).evaluate_all(rows)
+    return spark.createDataFrame([(m, float(v)) for m, v in found.items()], "metric string, value double")
 
 
 @query("training_metrics")
 def training_metrics(spark, folder):
-    return train_and_judge(returned_lines(spark, folder), LINE_KEY, "returned", CATEGORIES, NUMBERS).metrics
+    rows = valuable_lines(spark, folder).drop("set", "held_out")
+    return train_and_judge(
+        rows, LINE_KEY, "valuable", CATEGORIES, NUMBERS, stop_on_validation=True, validationTol=TOLERANCE
+    ).metrics
 
 
 @query("row_embeddings")
@@ -101,35 +120,109 @@ def value_embeddings(spark, folder):
 
 @query("embedding_head")
 def embedding_head(spark, folder):
-    """Trees over the row vectors beside the original numbers."""
+    """Trees over the row vectors beside the original numbers, until the held-out rows gain no more."""
     rows = customer_orders(spark, folder).select(
         "o_orderkey", "o_orderpriority", "c_mktsegment", "o_totalprice", "c_acctbal",
-        (F.col("o_orderstatus") == "F").cast("int").alias("finished"),
+        (F.col("o_totalprice") + 10 * F.col("c_acctbal") >= 300_000).cast("int").alias("large"),
     )
     rows = split_rows(rows, "o_orderkey")
     parts = {"train": rows.where("set = 'train'"), "test": rows.where("set <> 'train'")}
     widened, _ = append_embeddings(parts, ["o_orderpriority", "c_mktsegment"], ["o_totalprice", "c_acctbal"], 4)
     vectors = [f"encoder_emb_{i}" for i in range(4)]
-    model = models.BoostedTreesClassifier((), ["o_totalprice", "c_acctbal", *vectors], "finished")
-    return model.fit(widened["train"]).predict_proba(widened["test"]).select("o_orderkey", "finished", "score")
+    model = models.BoostedTreesClassifier(
+        (), ["o_totalprice", "c_acctbal", *vectors], "large", validation="held_out", validationTol=TOLERANCE
+    )
+    flagged = [part.withColumn("held_out", F.lit(name == "test")) for name, part in widened.items()]
+    return model.fit(flagged[0].unionByName(flagged[1])).predict_proba(widened["test"]).select("o_orderkey", "large", "score")
+
+
+# -- search -----------------------------------------------------------------------------------------------
+BIN_CHOICES = [4, 8, 16, 32]
+SPACE = {"bins": lambda rng: rng.choice(BIN_CHOICES), "smoothing": lambda rng: round(rng.uniform(0.5, 100.0), 1)}
+CUTS = {"threshold": lambda rng: round(rng.uniform(0.0, 1.0), 6)}
+SCORE_SQL = "(l_extendedprice / 105000.0)::double"
+
+
+def drawn(space) -> list[dict]:
+    """The parameters that a search with the default seed and number of trials draws."""
+    rng = random.Random(SEED)
+    return [{name: suggest(rng) for name, suggest in space.items()} for _ in range(RandomSearch().trials)]
+
+
+def values_sql(space) -> str:
+    return ", ".join(f"({n}, {', '.join(map(repr, p.values()))}, '{json.dumps({k: str(v) for k, v in p.items()}, separators=(',', ':'))}')" for n, p in enumerate(drawn(space)))
+
+
+def _tuning_sql() -> str:
+    """All trials, by counts per fold and value, each fold scored by the others' counts."""
+    bins = ", ".join(
+        f"floor({b} * (rank() OVER (ORDER BY {c}) - 1) / count(*) OVER ())::int AS b{b}_{c}"
+        for b in BIN_CHOICES for c in NUMBERS
+    )
+    long = " UNION ALL ".join(
+        [f"SELECT id, fold, y, {b} AS bins, '{c}' AS col, b{b}_{c}::varchar AS v FROM f" for b in BIN_CHOICES for c in NUMBERS]
+        + [f"SELECT id, fold, y, {b}, '{c}', {c}::varchar FROM f" for b in BIN_CHOICES for c in CATEGORIES]
+    )
+    return (
+        f"WITH t(number, bins, smoothing, params) AS (VALUES {values_sql(SPACE)}), "
+        f"r AS (SELECT row_number() OVER () AS id, ({CHARGE_SQL} >= 50000)::int AS y, {LINE_KEY_SQL} AS k, * FROM lineitem), "
+        f"f AS (SELECT *, ((row_number() OVER (PARTITION BY y ORDER BY md5('42|' || k), k) - 1) % 5)::int AS fold, {bins} FROM r), "
+        f"long AS ({long}), "
+        "own AS (SELECT bins, fold, col, v, count(*) AS n, sum(y) AS p FROM long GROUP BY ALL), "
+        "every AS (SELECT bins, col, v, sum(n) AS n, sum(p) AS p FROM own GROUP BY ALL), "
+        "share AS (SELECT a.fold, (sum(b.p) / sum(b.n))::double AS s FROM (SELECT fold FROM f GROUP BY 1) a, "
+        "(SELECT fold, count(*) AS n, sum(y) AS p FROM f GROUP BY 1) b WHERE b.fold <> a.fold GROUP BY 1), "
+        "rate AS (SELECT t.number, o.bins, o.fold, o.col, o.v, ((e.p - o.p) + smoothing::double * s) / ((e.n - o.n) + smoothing::double) AS r "
+        "FROM t JOIN own o USING (bins) JOIN every e ON e.bins = o.bins AND e.col = o.col AND e.v = o.v JOIN share USING (fold)), "
+        "scored AS (SELECT number, id, any_value(long.fold) AS fold, any_value(y) AS y, sum(r) / 6 AS score FROM long JOIN rate USING (bins, fold, col, v) GROUP BY number, id), "
+        "folds AS (SELECT number, fold, avg((y - score) * (y - score)) AS e FROM scored GROUP BY ALL) "
+        "SELECT number::int AS number, round(avg(e), 6) AS value, any_value(params) AS params, 'complete' AS state FROM folds JOIN t USING (number) GROUP BY number"
+    )
 
 
-@query("tuning_trials")
+@query("tuning_trials", _tuning_sql())
 def tuning_trials(spark, folder):
-    lines = returned_lines(spark, folder).withColumn("key", F.concat_ws("|", *LINE_KEY))
-    rows = VectorAssembler(inputCols=NUMBERS, outputCol="features").transform(lines).select("key", "returned", "features")
+    """100 trials x 5 stratified folds of a model whose fit is one aggregate, both kinds of columns: the whole table of trials."""
+    lines = valuable_lines(spark, folder).withColumn("key", F.concat_ws("|", *LINE_KEY))
+    rows = binned(lines, NUMBERS, CATEGORIES, BIN_CHOICES, ["key", "valuable"])
+    folded = spread(stratified_folds(materialise(rows, "binned"), "valuable", "key", 5, name="_fold").drop("key"))
+
+    def objective(params):
+        columns = [*(f"bin_{params['bins']}_{c}" for c in NUMBERS), *(f"value_{c}" for c in CATEGORIES)]
+        return out_of_fold_error(folded, "_fold", "valuable", columns, params["smoothing"])
 
-    def train(part, params):
-        return GBTClassifier(labelCol="returned", **{**models.TRAINING_PARAMS, **params}).fit(part)
+    search = RandomSearch(concurrent=4)
+    search.optimize(objective, SPACE, "minimize")
+    return rounded(search.trials_table().withColumn("params", F.to_json("params")))
+
+
+@query(
+    "search_objective",
+    f"WITH t(number, threshold, params) AS (VALUES {values_sql(CUTS)}), "
+    f"l AS (SELECT ({CHARGE_SQL} >= 50000)::int AS y, {SCORE_SQL} AS s FROM lineitem), "
+    "c AS (SELECT number, any_value(params) AS params, count(*) FILTER (y = 1 AND s >= threshold) AS tp, count(*) FILTER (y = 0 AND s >= threshold) AS fp, "
+    "count(*) FILTER (y = 1 AND s < threshold) AS fn FROM l, t GROUP BY number), "
+    "v AS (SELECT number::int AS number, params, CASE WHEN number % 10 = 9 THEN -1.0 WHEN tp = 0 THEN 0.0 ELSE 2.0 * tp / (2.0 * tp + fp + fn) END::double AS value, "
+    "CASE WHEN number % 10 = 9 THEN 'failed' ELSE 'complete' END AS state FROM c) "
+    "SELECT number, round(value, 6) AS value, params, state, row_number() OVER (ORDER BY value DESC, number)::int AS place FROM v ORDER BY value DESC, number LIMIT 10",
+)
+def search_objective(spark, folder):
+    """An objective of one's own: the threshold with the best F1; every tenth trial fails and the search goes on. The top 10."""
+    scored = materialise(valuable_lines(spark, folder).select("valuable", (F.col("l_extendedprice") / F.lit(105000.0)).alias("score")), "scores")
+    numbers = {p["threshold"]: n for n, p in enumerate(drawn(CUTS))}
 
-    def score(model, part):
-        scored = model.transform(part).select("returned", vector_to_array("probability")[1].alias("score"))
-        return metrics.roc_auc(scored, "returned", "score").first()["roc_auc"]
+    def objective(params):
+        if numbers[params["threshold"]] % 10 == 9:
+            raise ArithmeticError("a trial that fails")
+        return metrics.threshold_metrics(scored, "valuable", "score", params["threshold"]).first()["f1_score"]
 
-    search = RandomSearch(parallelism=2)
-    space = {"maxDepth": lambda rng: rng.randint(2, 4), "stepSize": lambda rng: rng.choice([0.1, 0.2, 0.3])}
-    search.optimize_model(rows, "returned", "key", train, score, space)
-    return search.top_trials(10).withColumn("params", F.to_json("params"))
+    search = RandomSearch(concurrent=4)
+    search.optimize(objective, CUTS)
+    top = search.top_trials(10).collect()
+    assert (top[0]["number"], top[0]["value"]) == (search.best_trial()["number"], search.best_trial()["score"])
+    placed = [(*r, i + 1) for i, r in enumerate(top)]
+    named = spark.createDataFrame(placed, "number int, value double, params map<string,string>, state string, place int")
+    return rounded(named.withColumn("params", F.to_json("params")))
 
 
 STUMP = {"maxIter": 1, "maxDepth": 1, "seed": 42}
@@ -203,3 +296,30 @@ def stump_saved_metrics(spark, folder):
     loaded = models.BoostedTreesClassifier.load(path)
     found = [(m, float(loaded.evaluate(rows, m))) for m in ("roc_auc", "accuracy")]
     return rounded(spark.createDataFrame(found, "metric string, value double"))
+
+
+FOCAL_G = "(0.0625 * (y - 0.5) * (ln(0.5) - 0.5))"
+FOCAL_H = "0.015625"
+
+
+@query(
+    "focal_boost_stump",
+    "WITH lineitem AS (SELECT *, (l_returnflag = 'R')::int::double AS y FROM main.lineitem), "
+    f"{stump_sql(f'(-{FOCAL_G} / {FOCAL_H})')}, "
+    f"steps AS (SELECT low, -sum({FOCAL_G}) / (sum({FOCAL_H}::double) + 1.0) AS step FROM sided GROUP BY low) "
+    "SELECT l_orderkey, l_linenumber, round(0.1 * step, 9) AS margin, round(1 / (1 + exp(-0.1 * step)), 9) AS score, (step > 0)::int::double AS prediction "
+    "FROM sided JOIN steps USING (low)",
+)
+def focal_boost_stump(spark, folder):
+    """One Newton round of depth 1 on the focal loss is exact: split, leaf steps with their penalty, margins and scores."""
+    rows = returned_lines(spark, folder)
+    model = NewtonBoostedClassifier((), STUMP_FEATURES, "returned", rounds=1, depth=1, penalty=1.0).fit(rows)
+    return rounded(model.transform(rows).select("l_orderkey", "l_linenumber", "margin", "score", "prediction"), 9)
+
+
+@query("focal_boost_rounds")
+def focal_boost_rounds(spark, folder):
+    """Focal loss of both sets by round, until the held-out rows gain no more or the limit is reached."""
+    rows = valuable_lines(spark, folder)
+    model = NewtonBoostedClassifier(CATEGORIES, NUMBERS, "valuable", rounds=15, depth=4, step=0.5, patience=3, validation="held_out").fit(rows)
+    return loss_by_round(model)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SPREAD = 16
+#: Rows to a file of a table that is dealt out for training.
+SPREAD_ROWS = 100_000
 
 
 def build_session(cores: str | int = "*", app: str = "riskflow", **conf: str) -> SparkSession:
@@ -69,11 +71,12 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
 
 
 def spread(table: DataFrame) -> DataFrame:
-    """Write a scan with few partitions out again in ``SPREAD`` files, rows dealt by a hash of what they hold.
+    """Write ``table`` out again, its rows dealt by a hash of what they hold to as many files as its counted rows need.
 
     For tables that are read many times by costly work, such as training. The layout follows from the rows, not from
-    the cores, and so does what is trained on it. A table with at least ``SPREAD`` partitions stays as it is.
+    the cores or the files that they came from, and so does what is trained on it.
     """
-    if table.rdd.getNumPartitions() >= SPREAD:
-        return table
-    return materialise(table.repartition(SPREAD, F.xxhash64(*(F.col(f"`{c}`") for c in table.columns))), "spread")
+    parts = max(1, math.ceil(table.count() / SPREAD_ROWS))
+    dealt = table.repartition(parts, F.xxhash64(*(F.col(f"`{c}`") for c in table.columns)))
+    # Within a file, too, the order of rows must not come from the input.
+    return materialise(dealt.sortWithinPartitions(*(F.col(f"`{c}`") for c in table.columns)), "spread")

@@ -1,19 +1,21 @@
 """Models, embeddings, search and user functions, by their properties."""
 
 import math
+import time
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from riskflow.operators import embeddings, metrics, models
+from riskflow.operators import embeddings, metrics, models, rates
+from riskflow.operators.boosting import NewtonBoostedClassifier, loss_by_round
 from riskflow.operators.partition import BatchStep, TableStep, apply_batches, score_batches
 from riskflow.operators.sampling import split_rows
 from riskflow.operators.tuning import RandomSearch
 from riskflow.plans.embedding import append_embeddings, write_splits
 from riskflow.plans.features import FeatureSteps, fit_features, write_processed
-from riskflow.plans.training import train_and_judge
+from riskflow.plans.training import TrainingResult, train_and_judge
 from riskflow.registry import modelling
 
 SMALL = {"maxIter": 3, "maxDepth": 3, "seed": 1}
@@ -122,7 +124,9 @@ def test_train_and_judge(spark, cases, tmp_path, balance):
     assert result.score(cases).where("calibrated BETWEEN 0 AND 1").count() == 600
     if balance is None:
         result.write(spark, str(tmp_path / "run"))
-        assert spark.read.option("header", True).csv(str(tmp_path / "run" / "metrics")).count() == 2
+        stored = TrainingResult.read(spark, str(tmp_path / "run"))
+        assert rows(stored.score(cases), "id", "score", "calibrated") == rows(result.score(cases), "id", "score", "calibrated")
+        assert stored.label == "y" and stored.metrics.count() == 2
 
 
 def test_train_arguments(cases):
@@ -131,41 +135,86 @@ def test_train_arguments(cases):
 
 
 # -- registered queries ----------------------------------------------------------------------------------
-class Seen(Exception):
-    """Rounds and depth that a query asks for; ends it before it trains."""
-
-
-@pytest.mark.parametrize(
-    "name", ["gbt_scores", "gbt_regression", "gbt_early_stop", "gbt_importances", "model_evaluate", "training_metrics", "embedding_head"]
-)
-def test_queries_train_with_the_preset(spark, folder, monkeypatch, name):
-    def fit(self, df):
-        raise Seen(self._estimator().getMaxIter(), self._estimator().getMaxDepth())
-
-    monkeypatch.setattr(models._BoostedTrees, "fit", fit)
-    with pytest.raises(Seen) as seen:
-        getattr(modelling, name)(spark, folder)
-    assert seen.value.args == (1000, 5)
+def test_early_stop_query_ends_below_its_limit(spark, folder):
+    found = modelling.gbt_early_stop(spark, folder).collect()
+    assert {r["set"] for r in found} == {"train", "validation"}
+    assert all(3 <= r["rounds"] < models.TRAINING_PARAMS["maxIter"] and r["roc_auc"] > 0.99 for r in found)
+
+
+def test_model_queries_learn_their_targets(spark, folder):
+    scored = modelling.gbt_scores(spark, folder)
+    truth = modelling.valuable_lines(spark, folder).select(*modelling.LINE_KEY, "valuable")
+    right = scored.join(truth, modelling.LINE_KEY).where(F.col("prediction") == F.col("valuable")).count()
+    assert right > 0.98 * truth.count() == 0.98 * scored.count()
+    off = modelling.gbt_regression(spark, folder).agg(F.avg(F.abs(F.col("charge") - F.col("prediction"))), F.avg("charge")).first()
+    assert off[0] < 0.15 * off[1]
+
+
+# -- Newton boosting -------------------------------------------------------------------------------------
+def test_newton_rounds_lower_the_focal_loss(spark, cases, tmp_path):
+    model = NewtonBoostedClassifier(["c"], ["x"], "y", rounds=10, depth=3, step=0.3, penalty=0.5).fit(cases)
+    losses = [h["train"] for h in model.history]
+    assert len(losses) == model.rounds == 10 and all(b < a for a, b in zip(losses, losses[1:]))
+    assert model.evaluate(cases, "loss") == pytest.approx(losses[-1])
+    assert model.evaluate(cases, "accuracy") > 0.9 and model.evaluate(cases) > 0.95
+    assert loss_by_round(model).count() == 10
+    model.save(str(tmp_path / "n"))
+    loaded = NewtonBoostedClassifier.load(str(tmp_path / "n"))
+    assert rows(loaded.predict_proba(cases), "id", "score") == rows(model.predict_proba(cases), "id", "score")
+    named = cases.withColumn("margin", F.lit(7)).withColumn("score", F.lit(8))
+    assert model.margins(named, "z").columns == [*named.columns, "z"]
+    assert model.predict_proba(named, "z").select("margin", "score").distinct().collect() == [(7, 8)]
+
+
+def test_newton_stops_with_its_held_out_rows(cases):
+    flagged = split_rows(cases, "id").withColumn("held", F.col("set") == "validation")
+    model = NewtonBoostedClassifier(["c"], ["x"], "y", rounds=40, depth=4, step=1.0, patience=1, validation="held").fit(flagged)
+    held = [h["validation"] for h in model.history]
+    assert model.rounds == held.index(min(held)) + 1 <= len(held)
+    assert len(held) == 40 or model.rounds == len(held) - 1
+
+
+def test_newton_takes_a_loss_of_ones_own(cases):
+    def squared(label, margin):
+        return margin - label, F.lit(1.0)
+
+    model = NewtonBoostedClassifier((), ["x"], "y", terms=squared, loss=lambda y, p: F.pow(y - p, F.lit(2.0)), rounds=1, depth=1, step=1.0).fit(cases)
+    means = {round(r["margin"], 6) for r in model.margins(cases).collect()}
+    filled = cases.select("y", F.coalesce("x", F.lit(0.0)).alias("x"), F.col("x").isNull().alias("m")).toPandas()
+    best = min(
+        ((filled["x"] <= cut) if name == "x" else ~filled["m"] for name, cut in [*(("x", v) for v in filled["x"].unique()), ("m", 0)]),
+        key=lambda low: sum(((p - p.mean()) ** 2).sum() for p in (filled["y"][low], filled["y"][~low])),
+    )
+    assert means == {round(filled["y"][best].mean(), 6), round(filled["y"][~best].mean(), 6)}
+    with pytest.raises(ValueError):
+        NewtonBoostedClassifier((), ["x"], "y", step=0.0)
+    with pytest.raises(RuntimeError):
+        NewtonBoostedClassifier((), ["x"], "y").transform(cases)
 
 
-def test_search_query_runs_the_defaults(spark, folder, monkeypatch):
-    asked, searches = [], []
+# -- rates by fold -----------------------------------------------------------------------------------------
+def test_out_of_fold_rates(spark):
+    made = [(i % 3, i % 2 if i % 5 else 1, "a" if i % 4 else f"v{i}") for i in range(60)]
+    df = spark.createDataFrame(made, "fold int, y int, c string").withColumn("d", F.lit("one"))
+    found = rows(rates.out_of_fold_scores(df, "fold", "y", ["c", "d"], 2.0))
 
-    def fit(self, df):
-        asked.append(self.getMaxIter())
-        raise Seen
+    def score(fold, c):
+        others = [m for m in made if m[0] != fold]
+        share = sum(m[1] for m in others) / len(others)
+        same = [m for m in others if m[2] == c]
+        return ((sum(m[1] for m in same) + 2 * share) / (len(same) + 2) + (sum(m[1] for m in others) + 2 * share) / (len(others) + 2)) / 2
 
-    monkeypatch.setattr(modelling.GBTClassifier, "fit", fit)
-    monkeypatch.setattr(modelling, "RandomSearch", lambda **options: searches.append(RandomSearch(**options)) or searches[-1])
-    assert modelling.tuning_trials(spark, folder).count() == 10
-    assert set(asked) == {1000}
-    assert (len(searches[0].results), searches[0].folds) == (100, 5)
+    assert [r[:4] for r in found] == sorted((f, y, c, "one") for f, y, c in made)
+    assert all(r[4] == pytest.approx(score(r[0], r[2])) for r in found)
+    with pytest.raises(ValueError):
+        rates.out_of_fold_scores(df, "fold", "y", ["c"], -1.0)
 
 
-def test_early_stop_query_ends_below_its_limit(spark, folder):
-    found = modelling.gbt_early_stop(spark, folder).collect()
-    assert {r["set"] for r in found} == {"train", "validation"}
-    assert all(r["rounds"] < models.TRAINING_PARAMS["maxIter"] for r in found)
+def test_quantile_bins_hold_equal_shares(spark):
+    df = spark.createDataFrame([(float(i % 10),) for i in range(100)] + [(None,), (float("nan"),)], "x double")
+    binned = rates.binned(df, ["x"], [], [5, 3], ["x"])
+    assert rows(binned.groupBy("bin_5_x").count()) == [("0", 20), ("1", 20), ("2", 20), ("3", 20), ("4", 20), ("nan", 2)]
+    assert {r["bin_3_x"] for r in binned.where("x = 3").collect()} == {"0"}
 
 
 # -- features and embeddings ---------------------------------------------------------------------------
@@ -267,6 +316,32 @@ def test_search_stops_at_its_deadline(spark):
     assert len(search.results) == 1
 
 
+def test_search_cancels_the_jobs_of_a_late_trial(spark):
+    slow = F.udf(lambda v: (time.sleep(0.5), v)[1], "long")
+
+    def objective(params):
+        return float(spark.range(0, 400, 1, 8).select(F.sum(slow("id"))).first()[0])
+
+    search = RandomSearch(trials=6, timeout=4.0, concurrent=2)
+    started = time.monotonic()
+    search.optimize(objective, {})
+    assert time.monotonic() - started < 20  # a trial alone takes 25 seconds
+    assert [t.state for t in search.results] == ["stopped", "stopped"]
+    assert spark.range(10).count() == 10
+
+
+def test_concurrent_trials_draw_the_same_parameters(spark):
+    space = {"a": lambda rng: rng.uniform(0, 1)}
+    found = []
+    for concurrent in (1, 3):
+        search = RandomSearch(trials=9, concurrent=concurrent)
+        search.optimize(lambda p: spark.range(3).count() * p["a"], space)
+        found.append([(t.number, t.params, t.value) for t in search.results])
+    assert found[0] == found[1]
+    with pytest.raises(ValueError):
+        RandomSearch(concurrent=0)
+
+
 def test_search_arguments():
     with pytest.raises(RuntimeError):
         RandomSearch().trials_table()

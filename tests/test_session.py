@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows
 from riskflow import session
@@ -39,7 +40,21 @@ def test_materialised_rows_do_not_change(spark):
     assert rows(kept) == rows(kept) and kept.dtypes == df.dtypes
 
 
-def test_spread_leaves_wide_scans_alone(spark):
-    cores = spark.sparkContext.defaultParallelism
-    assert session.spread(spark.range(0, 100_000, 1, 1)).rdd.getNumPartitions() > 1
-    assert session.spread(spark.range(0, 100, 1, cores * 3)).rdd.getNumPartitions() == cores * 3
+def test_spread_follows_from_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "SPREAD_ROWS", 100)
+
+    def layout(parts):
+        dealt = session.spread(spark.range(1000).select("id", (F.col("id") % 7).alias("v")).repartition(parts))
+        return rows(dealt.select(F.spark_partition_id(), "id")), dealt.inputFiles()
+
+    few, files = layout(3)
+    many, _ = layout(40)
+    assert sorted(r[1] for r in few) == list(range(1000)) and len(files) == 10
+
+    def together(found):
+        parts = {}
+        for part, i in found:
+            parts.setdefault(part, set()).add(i)
+        return sorted(map(sorted, parts.values()))
+
+    assert together(few) == together(many)
