@@ -12,7 +12,7 @@ from riskflow.operators.categorical import apply_category_mapping, fit_category_
 from riskflow.operators.columns import categories_to_text, select_features
 from riskflow.operators.scaling import Scaling, apply_scaling, fit_scaling
 from riskflow.sources.artefacts import read_mapping, read_scaling, write_mapping, write_scaling
-from riskflow.sources.tables import write_parquet
+from riskflow.sources.commit import commit_parquet
 
 
 @dataclass
@@ -75,6 +75,6 @@ def fit_features(
 
 
 def write_processed(steps: FeatureSteps, tables: dict[str, DataFrame], directory: str) -> None:
-    """One processed table per split."""
+    """One processed table per split, each whole or absent."""
     for split, df in tables.items():
-        write_parquet(steps.transform(df), f"{directory}/{split}")
+        commit_parquet(steps.transform(df), f"{directory}/{split}")

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from riskflow.config import SEED
 from riskflow.functions.hashing import hash_fraction
 from riskflow.operators import categorical, joins
+from riskflow.operators.sampling import split_rows
 from riskflow.operators.scaling import Scaling, fit_scaling
+from riskflow.plans.features import fit_features, write_processed
 from riskflow.plans.prepare import Preparation
 from riskflow.registry import fraction_sql, query, rounded, table
 from riskflow.registry.eda import DOCS, labelled_documents
-from riskflow.registry.engineering import mapping_columns, mapping_sql
+from riskflow.registry.engineering import mapping_columns, mapping_sql, vocabulary_sql
 from riskflow.session import scratch_path
-from riskflow.sources import artefacts, examples, files, tables
+from riskflow.sources import artefacts, buckets, chunks, commit, examples, files, tables
+from riskflow.sources.csv_split import read_csv_split
 
 ORDER_SCHEMA = (
     "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
@@ -186,10 +191,103 @@ def prepare_and_merge(spark, folder):
     f"SELECT *, CASE WHEN {fraction_sql('o_orderkey')} <= 0.8 THEN 'train' ELSE 'test' END AS split FROM orders",
 )
 def splits_in_one_dataset(spark, folder):
-    from riskflow.operators.sampling import split_rows
     from riskflow.plans.embedding import write_splits
 
     rows = split_rows(table(spark, folder, "orders"), "o_orderkey")
     path = scratch_path(spark, "splits")
     write_splits({"train": rows.where("set = 'train'").drop("set"), "test": rows.where("set <> 'train'").drop("set")}, path)
     return spark.read.schema(f"{ORDER_SCHEMA}, split string").parquet(path)
+
+
+@query("csv_split_roundtrip", "SELECT * FROM documents")
+def csv_split_roundtrip(spark, folder):
+    """Whole texts in one CSV file, read back by as many tasks as the file has ranges."""
+    path = scratch_path(spark, "csv-split")
+    documents = table(spark, folder, "documents")
+    tables.write_csv(documents.coalesce(1), path)
+    return read_csv_split(spark, path, documents.schema)
+
+
+@query(
+    "chunked_parquet",
+    "SELECT chunk, count(*) AS rows, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM "
+    "(SELECT o_orderkey, (row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1) // 1000 AS chunk FROM orders) GROUP BY chunk",
+)
+def chunked_parquet(spark, folder):
+    """Orders by price, then key, in files of exactly 1000 rows."""
+    path = scratch_path(spark, "chunks")
+    chunks.write_chunks(table(spark, folder, "orders"), path, 1000, ["o_totalprice", "o_orderkey"])
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"^chunk_(\d{6})\.parquet$", 1).cast("bigint")
+    return spark.read.parquet(path).groupBy(number.alias("chunk")).agg(
+        F.count("*").alias("rows"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key")
+    )
+
+
+@query("resumed_prepare", "SELECT doc_id, quality FROM labels")
+def resumed_prepare(spark, folder):
+    """Preparation after a run that broke while it wrote: what that left counts for nothing."""
+    path = scratch_path(spark, "resumed")
+    labels = table(spark, folder, "labels").select("doc_id", "quality")
+    tables.write_csv(labels, f"{path}/raw/train_identity.csv")
+    broken = f"{path}/interim/train/identity"
+    labels.limit(3).write.parquet(f"{broken}/_temporary/0/_temporary/attempt_0")
+    labels.limit(3).write.parquet(f"{path}/interim/train/_staged-identity-0")
+    plan = Preparation(f"{path}/raw", f"{path}/interim", key="doc_id", categorical=[], types={"doc_id": "bigint", "quality": "int"})
+    first, again = plan.prepare_all(spark), plan.prepare_all(spark)
+    assert (first, again) == (["train/identity"], [])
+    assert commit.read_manifest(spark, broken)["rows"] == labels.count()
+    return tables.read_parquet(spark, broken)
+
+
+@query("bucketed_merge", "SELECT l.*, o.o_custkey, o.o_orderstatus, o.o_totalprice FROM lineitem l LEFT JOIN orders o ON o_orderkey = l_orderkey")
+def bucketed_merge(spark, folder):
+    """Lines with their orders, both bucketed by the key: the merge itself moves no row."""
+    path, name = scratch_path(spark, "buckets"), f"merge_{uuid.uuid4().hex}"
+    lines = table(spark, folder, "lineitem")
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderstatus", "o_totalprice")
+    n = buckets.bucket_count(lines, orders, rows=100_000)
+    buckets.write_bucketed(lines, f"{name}_lines", f"{path}/lines", "l_orderkey", n)
+    buckets.write_bucketed(orders, f"{name}_orders", f"{path}/orders", "l_orderkey", n)
+    return buckets.merge_bucketed(spark, f"{name}_lines", f"{name}_orders", "l_orderkey")
+
+
+@query(
+    "vocabulary_roundtrip",
+    f"WITH v_p_brand AS ({vocabulary_sql('p_brand', 'part')}), v_p_type AS ({vocabulary_sql('p_type', 'part')}), "
+    "sizes AS (SELECT count(DISTINCT p_brand) + 1 AS brands, count(DISTINCT p_type) + 1 AS types FROM part) "
+    "SELECT p_partkey, b.index AS p_brand_index, t.index AS p_type_index, brands::int AS brands, types::int AS types, 'p_type,p_size,p_brand' AS feature_order "
+    "FROM part JOIN v_p_brand b ON b.token = p_brand JOIN v_p_type t ON t.token = p_type, sizes",
+)
+def vocabulary_roundtrip(spark, folder):
+    """Vocabularies, cardinalities and feature order as stored, applied after reading."""
+    path = scratch_path(spark, "vocabulary")
+    part = table(spark, folder, "part")
+    fitted = categorical.fit_vocabulary(part, ["p_brand", "p_type"])
+    artefacts.write_vocabulary(fitted, ["p_type", "p_size", "p_brand"], path)
+    stored, order, sizes = artefacts.read_vocabulary(spark, path)
+    encoded = categorical.encode_vocabulary(part, stored, ["p_brand", "p_type"])
+    return encoded.select(
+        "p_partkey", "p_brand_index", "p_type_index", F.lit(sizes["p_brand"]).alias("brands"), F.lit(sizes["p_type"]).alias("types"),
+        F.lit(",".join(order)).alias("feature_order"),
+    )
+
+
+PROCESSED = "WITH s AS (SELECT *, CASE WHEN {} <= 0.8 THEN 'train' ELSE 'validation' END AS split FROM orders), ".format(fraction_sql("o_orderkey"))
+
+
+@query(
+    "processed_splits",
+    PROCESSED + "m AS (" + mapping_sql("o_orderpriority", "(SELECT * FROM s WHERE split = 'train')") + "), "
+    "t AS (SELECT avg(o_totalprice) AS mean, stddev_samp(o_totalprice) AS std FROM s WHERE split = 'train') "
+    "SELECT o_orderkey, round((o_totalprice - mean) / std, 6) + 0.0::double AS o_totalprice, coalesce(m.category, 'Other') AS o_orderpriority, split "
+    "FROM s CROSS JOIN t LEFT JOIN m ON m.value = o_orderpriority",
+)
+def processed_splits(spark, folder):
+    """Steps learned from the train half, both halves processed, written and read again."""
+    path = scratch_path(spark, "processed")
+    rows = split_rows(table(spark, folder, "orders"), "o_orderkey", name="split")
+    parts = {n: rows.where(F.col("split") == n) for n in ("train", "validation")}
+    steps = fit_features(parts["train"], ["o_orderkey", "o_totalprice", "o_orderpriority", "split"], None, ["o_orderpriority"], scale=["o_totalprice"])
+    write_processed(steps, parts, path)
+    halves = [tables.read_parquet(spark, f"{path}/{n}") for n in parts]
+    return rounded(halves[0].unionByName(halves[1]))

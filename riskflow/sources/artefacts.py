@@ -56,6 +56,25 @@ def read_scaling(spark: SparkSession, directory: str) -> DataFrame:
     return spark.read.schema("column string, mean double, std double").json(directory)
 
 
+def write_vocabulary(vocabulary: DataFrame, features: Sequence[str], directory: str) -> None:
+    """What scoring needs of a training run: tokens with their indexes as Parquet; feature order and cardinalities as JSON."""
+    spark = vocabulary.sparkSession
+    vocabulary.write.mode("overwrite").partitionBy("column").parquet(f"{directory}/tokens")
+    sizes = vocabulary.groupBy("column").agg((F.max("index") + 1).alias("cardinality"))
+    known = {r["column"]: r["cardinality"] for r in sizes.collect()}  # one row per column
+    rows = [(i, c, known.get(c)) for i, c in enumerate(features)]
+    schema = "position int, feature string, cardinality int"
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").json(f"{directory}/features")
+
+
+def read_vocabulary(spark: SparkSession, directory: str) -> tuple[DataFrame, list[str], dict[str, int]]:
+    """(vocabulary, feature order, cardinality by categorical feature) as written."""
+    tokens = spark.read.schema("token string, index int, count bigint, column string").parquet(f"{directory}/tokens")
+    found = spark.read.schema("position int, feature string, cardinality int").json(f"{directory}/features").orderBy("position").collect()
+    sizes = {r["feature"]: r["cardinality"] for r in found if r["cardinality"] is not None}
+    return tokens.select("column", "token", "index", "count"), [r["feature"] for r in found], sizes
+
+
 def write_settings(spark: SparkSession, settings: dict[str, Any], directory: str) -> None:
     """Named run settings, such as feature order and parameters, as (name, value) JSON lines."""
     rows = [(name, json.dumps(value)) for name, value in settings.items()]

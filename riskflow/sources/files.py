@@ -7,10 +7,14 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """The path and its file system."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return location, location.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def _status(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    location = jvm.org.apache.hadoop.fs.Path(path)
-    system = location.getFileSystem(spark._jsc.hadoopConfiguration())
+    location, system = hadoop_path(spark, path)
     return system.getFileStatus(location) if system.exists(location) else None
 
 
@@ -35,15 +39,18 @@ def _endings(extension: str | Sequence[str] | None) -> tuple[str, ...]:
 
 
 def _listing(spark: SparkSession, directory: str, extension: str | Sequence[str] | None, recursive: bool) -> Iterator[str]:
-    """Paths of the matching files, one by one as the file system gives them; names of any kind, empty files too."""
-    location = spark._jvm.org.apache.hadoop.fs.Path(directory)
-    system = location.getFileSystem(spark._jsc.hadoopConfiguration())
+    """Paths of the matching files, one by one as the file system gives them; names of any kind, empty files too.
+
+    What a write that has not ended keeps below ``_temporary`` is no file yet.
+    """
+    location, system = hadoop_path(spark, directory)
     found = system.listFiles(location, True) if recursive else system.listStatusIterator(location)
     endings = _endings(extension)
     while found.hasNext():
         status = found.next()
-        if status.isFile() and status.getPath().getName().lower().endswith(endings):
-            yield status.getPath().toString()
+        path = status.getPath()
+        if status.isFile() and path.getName().lower().endswith(endings) and "/_temporary/" not in path.toString():
+            yield path.toString()
 
 
 def list_files(

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from riskflow.config import COMPRESSION, NUMERIC_RAW_COLUMNS, TABLE_KEY, TARGET
 from riskflow.functions.scalars import quoted
+from riskflow.sources.csv_split import read_csv_split
 from riskflow.sources.files import file_count, has_files, path_exists
 
 
@@ -40,7 +41,8 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header and one schema for the whole file; a quote inside a quoted value is doubled.
 
-    ``multiline`` allows line breaks inside quoted values, at the price of one task per file. ``missing`` are
+    ``multiline`` allows line breaks inside quoted values; ranges of a file are then read by many tasks all the same, by the
+    parity of their quotes (``csv_split``), but for ``infer``, which takes one task per file. ``missing`` are
     spellings of a missing value in text columns; in others whatever does not parse is missing.
 
     Without ``schema`` the header gives the names and ``raw_schema`` the types, so a value never
@@ -51,6 +53,8 @@ def read_csv(
         return _without(reader.option("inferSchema", True).csv(path), missing)
     if schema is None:
         schema = raw_schema(csv_header(spark, path), types)
+    if multiline:
+        return _without(read_csv_split(spark, path, schema), missing)
     return _without(reader.schema(schema).csv(path), missing)
 
 
