@@ -2,98 +2,90 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from functools import reduce
 from itertools import combinations_with_replacement
 
-from pyspark.errors import ArithmeticException, SparkRuntimeException
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskflow.functions.scalars import number
-from riskflow.operators.joins import BROADCAST_ROWS, lookup
-from riskflow.operators.ordering import SINGLE_TASK_ROWS, average_ranks
+from riskflow.operators.comoments import comoments, paired_comoments
+from riskflow.operators.ordering import SINGLE_TASK_ROWS, running_total
 from riskflow.session import materialise
 
-PAIRS_PER_JOB = 100
 
-
-def _guarded(a: Column, b: Column) -> Column:
-    """Correlation from the three sums over complete rows; null when either is constant among them."""
-    return F.try_divide(F.regr_sxy(a, b), F.sqrt(F.regr_sxx(a, b)) * F.sqrt(F.regr_syy(a, b)))
-
-
-def _pairwise(df: DataFrame, pairs: Sequence[tuple[str, str]], value: dict[str, Column]) -> DataFrame:
-    """(column_a, column_b, correlation) of the given pairs, many pairs per pass.
-
-    Under ANSI rules the built-in ``corr`` fails on a column that is constant among the complete rows of
-    a pair. It is several times faster than the guarded form, so only a batch that fails is repeated.
-    """
-    rows = []
-    for start in range(0, len(pairs), PAIRS_PER_JOB):
-        chunk = pairs[start : start + PAIRS_PER_JOB]
-        try:
-            found = df.agg(*(F.corr(value[a], value[b]).alias(f"r{i}") for i, (a, b) in enumerate(chunk))).first()
-        except (ArithmeticException, SparkRuntimeException) as error:
-            if "DIVIDE_BY_ZERO" not in str(error):
-                raise
-            found = df.agg(*(_guarded(value[a], value[b]).alias(f"r{i}") for i, (a, b) in enumerate(chunk))).first()
-        rows += [(a, b, r) for (a, b), r in zip(chunk, found, strict=True)]
-    return df.sparkSession.createDataFrame(rows, "column_a string, column_b string, correlation double")
+def _table(df: DataFrame, pairs: Sequence[tuple[str, str]], found: np.ndarray, rows: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(column_a, column_b, correlation) of some entries of a matrix; NaN becomes null."""
+    at_a, at_b = ({c: i for i, c in enumerate(side)} for side in (rows, columns))
+    values = [(a, b, float(found[at_a[a], at_b[b]])) for a, b in pairs]
+    listed = [(a, b, None if math.isnan(r) else r) for a, b, r in values]
+    return df.sparkSession.createDataFrame(listed, "column_a string, column_b string, correlation double")
 
 
 def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Upper triangle with diagonal; each pair uses the rows where both values are present."""
+    """Upper triangle with diagonal, in one scan; each pair uses the rows where both values are present."""
     pairs = list(combinations_with_replacement(columns, 2))
-    return _pairwise(df, pairs, {c: number(df.schema[c]) for c in columns})
+    found = comoments(df, columns).correlation() if columns else np.zeros((0, 0))
+    return _table(df, pairs, found, columns, columns)
 
 
-def spearman_matrix(
-    df: DataFrame,
-    columns: Sequence[str],
-    single_task_rows: int = SINGLE_TASK_ROWS,
-    broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Pearson correlation of average ranks, upper triangle with diagonal.
+def spearman_matrix(df: DataFrame, columns: Sequence[str], single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
+    """Pearson correlation of average ranks, upper triangle with diagonal; each pair is ranked within its complete rows.
 
-    A pair with a column that holds nulls (or NaN) is ranked within its complete rows, pair by pair. Ranks of the other
-    columns are found once per distinct value and looked up, so a value shared by many rows is
-    ranked once and never gathers its rows in one task.
+    One grouped pass counts each distinct value of each column: in all rows, and in the rows that have each of the columns
+    with missing values. Running sums of those counts are the ranks of the value beside any other column. A row's values are
+    looked up once, in long form, and all pairs come from one pass over the rows' ranks. The number of jobs doesn't
+    depend on that of columns or pairs, and a value shared by many rows is ranked once.
     """
     values = {c: number(df.schema[c]) for c in columns}
-    missing = df.agg(*(F.count_if(values[c].isNull()).alias(f"m{i}") for i, c in enumerate(columns))).first() if columns else ()
-    holed = {c for c, n in zip(columns, missing, strict=True) if n}
-    if holed:
-        clean = [c for c in columns if c not in holed]
-        parts = [spearman_matrix(df, clean, single_task_rows, broadcast_rows)] if clean else []
-        parts += [spearman(df, a, b) for a, b in combinations_with_replacement(columns, 2) if a in holed or b in holed]
-        return reduce(DataFrame.unionByName, parts)
-    ranks = materialise(average_ranks(df, values, single_task_rows), "ranks")
-    sizes = {r["column"]: r["n"] for r in ranks.groupBy("column").agg(F.count("*").alias("n")).collect()}
-    ranked = df.select(*(values[c].alias(c) for c in columns))
-    for c in columns:
-        table = ranks.where(F.col("column") == c)
-        fits = sizes.get(c, 0) <= broadcast_rows
-        ranked = lookup(
-            ranked, c, table, "value", "average_rank", f"_rank_{c}", F.lit(None).cast("double"), "count", fits
-        )
+    names = {c: f"c{i}" for i, c in enumerate(columns)}
     pairs = list(combinations_with_replacement(columns, 2))
-    return _pairwise(ranked, pairs, {c: F.col(f"_rank_{c}") for c in columns})
+    if not columns:
+        return _table(df, pairs, np.zeros((0, 0)), columns, columns)
+    narrow = materialise(df.select(F.monotonically_increasing_id().alias("row"), *(values[c].alias(names[c]) for c in columns)), "ranked")
+    missing = narrow.agg(*(F.count_if(F.col(n).isNull()).alias(n) for n in names.values())).first()
+    holed = [n for n in names.values() if missing[n]]
+    present = [F.col(n).isNotNull().alias(f"has_{n}") for n in holed]
+    long = narrow.select("row", *present, *(F.col(n) for n in names.values())).unpivot(
+        ["row", *(f"has_{n}" for n in holed)], [F.col(n) for n in names.values()], "column", "value"
+    ).where("value IS NOT NULL")
+    counts = long.groupBy("column", "value").agg(
+        F.count("*").alias("n_all"), *(F.count_if(F.col(f"has_{n}")).alias(f"n_{n}") for n in holed)
+    )
+    kinds = ["all", *holed]
+    ranked = running_total(materialise(counts, "ranks"), ["column"], [F.col("value")], {f"upto_{k}": F.col(f"n_{k}") for k in kinds}, single_task_rows)
+    ranks = ranked.select(
+        "column", "value",
+        F.array(*((F.col(f"upto_{k}") - F.col(f"n_{k}") + (F.col(f"n_{k}") + 1) / F.lit(2.0)) for k in kinds)).alias("ranks"),
+    )
+    found = long.select("row", "column", "value").join(materialise(ranks, "ranks"), ["column", "value"])
+    # Per row: for each column the ranks of its value beside every other column; none where it is missing.
+    beside = [kinds.index(n) if n in holed else 0 for n in names.values()]
+    nothing = F.array_repeat(F.lit(None).cast("double"), len(columns))
+    rows = found.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("column", "ranks"))).alias("by"))
+
+    def of(name: str) -> Column:
+        own = F.col("by")[F.lit(name)]
+        return F.when(own.isNotNull(), F.array(*(F.get(own, F.lit(k)) for k in beside))).otherwise(nothing)
+
+    matrices = rows.select(F.array(*(of(n) for n in names.values())).alias("matrix"))
+    result = paired_comoments(matrices, "matrix", len(columns)).correlation()
+    return _table(df, pairs, result, columns, columns)
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """One pair, ranked within the rows where both values are present."""
-    va, vb = number(df.schema[a]), number(df.schema[b])
-    complete = df.select(va.alias("x"), vb.alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
-    found = spearman_matrix(complete, ["x", "y"]).where("column_a = 'x' AND column_b = 'y'")
-    return found.select(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), "correlation")
+    found = spearman_matrix(df, list(dict.fromkeys([a, b])))
+    return found.where((F.col("column_a") == a) & (F.col("column_b") == b))
 
 
 def target_correlation(df: DataFrame, target: str, columns: Sequence[str], top: int = 15) -> DataFrame:
-    """(column_name, correlation) with the target, highest first."""
-    value = {c: number(df.schema[c]) for c in [*columns, target]}
+    """(column_name, correlation) with the target, highest first, in one scan."""
+    found = comoments(df, columns, [target]).correlation() if columns else np.zeros((0, 1))
     return (
-        _pairwise(df, [(c, target) for c in columns], value)
+        _table(df, [(c, target) for c in columns], found, columns, [target])
         .select(F.col("column_a").alias("column_name"), "correlation")
         .orderBy(F.desc_nulls_last("correlation"), "column_name")
         .limit(top)

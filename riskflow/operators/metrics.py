@@ -135,18 +135,15 @@ def metrics_by_set(
 ) -> DataFrame:
     """(roc_auc, f1_score, precision, recall, ece, set): one row per set.
 
-    All but the calibration error judge the calibrated score; that one judges the raw score. The rows
-    are combined to one per distinct score pair in a single scan, and every metric is read off that.
+    All but the calibration error judge the calibrated score, from one row per distinct value of it; that one judges the raw
+    score, whose bins are a direct aggregate, a few rows a task.
     """
     y = quoted(label)
-    pairs = materialise(
+    points = materialise(
         _labelled(df, label, calibrated, raw)
-        .groupBy(quoted(by).alias(by), quoted(calibrated).alias("_calibrated"), quoted(raw).alias("_raw"))
+        .groupBy(quoted(by).alias(by), quoted(calibrated).alias("_calibrated"))
         .agg(F.count_if(y == 1).alias("positive"), F.count_if(y == 0).alias("negative"))
     )
-    points = materialise(
-        pairs.groupBy(by, "_calibrated").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
-    )
     auc = auc_from_points(points, "_calibrated", [by], single_task_rows)
 
     hit = F.col("_calibrated") >= threshold
@@ -157,12 +154,7 @@ def metrics_by_set(
     named = _rates(*(F.col(n) for n in ("tp", "fp", "fn", "tn")))
     rates = rates.select(by, *(c.alias(n) for n, c in named.items()))
 
-    rows = F.col("positive") + F.col("negative")
-    bins = pairs.groupBy(by, equal_width_bin("_raw", n_bins).alias("bin")).agg(
-        F.sum("positive").alias("hits"), F.sum(rows).alias("rows"), F.sum(F.col("_raw") * rows).alias("mass")
-    )
-    gap = F.when(F.col("bin").between(0, n_bins - 1), F.abs(F.col("hits") - F.col("mass"))).otherwise(F.lit(0.0))
-    ece = bins.groupBy(by).agg((F.sum(gap) / F.sum("rows")).alias("ece"))
+    ece = expected_calibration_error(_labelled(df, label, calibrated, raw), label, raw, n_bins, [by])
     return auc.join(rates, by).join(ece, by).select("roc_auc", "f1_score", "precision", "recall", "ece", by)
 
 

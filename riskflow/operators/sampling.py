@@ -70,10 +70,20 @@ def stratified_folds(
     if folds < 2:
         raise ValueError("folds must be at least 2")
     hashed = df.withColumn("_hash", hash_text(key, seed))
+    fold = F.pmod(F.col("_position") - 1, F.lit(folds)).cast("int").alias(name)
+    kept = [quoted(c) for c in df.columns]
     if df.count() > single_task_rows:
         hashed = materialise(hashed, "hashed")
+        narrow = hashed.select(quoted(label).alias("_label"), "_hash", quoted(key).alias("_key"))
+        if narrow.groupBy("_label", "_key").count().where("count > 1").isEmpty():
+            # Only label, hash and key are put in order; whole rows move once, to their place.
+            order = [F.col("_hash"), F.col("_key")]
+            placed = row_positions(materialise(narrow, "hashed"), ["_label"], order, "_position", single_task_rows)
+            found = placed.select("_label", "_key", "_position")
+            same = quoted(key).eqNullSafe(F.col("_key")) & (quoted(label) == F.col("_label"))
+            return hashed.join(found, same).select(*kept, fold)
     placed = row_positions(hashed, [label], [F.col("_hash"), quoted(key)], "_position", single_task_rows)
-    return placed.withColumn(name, F.pmod(F.col("_position") - 1, F.lit(folds)).cast("int")).drop("_hash", "_position")
+    return placed.select(*kept, fold)
 
 
 def hashed_folds(df: DataFrame, key: str | Column | list, folds: int = 5, seed: int = SEED, name: str = "fold") -> DataFrame:

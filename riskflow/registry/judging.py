@@ -198,31 +198,48 @@ RANKED = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
     + "), r AS (SELECT v AS feature_importance, feature_name, "
     "row_number() OVER (ORDER BY v DESC, feature_name) AS feature_importance_rank, "
     "round(sum(v) OVER (ORDER BY v DESC, feature_name ROWS UNBOUNDED PRECEDING), 6) AS cumulative_importances FROM f) "
-    "SELECT * FROM r WHERE feature_importance_rank <= 3",
+    "SELECT * FROM r",
 )
 def importance_rank(spark, folder):
     """Ranking of a per-column statistic, taken here as the importance."""
     spread = [F.round(F.stddev_samp(c) / F.avg(c), 6).alias(f"v{i}") for i, c in enumerate(RANKED)]
     values = melt(table(spark, folder, "lineitem").agg(*spread), RANKED, "feature_name", feature_importance="v")
     ranked = rank_importances(values.select("feature_importance", "feature_name"))
-    return rounded(ranked.where("feature_importance_rank <= 3"))
+    return rounded(ranked)
 
 
 @query(
     "report_unknown_target",
     f"WITH s AS (SELECT y, (p >= 0.5)::int AS h FROM ({SCORED}) WHERE l_linestatus = 'F'), "
     "c AS (SELECT k.label, count(*) FILTER (y = k.label) AS support, count(*) FILTER (h = k.label) AS predicted, "
-    "count(*) FILTER (y = k.label AND h = k.label) AS hits FROM s, (SELECT unnest([0, 1]) AS label) k GROUP BY k.label) "
-    "SELECT label::varchar AS label, round(coalesce(hits / nullif(predicted, 0), 0), 6) AS precision, "
-    "round(coalesce(hits / nullif(support, 0), 0), 6) AS recall, support, "
-    "(SELECT round(avg((y = h)::int), 6) FROM s) AS accuracy FROM c",
+    "count(*) FILTER (y = k.label AND h = k.label) AS hits FROM s, (SELECT unnest([0, 1]) AS label) k GROUP BY k.label), "
+    "r AS (SELECT label::varchar AS label, coalesce(hits / nullif(predicted, 0), 0) AS precision, coalesce(hits / nullif(support, 0), 0) AS recall, "
+    "coalesce(2 * hits / nullif(predicted + support, 0), 0) AS f1_score, support, hits FROM c), "
+    "a AS (SELECT label, precision, recall, f1_score, support FROM r "
+    "UNION ALL SELECT 'accuracy', NULL, NULL, sum(hits) / sum(support), sum(support)::bigint FROM r "
+    "UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1_score), sum(support)::bigint FROM r "
+    "UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), "
+    "sum(f1_score * support) / sum(support), sum(support)::bigint FROM r) "
+    "SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1_score, 6) AS f1_score, support, "
+    "(SELECT round(avg((y = h)::int), 6) FROM s) AS accuracy FROM a",
 )
 def report_unknown_target(spark, folder):
-    """Rows with an unknown target, -1 or null, take no part in accuracy and report."""
+    """Rows with an unknown target, -1 or null, take no part in accuracy, report and averages."""
     unknown = F.when(F.col("l_linestatus") == "F", F.col("y")).when(F.col("l_linenumber") % 2 == 0, F.lit(-1))
     rows = scored_lines(spark, folder).withColumn("y", unknown).withColumn("h", at_least("p", 0.5))
-    report = metrics.classification_report(rows, "y", "h").where("label IN ('0', '1')").select("label", "precision", "recall", "support")
-    return rounded(report.join(F.broadcast(metrics.accuracy(rows, "y", "h"))))
+    report = metrics.classification_report(rows, "y", "h")
+    return rounded(report.join(F.broadcast(metrics.accuracy(rows, "y", "h"))))  # one row
+
+
+@query(
+    "roc_auc_ranges",
+    f"WITH s AS (SELECT (l_returnflag = 'R')::int AS y, {fraction_sql(LINE_KEY_SQL)} AS h FROM lineitem) "
+    f"SELECT round(roc_auc, 6) AS roc_auc FROM ({auc_sql('h', 's')})",
+)
+def roc_auc_ranges(spark, folder):
+    """The way taken past the counted bound of rows."""
+    rows = scored_lines(spark, folder).select("y", hash_fraction(LINE_KEY, 42).alias("h"))
+    return rounded(metrics.roc_auc(rows, "y", "h", single_task_rows=100))
 
 
 @query(

@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import random
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from riskflow.config import SEED
-from riskflow.operators import metrics, models
+from riskflow.operators import metrics, models, stages
 from riskflow.operators.boosting import NewtonBoostedClassifier, loss_by_round
+from riskflow.operators.context import contextual_transform, token_pairs
 from riskflow.operators.embeddings import fit_row_encoder
 from riskflow.operators.rates import binned, out_of_fold_error
 from riskflow.operators.sampling import split_rows, stratified_folds
@@ -323,3 +325,60 @@ def focal_boost_rounds(spark, folder):
     rows = valuable_lines(spark, folder)
     model = NewtonBoostedClassifier(CATEGORIES, NUMBERS, "valuable", rounds=15, depth=4, step=0.5, patience=3, validation="held_out").fit(rows)
     return loss_by_round(model)
+
+
+# -- tokens and context ------------------------------------------------------------------------------------
+TOKEN_COLUMNS = (["o_orderpriority", "o_orderstatus"], ["o_totalprice"])
+EIGHTHS = ", ".join(f"quantile_cont(o_totalprice, {i / 8})" for i in range(1, 8))
+TOKENS_SQL = (
+    f"e AS (SELECT [{EIGHTHS}] AS edges FROM orders), "
+    "k AS (SELECT o_orderkey, o_orderpriority AS p, o_orderstatus AS s, len(list_filter(edges, lambda x: x <= o_totalprice))::varchar AS t FROM orders, e)"
+)
+
+
+@query("row_tokens", f"WITH {TOKENS_SQL} SELECT o_orderkey, 'o_orderpriority=' || p || '|o_orderstatus=' || s || '|o_totalprice=' || t AS tokens FROM k")
+def row_tokens(spark, folder):
+    """The column-value tokens of each row; numbers by bins between exact eighths."""
+    rows = table(spark, folder, "orders")
+    encoder = fit_row_encoder(rows, *TOKEN_COLUMNS, size=2)
+    text = F.transform("_tokens", lambda t: F.concat(t["column"], F.lit("="), t["value"]))
+    return encoder.tokens(rows).select("o_orderkey", F.array_join(text, "|").alias("tokens"))
+
+
+@query(
+    "row_context",
+    f"WITH {TOKENS_SQL}, long AS (SELECT o_orderkey, unnest(['o_orderpriority=' || p, 'o_orderstatus=' || s, 'o_totalprice=' || t]) AS tok FROM k), "
+    "alone AS (SELECT tok, count(*) AS n FROM long GROUP BY tok), "
+    "pairs AS (SELECT a.tok AS a, b.tok AS b, count(*) AS n FROM long a JOIN long b USING (o_orderkey) WHERE a.tok <> b.tok GROUP BY 1, 2), "
+    "w AS (SELECT a, b, greatest(ln((SELECT count(*) FROM orders)::double * pairs.n / (x.n::double * y.n)), 0) AS w FROM pairs JOIN alone x ON x.tok = a JOIN alone y ON y.tok = b), "
+    "v AS (SELECT tok, length(tok)::double AS x, ascii(tok[-1])::double AS y FROM alone), "
+    "beside AS (SELECT a.o_orderkey, w * x AS x, w * y AS y FROM long a JOIN long b USING (o_orderkey) JOIN w ON w.a = a.tok AND w.b = b.tok JOIN v ON v.tok = b.tok "
+    "UNION ALL SELECT o_orderkey, x, y FROM long JOIN v USING (tok)) "
+    "SELECT o_orderkey, round(sum(x) / 3, 6) AS encoder_emb_0, round(sum(y) / 3, 6) AS encoder_emb_1 FROM beside GROUP BY o_orderkey",
+)
+def row_context(spark, folder):
+    """Contextual row vectors, from fixed two-dimensional token vectors: the token's length and its last letter."""
+    rows = table(spark, folder, "orders")
+    encoder = fit_row_encoder(rows, *TOKEN_COLUMNS, size=2)
+    text = F.concat("column", F.lit("="), "value")
+    vector = F.array(F.length(text).cast("float"), F.ascii(F.right(text, F.lit(1))).cast("float"))
+    encoder.vectors = encoder.vectors.withColumn("vector", vector)
+    pairs = token_pairs(encoder.tokens(rows), "_tokens")
+    return rounded(contextual_transform(encoder, rows, pairs, ["o_orderkey"]))
+
+
+# -- Spark ML stages -----------------------------------------------------------------------------------------
+@query(
+    "pipeline_stump",
+    f"WITH m AS (SELECT avg(l_quantity) AS mean, stddev_samp(l_quantity) AS std FROM main.lineitem), "
+    "lineitem AS (SELECT l_orderkey, l_linenumber, l_returnflag, (l_quantity - mean) / std AS l_quantity, l_discount FROM main.lineitem, m), "
+    f"{stump_sql(SIGN)} SELECT l_orderkey, l_linenumber, round(1 / (1 + exp(-2 * mean)), 6) AS score, (mean > 0)::int AS predicted FROM sided JOIN leaf USING (low)",
+)
+def pipeline_stump(spark, folder):
+    """Grouping, scaling and a single split as one Spark ML pipeline: fitted, saved, loaded, applied."""
+    rows = returned_lines(spark, folder)
+    trees = stages.BoostedTrees(numeric=STUMP_FEATURES, label="returned", maxIter=1, maxDepth=1)
+    steps = [stages.CategoryGrouping(columns=["l_linestatus"]), stages.StandardScaling(columns=["l_quantity"]), trees]
+    path = scratch_path(spark, "pipeline")
+    Pipeline(stages=steps).fit(rows).write().overwrite().save(path)
+    return rounded(PipelineModel.load(path).transform(rows).select("l_orderkey", "l_linenumber", "score", "predicted"))

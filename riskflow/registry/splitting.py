@@ -85,6 +85,18 @@ def stratified_folds(spark, folder):
     return sampling.stratified_folds(table(spark, folder, "labels"), "toxic", "doc_id").select("doc_id", "toxic", "fold")
 
 
+@query(
+    "folds_ranges",
+    "SELECT l_orderkey, l_linenumber, l_returnflag, ((row_number() OVER (PARTITION BY l_returnflag ORDER BY md5('42|' || k), k) - 1) % 5)::int AS fold "
+    f"FROM (SELECT *, {LINE_KEY_SQL} AS k FROM lineitem)",
+)
+def folds_ranges(spark, folder):
+    """Exact folds by the way taken past the counted bound of rows."""
+    lines = table(spark, folder, "lineitem").withColumn("k", F.concat_ws("|", *LINE_KEY))
+    found = sampling.stratified_folds(lines, "l_returnflag", "k", single_task_rows=100)
+    return found.select("l_orderkey", "l_linenumber", "l_returnflag", "fold")
+
+
 @query("hashed_folds", f"SELECT o_orderkey, ({bucket_sql('o_orderkey')} % 5)::int AS fold FROM orders")
 def hashed_folds(spark, folder):
     return sampling.hashed_folds(table(spark, folder, "orders"), "o_orderkey").select("o_orderkey", "fold")

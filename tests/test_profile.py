@@ -1,9 +1,13 @@
 import math
 
+import numpy as np
+import pandas as pd
+import pytest
+
 from pyspark.sql import functions as F
 
 from conftest import rows
-from riskflow.operators import correlation, profile
+from riskflow.operators import comoments, correlation, profile
 
 
 def people(spark):
@@ -88,17 +92,56 @@ def test_pearson_is_pairwise_complete_and_constant_is_null(spark):
     assert found["a", "c"] is None
 
 
-def test_pearson_in_several_jobs(spark, monkeypatch, tables):
+def test_blocks_merge_to_the_whole(spark, monkeypatch, tables):
     names = ["l_quantity", "l_discount", "l_tax"]
-    whole = rows(correlation.pearson_matrix(tables("lineitem"), names))
-    monkeypatch.setattr(correlation, "PAIRS_PER_JOB", 2)
-    assert rows(correlation.pearson_matrix(tables("lineitem"), names)) == whole
+    lines = tables("lineitem")
+    whole = rows(correlation.pearson_matrix(lines, names))
+    monkeypatch.setattr(comoments, "FAN_IN", 2)
+    parts = rows(correlation.pearson_matrix(lines.repartition(11), names))
+    assert [(a, b, round(r, 9)) for a, b, r in parts] == [(a, b, round(r, 9)) for a, b, r in whole]
 
 
-def test_spearman_on_the_range_and_shuffle_paths(tables):
+def test_comoments_keep_their_digits_far_from_zero(spark):
+    df = spark.range(0, 1000, 1, 7).select((F.col("id") % 10 + 1e9).alias("a"), (F.col("id") % 10 * 3 - 1e9).alias("b"), F.lit(1e9 + 0.1).alias("c"))
+    found = {(r[0], r[1]): r[2] for r in correlation.pearson_matrix(df, ["a", "b", "c"]).collect()}
+    assert abs(found["a", "b"] - 1) < 1e-9 and found["a", "c"] is None and found["c", "c"] is None
+
+
+def test_correlations_of_random_tables_with_holes(spark):
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 6, (300, 5)).astype(float)
+    data[:, 3] = data[:, 0] * 2 + rng.normal(size=300)
+    data[rng.random((300, 5)) < [0.3, 0.0, 0.5, 0.1, 0.0]] = np.nan
+    frame = pd.DataFrame(data, columns=list("abcde"))
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in row) for row in data], "a double, b double, c double, d double, e double").repartition(3)
+    for found, method in ((correlation.pearson_matrix(df, list("abcde")), "pearson"), (correlation.spearman_matrix(df, list("abcde")), "spearman")):
+        got = {(r[0], r[1]): r[2] for r in found.collect()}
+        assert len(got) == 15
+        for (a, b), r in got.items():
+            both = frame[[a, b]].dropna() if a != b else frame[[a]].dropna().assign(_=frame[a])
+            ranked = both.rank() if method == "spearman" else both
+            assert r == pytest.approx(np.corrcoef(ranked.iloc[:, 0], ranked.iloc[:, 1])[0, 1], abs=1e-9)
+    top = correlation.target_correlation(df, "e", list("abcd")).collect()
+    assert [r["correlation"] for r in top] == sorted((r["correlation"] for r in top), reverse=True) and len(top) == 4
+
+
+def test_number_of_jobs_does_not_depend_on_columns(spark):
+    def jobs(names, method):
+        df = spark.range(200).select(*(F.when(F.col("id") % (i + 2) > 0, F.hash("id", F.lit(i))).alias(c) for i, c in enumerate(names)))
+        spark.sparkContext.setJobGroup(f"{method.__name__}-{len(names)}", "")
+        method(df, names).collect()
+        found = spark.sparkContext.statusTracker().getJobIdsForGroup(f"{method.__name__}-{len(names)}")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(found)
+
+    for method in (correlation.pearson_matrix, correlation.spearman_matrix):
+        assert abs(jobs(list("abc"), method) - jobs([f"c{i}" for i in range(12)], method)) <= 3
+
+
+def test_spearman_on_the_range_path(tables):
     names = ["l_quantity", "l_extendedprice"]
     whole = rows(correlation.spearman_matrix(tables("lineitem"), names))
-    other = rows(correlation.spearman_matrix(tables("lineitem"), names, single_task_rows=10, broadcast_rows=0))
+    other = rows(correlation.spearman_matrix(tables("lineitem"), names, single_task_rows=10))
     assert [(a, b, round(r, 9)) for a, b, r in other] == [(a, b, round(r, 9)) for a, b, r in whole]
 
 
