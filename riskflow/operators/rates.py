@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskflow.functions.scalars import number, quoted, to_text
 from riskflow.operators.ordering import running_total, value_counts_long
@@ -48,65 +49,88 @@ def quantile_bin(value: Column, edges: Sequence[float]) -> Column:
 
 
 def binned(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], bins: Sequence[int], kept: Sequence[str]) -> DataFrame:
-    """``kept``, and texts ``bin_<bins>_<column>`` of each number for each number of bins, and ``value_<column>`` of each category."""
+    """``kept``, and ``bin_<bins>_<column>`` of each number for each number of bins (``bins`` itself where the number is missing),
+    and texts ``value_<column>`` of each category."""
     edges = quantile_edges(df, numeric, bins)
     marks = [
-        F.coalesce(quantile_bin(number(df.schema[c]), edges[b][c]).cast("string"), F.lit("nan")).alias(f"bin_{b}_{c}")
-        for b in bins for c in numeric
-    ]
+        F.coalesce(quantile_bin(number(df.schema[c]), edges[b][c]), F.lit(b)).alias(f"bin_{b}_{c}") for b in bins for c in numeric
+    ]
     return df.select(*(quoted(c) for c in kept), *marks, *(to_text(quoted(c)).alias(f"value_{c}") for c in categorical))
 
 
 def fold_counts(df: DataFrame, fold: str, label: str, columns: Sequence[str]) -> DataFrame:
     """(fold, column, value, rows, positive): one row per fold and value, combined before the shuffle."""
-    long = df.select(quoted(fold).alias("fold"), quoted(label).alias("_y"), *(quoted(c) for c in columns)).unpivot(
+    texts = [quoted(c).cast("string").alias(c) for c in columns]
+    long = df.select(quoted(fold).alias("fold"), quoted(label).alias("_y"), *texts).unpivot(
         ["fold", "_y"], [quoted(c) for c in columns], "column", "value"
     )
     return long.groupBy("fold", "column", "value").agg(F.count("*").alias("rows"), F.count_if(F.col("_y") == 1).alias("positive"))
 
 
-def out_of_fold_scores(df: DataFrame, fold: str, label: str, columns: Sequence[str], smoothing: float, name: str = "score") -> DataFrame:
+def bounded_counts(df: DataFrame, fold: str, label: str, columns: Sequence[str]) -> list[Row]:
+    """``fold_counts`` on the driver; more than ``MAX_CELLS`` rows are an error."""
+    cells = fold_counts(df, fold, label, columns).limit(MAX_CELLS + 1).collect()
+    if len(cells) > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} values by fold and column: use bins, or group rare values first")
+    return cells
+
+
+def out_of_fold_scores(
+    df: DataFrame, fold: str, label: str, columns: Sequence[str], smoothing: float, name: str = "score", cells: list[Row] | None = None
+) -> DataFrame:
     """Append ``name``: the mean over ``columns`` of the smoothed positive rate of the row's value in all other folds.
 
     A rate is ``(positive + smoothing * share) / (rows + smoothing)`` where ``share`` is that of all rows of the other folds,
-    and ``share`` itself where no row of the other folds has the value and there is no smoothing.
+    and ``share`` itself where no row of the other folds has the value and there is no smoothing. ``cells`` are the
+    counts, where they are known. Folds are numbers from 0.
     """
     if smoothing < 0:
         raise ValueError("smoothing must not be negative")
-    counts = fold_counts(df, fold, label, columns)
-    cells = counts.limit(MAX_CELLS + 1).collect()
-    if len(cells) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} values by fold and column: use bins, or group rare values first")
-    by_fold, by_value = {}, {}
+    if cells is None:
+        cells = bounded_counts(df, fold, label, columns)
+    by_fold, by_value, own = {}, {}, {}
     for r in cells:
         if r["column"] == columns[0]:
             n, p = by_fold.get(r["fold"], (0, 0))
             by_fold[r["fold"]] = (n + r["rows"], p + r["positive"])
         n, p = by_value.get((r["column"], r["value"]), (0, 0))
         by_value[r["column"], r["value"]] = (n + r["rows"], p + r["positive"])
-    own = {(r["fold"], r["column"], r["value"]): (r["rows"], r["positive"]) for r in cells}
-    total = tuple(map(sum, zip(*by_fold.values(), strict=True))) if by_fold else (0, 0)
-    spark = df.sparkSession
-    rates: dict[str, dict[str, float]] = {c: {} for c in columns}
-    shares: dict[object, float] = {}
+        own[r["fold"], r["column"], r["value"]] = (r["rows"], r["positive"])
+    rows, positive = (sum(pair[i] for pair in by_fold.values()) for i in (0, 1))
+    rates: dict[str, dict[tuple, float]] = {c: {} for c in columns}
     for f, (fn, fp) in by_fold.items():
-        share = (total[1] - fp) / (total[0] - fn) if total[0] > fn else 0.0
-        shares[f] = share
+        share = (positive - fp) / (rows - fn) if rows > fn else 0.0
         for (c, v), (n, p) in by_value.items():
             n0, p0 = own.get((f, c, v), (0, 0))
             below = n - n0 + smoothing
-            rates[c][f"{f}|{v}"] = (p - p0 + smoothing * share) / below if below else share
-    table = spark.createDataFrame([tuple(rates[c] for c in columns)], ", ".join(f"r{i} map<string,double>" for i in range(len(columns))))
-    scored = F.lit(0.0)
+            rates[c][f, v] = (p - p0 + smoothing * share) / below if below else share
+    whole = {c: isinstance(df.schema[c].dataType, T.IntegralType) for c in columns}
+    folds = max(by_fold, default=0) + 1
+    looked, kinds, scored = [], [], F.lit(0.0)
     for i, c in enumerate(columns):
-        place = F.concat(quoted(fold).cast("string"), F.lit("|"), quoted(c))
-        scored = scored + F.element_at(table.select(f"r{i}").scalar(), place)
+        if whole[c]:  # small whole numbers: their place in an array
+            values = max((int(v) for _, v in rates[c]), default=0) + 1
+            table = [0.0] * (folds * values)
+            for (f, v), rate in rates[c].items():
+                table[f * values + int(v)] = rate
+            place = quoted(fold) * F.lit(values) + quoted(c)
+        else:
+            table = {f"{f}|{v}": rate for (f, v), rate in rates[c].items()}
+            place = F.concat(quoted(fold).cast("string"), F.lit("|"), quoted(c))
+        looked.append((table, place))
+        kinds.append(f"r{i} {'array<double>' if whole[c] else 'map<string,double>'}")
+    tables = df.sparkSession.createDataFrame([tuple(table for table, _ in looked)], ", ".join(kinds))
+    for i, ((_, place), c) in enumerate(zip(looked, columns, strict=True)):
+        found = tables.select(f"r{i}").scalar()
+        scored = scored + (F.get(found, place) if whole[c] else F.element_at(found, place))
     return df.withColumn(name, scored / F.lit(float(len(columns))))
 
 
-def out_of_fold_error(df: DataFrame, fold: str, label: str, columns: Sequence[str], smoothing: float) -> float:
-    """Mean over the folds of the mean squared error of the scores: one job for the counts, one for the errors."""
-    scored = out_of_fold_scores(df, fold, label, columns, smoothing, "_score")
+def out_of_fold_error(
+    df: DataFrame, fold: str, label: str, columns: Sequence[str], smoothing: float, cells: list[Row] | None = None
+) -> float:
+    """Mean over the folds of the mean squared error of the scores: one job for the counts, unless known, one for the errors."""
+    scored = out_of_fold_scores(df, fold, label, columns, smoothing, "_score", cells)
     error = F.avg(F.pow(quoted(label) - F.col("_score"), F.lit(2.0)))
     found = [r["e"] for r in scored.groupBy(quoted(fold).alias("fold")).agg(error.alias("e")).orderBy("fold").collect()]
     return sum(found) / len(found)

@@ -9,6 +9,7 @@ import time
 import uuid
 from collections.abc import Callable, Mapping
 from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+from contextlib import nullcontext
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from riskflow.operators.sampling import hashed_folds, stratified_folds
-from riskflow.session import materialise, spread
+from riskflow.session import materialise, scratch_scope, spread
 
 log = logging.getLogger(__name__)
 
@@ -84,7 +85,8 @@ class RandomSearch:
                 spark.sparkContext.addJobTag(tag)
                 spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"trial-{n % self.concurrent}")
             try:
-                value = float(objective(params))
+                with scratch_scope(spark) if spark is not None else nullcontext():  # what a trial writes goes with it
+                    value = float(objective(params))
                 if math.isnan(value):
                     raise ValueError("the objective is not a number")
                 return Trial(n, value, params)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+from functools import cache
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
@@ -14,7 +15,7 @@ from riskflow.operators import metrics, models, stages
 from riskflow.operators.boosting import NewtonBoostedClassifier, loss_by_round
 from riskflow.operators.context import contextual_transform, token_pairs
 from riskflow.operators.embeddings import fit_row_encoder
-from riskflow.operators.rates import binned, out_of_fold_error
+from riskflow.operators.rates import binned, bounded_counts, out_of_fold_error
 from riskflow.operators.sampling import split_rows, stratified_folds
 from riskflow.operators.tuning import RandomSearch
 from riskflow.plans.embedding import append_embeddings
@@ -189,9 +190,14 @@ def tuning_trials(spark, folder):
     rows = binned(lines, NUMBERS, CATEGORIES, BIN_CHOICES, ["key", "valuable"])
     folded = spread(stratified_folds(materialise(rows, "binned"), "valuable", "key", 5, name="_fold").drop("key"))
 
+    @cache
+    def counted(bins):  # the counts don't depend on the smoothing
+        columns = [*(f"bin_{bins}_{c}" for c in NUMBERS), *(f"value_{c}" for c in CATEGORIES)]
+        return columns, bounded_counts(folded, "_fold", "valuable", columns)
+
     def objective(params):
-        columns = [*(f"bin_{params['bins']}_{c}" for c in NUMBERS), *(f"value_{c}" for c in CATEGORIES)]
-        return out_of_fold_error(folded, "_fold", "valuable", columns, params["smoothing"])
+        columns, cells = counted(params["bins"])
+        return out_of_fold_error(folded, "_fold", "valuable", columns, params["smoothing"], cells)
 
     search = RandomSearch(concurrent=4)
     search.optimize(objective, SPACE, "minimize")

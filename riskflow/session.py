@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Local property that names the folder of the enclosing scope.
+SCOPE = "riskflow.scratch.scope"
 #: Rows to a file of a table that is dealt out for training.
 SPREAD_ROWS = 100_000
 
@@ -48,15 +53,35 @@ def checkpoint_root(spark: SparkSession) -> str:
         return configured
     if current is not None:
         return current
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):  # local-cluster has executors of its own
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="riskflow-"))
     return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path under the shared folder."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new, unused path under the shared folder, or under that of the enclosing ``scratch_scope``."""
+    scope = spark.sparkContext.getLocalProperty(SCOPE)
+    root = checkpoint_root(spark).rstrip("/")
+    return "/".join([root, *([scope] if scope else []), f"{label}-{uuid.uuid4().hex}"])
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[str]:
+    """Tables that are written to scratch paths inside the scope, also by threads that inherit it, are deleted at its end.
+
+    For work whose result is a number or a stored model; a DataFrame that reads such a table can't outlive it.
+    """
+    context = spark.sparkContext
+    outer = context.getLocalProperty(SCOPE)
+    scope = "/".join([*([outer] if outer else []), f"scope-{uuid.uuid4().hex}"])
+    context.setLocalProperty(SCOPE, scope)
+    try:
+        yield scope
+    finally:
+        context.setLocalProperty(SCOPE, outer)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark).rstrip('/')}/{scope}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialise(df: DataFrame, label: str = "table") -> DataFrame:

@@ -197,6 +197,9 @@ def test_out_of_fold_rates(spark):
     made = [(i % 3, i % 2 if i % 5 else 1, "a" if i % 4 else f"v{i}") for i in range(60)]
     df = spark.createDataFrame(made, "fold int, y int, c string").withColumn("d", F.lit("one"))
     found = rows(rates.out_of_fold_scores(df, "fold", "y", ["c", "d"], 2.0))
+    coded = df.withColumn("e", F.when(F.col("c") == "a", 61).otherwise(F.substring("c", 2, 9).cast("int"))).withColumn("g", F.lit(3))
+    both = rates.out_of_fold_scores(rates.out_of_fold_scores(coded, "fold", "y", ["c", "d"], 2.0, "s"), "fold", "y", ["e", "g"], 2.0, "t")
+    assert both.where(F.abs(F.col("s") - F.col("t")) < 1e-12).count() == 60
 
     def score(fold, c):
         others = [m for m in made if m[0] != fold]
@@ -213,8 +216,8 @@ def test_out_of_fold_rates(spark):
 def test_quantile_bins_hold_equal_shares(spark):
     df = spark.createDataFrame([(float(i % 10),) for i in range(100)] + [(None,), (float("nan"),)], "x double")
     binned = rates.binned(df, ["x"], [], [5, 3], ["x"])
-    assert rows(binned.groupBy("bin_5_x").count()) == [("0", 20), ("1", 20), ("2", 20), ("3", 20), ("4", 20), ("nan", 2)]
-    assert {r["bin_3_x"] for r in binned.where("x = 3").collect()} == {"0"}
+    assert rows(binned.groupBy("bin_5_x").count()) == [(0, 20), (1, 20), (2, 20), (3, 20), (4, 20), (5, 2)]
+    assert {r["bin_3_x"] for r in binned.where("x = 3").collect()} == {0}
 
 
 # -- features and embeddings ---------------------------------------------------------------------------
