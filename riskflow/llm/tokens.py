@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 END_ID = 1
-CACHED_WORDS = 300_000
+CACHED_WORDS = 400_000
 _WHITE = "\n\t\r\x0b\x0c"
 _HEADER = 4
 
@@ -40,13 +40,15 @@ class WordEncoder(dict):
     """Ids of texts for a tokenizer that drops white space, as bytes; a dictionary from word to its ids.
 
     No token of such a tokenizer spans white space, so a text's ids are those of its words in order, and a word is
-    encoded once for as long as the dictionary keeps it. It starts anew after ``CACHED_WORDS`` words.
+    encoded once for as long as it is remembered. After ``CACHED_WORDS`` words the dictionary starts anew and the words
+    before are kept aside until it is full again, so those that come often stay.
     """
 
     def __init__(self, path: str, end_id: int = END_ID) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
+        self._aside: dict[str, bytes] = {}
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
         self.dtype = np.dtype("<u2" if self._tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
@@ -61,8 +63,10 @@ class WordEncoder(dict):
         self._spelled = {b: s for b, s in spelled.items() if chr(b) != s}
 
     def __missing__(self, word: str) -> bytes:
-        found = None
-        if word.isalpha() and (word.isascii() or max(word) <= "\xff"):  # one word, no marks to compose
+        found = self._aside.get(word)
+        if found is not None:
+            pass
+        elif word.isalpha() and (word.isascii() or max(word) <= "\xff"):  # one word, no marks to compose
             lower = word.lower()
             if lower != word:
                 found = self[lower]
@@ -79,6 +83,7 @@ class WordEncoder(dict):
     def encode(self, text: str | None) -> bytes:
         """Ids of the text, then the end id; null is empty."""
         if len(self) > CACHED_WORDS:
+            self._aside = dict(self)
             self.clear()
         text = text or ""
         for white in _WHITE:
