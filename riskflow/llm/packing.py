@@ -172,7 +172,8 @@ def pack_shards(spark: SparkSession, path: str, window: int = WINDOW) -> DataFra
             for row in batch.to_pylist():
                 yield from _placed(Shard.open(path, numbers[row["at"]]), row["before"], slots, window)
 
-    return bases.mapInArrow(place, _PLACED)
+    # A number of one's own: adaptive execution would put these few rows, and with them all files, into one task.
+    return bases.repartitionByRange(max(1, len(numbers)), "at").mapInArrow(place, _PLACED)
 
 
 def _placed(shard: Shard, before: list[dict], slots: Slots, window: int) -> Iterator[pa.RecordBatch]:
