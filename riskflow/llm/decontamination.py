@@ -65,11 +65,14 @@ def winnowed(hashes: Column) -> Column:
             F.array_distinct(least), lambda p: _mark(p, WINDOW, F.get(grams, p).bitwiseAND(F.lit(-PLACES).cast("bigint")))
         )
 
-    grams = F.transform(
-        _upto(F.size(hashes) - K),
-        lambda i: F.xxhash64(F.slice(hashes, i + 1, K)).bitwiseAND(F.lit(-PLACES).cast("bigint")).bitwiseOR(F.pmod(i, F.lit(PLACES)).cast("bigint")),
-    )
-    return let(grams, of_grams)
+    def grams(known: Column) -> Column:
+        return F.transform(
+            _upto(F.size(known) - K),
+            lambda i: F.xxhash64(F.slice(known, i + 1, K)).bitwiseAND(F.lit(-PLACES).cast("bigint")).bitwiseOR(F.pmod(i, F.lit(PLACES)).cast("bigint")),
+        )
+
+    # Bound twice: an expression inside a lambda would be computed for each of its elements.
+    return let(hashes, lambda known: let(grams(known), of_grams))
 
 
 def _runs(hashes: Column, length: int) -> Column:
