@@ -41,11 +41,16 @@ def quantile_edges(df: DataFrame, columns: Sequence[str], bins: Sequence[int]) -
 
 
 def quantile_bin(value: Column, edges: Sequence[float]) -> Column:
-    """Number of edges up to ``value``, less one; null for a missing value."""
-    passed = F.lit(0)
-    for edge in edges[1:]:
-        passed = passed + (value >= F.lit(edge)).cast("int")
-    return F.when(value.isNotNull(), passed)
+    """Number of edges up to ``value``, less one (at least 0); null for a missing value. Nested halves: few comparisons a row."""
+
+    def search(low: int, high: int) -> Column:
+        """The bin, which is one of low .. high."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high + 1) // 2
+        return F.when(value < F.lit(edges[middle]), search(low, middle - 1)).otherwise(search(middle, high))
+
+    return F.when(value.isNotNull(), search(0, max(len(edges) - 1, 0)))
 
 
 def binned(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], bins: Sequence[int], kept: Sequence[str]) -> DataFrame:
