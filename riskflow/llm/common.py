@@ -122,6 +122,26 @@ class RollingHash:
         return (self._sums[width:] - self._sums[:n]) * self._back[:n]
 
 
+_TAILS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """64-bit hash of each run of bytes: its length, then eight bytes at a time, each mixed with all before."""
+    padded = np.concatenate((_LOWER[data] if lower else data, np.zeros(8, np.uint8)))
+    windows = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    found = mix((ends - starts).astype(np.uint64) + np.uint64(_MULTIPLIER))
+    live, at = np.arange(len(starts)), starts
+    while len(live):
+        rest = np.minimum(ends[live] - at, 8)
+        block = np.ascontiguousarray(windows[at]).view(np.uint64).ravel() & _TAILS[rest]
+        found[live] = mix(found[live] ^ block) + np.uint64(_MULTIPLIER)
+        more = at + 8 < ends[live]
+        live, at = live[more], at[more] + 8
+    return found
+
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from riskflow.llm import components, fingerprints, ngram_join, queries
+from riskflow.llm.common import run_hashes
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -131,10 +132,47 @@ def test_keep_one(spark):
 def test_bound_is_an_upper_bound():
     draw = np.random.default_rng(0)
     for _ in range(200):
-        a = draw.choice(2**62, draw.integers(1, 900)).astype(np.uint64)
+        a = draw.choice(2**62, draw.integers(1, 9000)).astype(np.uint64)
         b = np.concatenate([draw.choice(a, draw.integers(0, len(a) + 1), replace=False), draw.choice(2**62, draw.integers(1, 300)).astype(np.uint64)])
-        bits = [ngram_join._bitmaps(np.sort(x), np.array([0, len(x)])).view(np.uint64) for x in (a, b)]
-        assert ngram_join._bound(len(a), len(b), *bits)[0] >= len(np.intersect1d(a, b))
+        both = [np.unique(x) for x in (a, b)]
+        bits = ngram_join._Bitmaps([ngram_join._bitmaps(x, np.array([0, len(x)]))[0] for x in both])
+        apart = len(np.setxor1d(*both))
+        assert bits.differing(np.array([0]), np.array([1]))[0] <= apart
+
+
+@pytest.mark.parametrize("size", [100, 1_000, 5_000, 20_000])
+def test_bound_tells_disjoint_sets_apart(size):
+    draw = np.random.default_rng(size)
+    a, b = (np.unique(draw.integers(0, 2**63, size).astype(np.uint64)) for _ in range(2))
+    bits = ngram_join._Bitmaps([ngram_join._bitmaps(x, np.array([0, len(x)]))[0] for x in (a, b)])
+    overlap = (2 * size - bits.differing(np.array([0]), np.array([1]))[0]) // 2
+    assert not ngram_join._enough(overlap, size, size)
+
+
+def test_blocks_of_frequent_keys(spark, rows, monkeypatch):
+    """Keys dealt out by pairs of blocks, with hardly any pairs given directly and short memories, lose no links."""
+    for name, value in (("BLOCK", 2), ("SMALL", 2), ("TILE", 3), ("EARLIER", 1)):
+        monkeypatch.setattr(ngram_join, name, value)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert Counter(map(tuple, ngram_join.jaccard_components(docs).collect())) == brute(rows)
+
+
+def test_words_that_clash_in_polynomial_hashes(spark):
+    signs = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    swapped = signs.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{signs} one two three four"), (2, f"{swapped} one two three four")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert Counter(map(tuple, ngram_join.jaccard_components(docs).collect())) == brute(rows)
+
+
+def test_run_hashes_follow_the_bytes_alone():
+    texts = [b"", b"a", b"A", b"abcdefgh", b"abcdefghi", b"abcdefgh\0", b"x" * 100, b"x" * 101, b"a"]
+    ends = np.cumsum([len(t) for t in texts])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    found = run_hashes(data, ends - [len(t) for t in texts], ends)
+    assert len(set(found.tolist())) == len(set(texts)) and found[1] == found[-1]
+    lower = run_hashes(data, ends - [len(t) for t in texts], ends, lower=True)
+    assert lower[1] == lower[2]
 
 
 def test_components(spark):
