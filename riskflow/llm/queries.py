@@ -152,7 +152,7 @@ WITH RECURSIVE mass AS (
   SELECT source, rate, k + 1, logp + ln(rate / (k + 1)), total + exp(logp + ln(rate / (k + 1))) FROM sums
   WHERE k < ceil(rate + sqrt(rate) * 12 + 40)
 ), draws AS (
-  SELECT d.*, ('0x' || substr(md5('{mixing.SEED}|' || doc_id), 1, 8))::bigint / 4294967296.0 AS u FROM documents d
+  SELECT d.*, ('0x' || substr(md5('{mixing.SEED}|' || coalesce(doc_id::varchar, '') || '|' || md5(coalesce(text, ''))), 1, 8))::bigint / 4294967296.0 AS u FROM documents d
 )
 SELECT d.doc_id, d.source, d.lang, (s.k + 1)::integer AS copy, md5(d.text) AS text_md5
 FROM draws d JOIN sums s ON d.source IS NOT DISTINCT FROM s.source AND s.total <= d.u

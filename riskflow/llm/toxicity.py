@@ -33,6 +33,7 @@ WIDTHS = (1, 2, 3)
 FILTERS = 8
 EPOCHS = 4
 BATCH = 64
+STRETCH = 1 << 15  # words that are embedded at a time
 RATE = 0.1
 THRESHOLD = 0.7
 FRAGMENTS = 0.3
@@ -80,22 +81,40 @@ class Network:
         laid[np.arange(len(rows)) + gap * np.repeat(texts, np.diff(first))] = rows
         return laid, begin, end
 
-    def _pooled(self, rows: np.ndarray, first: np.ndarray):
+    def _embedded(self, words: np.ndarray) -> np.ndarray:
+        return self.table[words[..., 0]] + self.table[words[..., 1]] * (words[..., 1:] > 0)
+
+    def _pooled(self, rows: np.ndarray, first: np.ndarray, places: bool = False):
+        """Each filter's largest answer in each text, which texts have words, the spread rows and, with ``places``, where in them
+        the answers are (the first of equal ones). ``STRETCH`` rows are embedded at a time, however long a text is."""
         laid, begin, end = self._spread(rows, first)
-        embedded = self.table[laid[:, 0]] + self.table[laid[:, 1]] * (laid[:, 1:] > 0)
-        reach = len(laid) - max(WIDTHS) + 1
-        answers = np.concatenate(
-            [sum(embedded[j : j + reach] @ f[j] for j in range(len(f))) for f in self.filters], axis=1
-        )
         filled = end > begin
-        pooled = np.zeros((len(begin), answers.shape[1]), np.float32)
-        if filled.any():
-            edges = np.stack([begin[filled], end[filled]], axis=1).ravel()
-            pooled[filled] = np.maximum.reduceat(answers, edges[: -1 if edges[-1] >= len(answers) else None], axis=0)[::2]
-        return pooled, filled, (laid, begin, end, embedded, answers)
+        pooled = np.full((len(begin), len(WIDTHS) * FILTERS), -np.inf, np.float32)
+        at = np.zeros(pooled.shape, np.int64)
+        reach = len(laid) - max(WIDTHS) + 1
+        for low in range(0, reach, STRETCH):
+            high = min(low + STRETCH, reach)
+            embedded = self._embedded(laid[low : high + max(WIDTHS) - 1])
+            answers = np.concatenate(
+                [sum(embedded[j : j + high - low] @ f[j] for j in range(len(f))) for f in self.filters], axis=1
+            )
+            here = np.arange(np.searchsorted(end, low, side="right"), np.searchsorted(begin, high))
+            here = here[filled[here]]
+            if not len(here):
+                continue
+            opens, closes = np.maximum(begin[here], low) - low, np.minimum(end[here], high) - low
+            edges = np.stack([opens, closes], axis=1).ravel()
+            best = np.maximum.reduceat(answers, edges[: -1 if edges[-1] >= len(answers) else None], axis=0)[::2]
+            better = best > pooled[here]
+            pooled[here] = np.where(better, best, pooled[here])
+            if places:
+                found = np.stack([low + a + answers[a:b].argmax(axis=0) for a, b in zip(opens, closes, strict=True)])
+                at[here] = np.where(better, found, at[here])
+        pooled[~filled] = 0
+        return pooled, filled, laid, at
 
     def logits(self, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
-        pooled, filled, _ = self._pooled(rows, first)
+        pooled, filled, _, _ = self._pooled(rows, first)
         return np.maximum(pooled + self.bias, 0) * filled[:, None] @ self.out + self.base
 
     def _adapt(self, name: str, slope: np.ndarray) -> None:
@@ -104,20 +123,17 @@ class Network:
 
     def step(self, rows: np.ndarray, first: np.ndarray, target: np.ndarray) -> None:
         """One step of Adagrad on the mean log loss; only the words behind each filter's largest answer move."""
-        pooled, filled, (laid, begin, end, embedded, answers) = self._pooled(rows, first)
+        pooled, filled, laid, at = self._pooled(rows, first, places=True)
         hidden = np.maximum(pooled + self.bias, 0) * filled[:, None]
         wrong = (1 / (1 + np.exp(-(hidden @ self.out + self.base))) - target) / len(target)
         back = wrong[:, None] * self.out * (hidden > 0)
-        at = np.zeros(pooled.shape, np.int64)
-        for i in np.flatnonzero(filled):
-            at[i] = begin[i] + answers[begin[i] : end[i]].argmax(axis=0)
         moved, slopes = [], []
         for k, f in enumerate(self.filters):
             own = slice(k * FILTERS, (k + 1) * FILTERS)
             change = np.zeros_like(f)
             for j in range(len(f)):
                 place, slope = at[:, own] + j, back[:, own]
-                change[j] = np.einsum("dfe,df->ef", embedded[place], slope)
+                change[j] = np.einsum("dfe,df->ef", self._embedded(laid[place]), slope)
                 moved.append(laid[place].reshape(-1, 2))
                 slopes.append((slope[:, :, None] * f[j].T).reshape(-1, DIM))
             self._filter_squares[k] += change**2
@@ -162,8 +178,13 @@ class Model:
 
     def language(self, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The likeliest language of each text by its words; the first of all for a text without words."""
-        sums = np.concatenate((np.zeros((1, self.languages.shape[1])), np.cumsum(self.languages[rows[:, 0] % LANGUAGE_BUCKETS], axis=0)))
-        return (sums[first[1:]] - sums[first[:-1]]).argmax(axis=1)
+        sums = np.zeros((len(first) - 1, self.languages.shape[1]))
+        for low in range(0, len(rows), STRETCH):
+            odds = self.languages[rows[low : low + STRETCH, 0] % LANGUAGE_BUCKETS].astype(np.float64)
+            here = np.arange(np.searchsorted(first[1:], low, side="right"), np.searchsorted(first[:-1], low + len(odds)))
+            here = here[first[here + 1] > first[here]]
+            sums[here] += np.add.reduceat(odds, np.maximum(first[here] - low, 0), axis=0)
+        return sums.argmax(axis=1)
 
 
 def fit(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None]) -> Model:
@@ -226,7 +247,8 @@ def best_threshold(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, lang: str, limit: int) -> list:
-    """(features as bytes, label, language) of the first ``limit`` labelled rows by a hash of the key."""
+    """(key, label, language, features as bytes) of the first ``limit`` labelled keys by a hash of the key; of rows with one key
+    that with the smallest hash of its text."""
     chosen = (
         labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").alias("label"))
         .where("key IS NOT NULL AND label IS NOT NULL")
@@ -236,7 +258,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, key: str, text
     texts = docs.select(
         F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("binary").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")
     )
-    found = texts.join(F.broadcast(chosen), "key").select("key", F.col("label").cast("int"), "lang", "text")
+    one = F.min(F.struct(F.xxhash64("text").alias("tie"), "lang", "text")).alias("one")
+    found = (
+        texts.join(F.broadcast(chosen), "key").groupBy("key", F.col("label").cast("int").alias("label")).agg(one)
+        .select("key", "label", "one.lang", "one.text")
+    )
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -256,7 +282,8 @@ def train(
     max_rows: int = MAX_ROWS,
 ) -> Model:
     """Fit on the texts of ``docs`` that ``labels`` marks 0 or 1. Rows without key or label are left out; a key with
-    several labels counts as toxic if one says so."""
+    several labels counts as toxic if one says so, and one row of each key is read. Null and empty texts are texts without words.
+    Without rows of both labels, an empty table included, every text gets the share of toxic ones (0 without rows)."""
     rows = training_rows(docs, labels, label, key, text, lang, max_rows)
     texts = [np.frombuffer(r["words"], np.int32).reshape(-1, 2) for r in rows]
     return fit(texts, np.array([r["label"] for r in rows]), [r["lang"] for r in rows])
@@ -264,8 +291,10 @@ def train(
 
 def score(docs: DataFrame, model: Model, text: str, name: str) -> DataFrame:
     """Append column ``name``: the score of each whole text, 0 to 1; ``THRESHOLD`` and more is toxic. Null and empty
-    texts have the score of a text without words. The score depends on the text alone."""
-    columns = [*docs.columns, name]
+    texts have the score of a text without words. The score depends on the text alone, so repeated rows share it. A column
+    that is called ``name`` already, in any case, is replaced. An empty table gives no rows."""
+    fields = [f for f in docs.schema.fields if f.name.lower() != name.lower()]
+    columns = [*(f.name for f in fields), name]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,9 +303,10 @@ def score(docs: DataFrame, model: Model, text: str, name: str) -> DataFrame:
             found = scorer.scores(*bytes_of(batch.column(batch.num_columns - 1)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], names=columns)
 
-    wide = docs.withColumn(name, F.col(f"`{text}`").cast("binary"))
-    return wide.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    wide = docs.select(*(F.col(f"`{f.name}`") for f in fields), F.col(f"`{text}`").cast("binary").alias(name))
+    return wide.mapInArrow(run, T.StructType([*fields, T.StructField(name, T.DoubleType())]))
 
 
 def held_out(key: str) -> Column:
-    return F.crc32(F.col(f"`{key}`").cast("string").cast("binary")) % 3 == 1
+    """Whether crc32 of the key as text leaves 1 when divided by 3; false without a key."""
+    return F.coalesce(F.crc32(F.col(f"`{key}`").cast("string").cast("binary")) % 3 == 1, F.lit(False))

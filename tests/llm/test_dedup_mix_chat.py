@@ -1,6 +1,7 @@
 """Exact dedup, mixing and chat formatting: SQL, brute force and round trips."""
 
 import hashlib
+import math
 import random
 from collections import Counter
 
@@ -87,6 +88,31 @@ def test_mixing_odd_rows(spark):
     assert mixing.poisson_mix(docs, mixing.source_rates(docs, {})).count() == 0
 
 
+def test_mixing_without_keys(spark):
+    """Rows without a key have draws of their own; SQL's draws are the same, null keys and texts included."""
+    docs = spark.range(2000).selectExpr("cast(NULL AS bigint) AS doc_id", "'s' AS source", "concat('text ', id) AS text")
+    mixed = Counter(r.text for r in mixing.poisson_mix(docs, mixing.source_rates(docs)).collect())
+    assert 1800 < sum(mixed.values()) < 2200 and len(set(mixed.values())) > 3
+    expected = {}
+    for i in range(2000):
+        u = int(hashlib.md5(f"{mixing.SEED}||{hashlib.md5(f'text {i}'.encode()).hexdigest()}".encode()).hexdigest()[:8], 16) / 2**32
+        k, step, total = 0, math.exp(-1), math.exp(-1)
+        while total <= u:
+            k += 1
+            step /= k
+            total += step
+        expected[f"text {i}"] = k
+    assert mixed == {t: k for t, k in expected.items() if k}
+
+
+def test_sums_of_a_high_rate(spark):
+    rates = spark.createDataFrame([("a", 0.0), ("b", 2.5), (None, 50_000.0)], "source string, rate double")
+    found = {r.source: r.sums for r in mixing.cumulative(rates).collect()}
+    assert set(found) == {"b", None}
+    assert all(s == sorted(s) and abs(s[-1] - 1) < 1e-9 for s in found.values())
+    assert abs(found["b"][2] - math.exp(-2.5) * (1 + 2.5 + 2.5**2 / 2)) < 1e-12
+
+
 TEXT = st.lists(st.sampled_from(["\\", ".", "n", "\n", "<|im_end|>", "<|im_start|>", "</s>", "[INST]", "[", "<", "<s>", "é", "|>", "x"]), max_size=12).map("".join)
 
 

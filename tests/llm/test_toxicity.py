@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from riskflow.llm import queries, toxicity
 from riskflow.llm.common import bytes_of, slices
@@ -74,3 +75,27 @@ def test_query(spark, folder):
     found = queries.op1_toxicity(spark, folder).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in found)
     assert all(r.predicted == int(r.score >= 0.7) for r in found)
+
+
+def test_long_texts_go_in_stretches(trained, monkeypatch):
+    words = np.random.default_rng(4).choice([*CLEAN, *BAD], 4000)
+    raw = _bytes(["", " ".join(words), "tide", "", " ".join(words[:130]), "vermin"])
+    rows, first = toxicity.features(*raw)
+    network = toxicity.Network()
+    whole, guessed = network._pooled(rows, first, places=True), trained.language(rows, first)
+    monkeypatch.setattr(toxicity, "STRETCH", 128)
+    parts = network._pooled(rows, first, places=True)
+    assert np.allclose(whole[0], parts[0], atol=1e-6) and (whole[3] == parts[3]).mean() > 0.98
+    assert (trained.language(rows, first) == guessed).all()
+
+
+def test_repeated_keys_and_clashing_names(spark, trained):
+    docs = spark.createDataFrame([(1, "tide", "en", "x"), (1, "sea", None, "y"), (1, "sea", None, "y")], "doc_id bigint, text string, lang string, Score string")
+    labels = spark.createDataFrame([(1, 1), (1, 0)], "doc_id bigint, toxic int")
+    rows = toxicity.training_rows(docs, labels, "toxic", "doc_id", "text", "lang", 10)
+    assert [(r["key"], r["label"], len(r["words"])) for r in rows] == [(1, 1, 8)]
+    found = toxicity.score(docs, trained, "text", "score")
+    assert found.columns == ["doc_id", "text", "lang", "score"] and len({r.score for r in found.where("text = 'sea'").collect()}) == 1
+    own = toxicity.score(docs, trained, "text", "text")
+    assert own.columns == ["doc_id", "lang", "Score", "text"] and own.schema["text"].dataType.simpleString() == "double"
+    assert [r.h for r in spark.range(1).select(F.lit(None).cast("bigint").alias("k")).select(toxicity.held_out("k").alias("h")).collect()] == [False]
