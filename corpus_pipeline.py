@@ -15,29 +15,50 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones, doesn't reject."""
+    """Documents that the classifier, fitted on the labelled ones, doesn't reject.
+
+    Null and empty texts have the score of a text without words, which is clean; long texts are read whole. Repeated rows share their
+    score, so they stay or go together; rows without a key are scored but don't train. Other columns pass through, whatever they are
+    called. An empty table stays empty.
+    """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     (score,) = fresh(docs, "toxicity")
     return toxicity.score(docs, model, "text", score).where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of texts that are equal without white space."""
+    """One row of each group of texts that are equal without white space.
+
+    Null and empty texts are one group with those of white space only. The longest original stays; ties go to the smallest key, a
+    null key last, and one of rows that are equal throughout stays. Other columns pass through; an empty table stays empty.
+    """
     return exact_dedup.keep_first(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is linked by a Jaccard similarity of 0.75 or more of five-word shingles."""
+    """One document of each group that is linked by a Jaccard similarity of 0.75 or more of five-word shingles.
+
+    The smallest key of a group stays. Texts without words, null ones included, link with nothing and stay, each row of them.
+    Long texts are compared whole. Other columns pass through; an empty table stays empty.
+    """
     return ngram_join.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's rate draws, in mixed order."""
+    """Each document as often as its source's rate draws, in mixed order.
+
+    A null source is a source of its own; one without characters has rate 1. Rows that are equal in key, text and source draw alike.
+    Other columns pass through, whatever they are called; an empty table stays empty.
+    """
     return mixing.poisson_mix(docs, mixing.source_rates(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their place in sequences of 2048 tokens."""
+    """Pieces of documents with their place in sequences of 2048 tokens.
+
+    A null or empty text is its end id alone. Long texts are cut; repeated rows are documents of their own. Other columns aren't read;
+    an empty table has no pieces.
+    """
     return queries.digested(packing.pack_documents(docs, tokens.tokenizer_path()))
 
 
