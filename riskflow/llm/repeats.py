@@ -11,6 +11,9 @@ brings the windows together that can be equal, and leaves out what cannot repeat
 4. Blocks with one core that differ are put behind one another and sorted by a suffix array; neighbours in it that agree
    in ``LENGTH`` bytes repeat. Where very many meet at one core, the same step is taken with smaller blocks, down to single
    windows, which are equal or not; so no task gets a group without a bound.
+
+Anchors and cores, by a rolling hash, only bring candidates together. What counts as equal byte for byte has the same hash of its
+whole run, eight bytes at a time, each mixed with all before, besides the same anchor or core: 128 bits together.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskflow.llm.common import RollingHash, bytes_of, mix, slices
+from riskflow.llm.common import RollingHash, bytes_of, mix, run_hashes, slices
 from riskflow.llm.suffix_array import suffix_array
 from riskflow.session import materialise
 
@@ -65,7 +68,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     last = breaks[np.searchsorted(breaks, first, side="right")] - 1
     anchor = anchors[first]
     shape = mix(((anchor - first) << 32 | (last - first)).astype(np.uint64))
-    kind = mix(rolling.of(first, last + length) ^ shape)
+    kind = mix(run_hashes(data, first, last + length) ^ shape)
     return text[first], grams[anchor], kind, first, last, anchor
 
 
@@ -118,14 +121,15 @@ def _blocks(texts: DataFrame, width: int, length: int) -> DataFrame:
             names = ("anchor", "kind", "weight", "low", "at", "text")
             for anchor, kind, weight, low, at, text in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
                 last = len(text) - length
-                rolling = RollingHash(np.frombuffer(text, np.uint8))
+                data = np.frombuffer(text, np.uint8)
+                rolling = RollingHash(data)
                 edge = at + 1 - (-(-(at + 1) // width)) * width  # the first block's start, at most 0
                 cuts = np.arange(edge, last + 1, width)
                 first, end = np.maximum(cuts, 0), np.minimum(cuts + width - 1, last)
                 shape = mix((cuts - at + length).astype(np.uint64) ^ np.uint64(anchor & (1 << 63) - 1))
                 # The part that all windows of the whole block contain lies in each of them, so also in this text.
                 core = mix(rolling.of(end, first + length) ^ shape) if width == 1 else mix(rolling.of(np.clip(cuts + width - 1, 0, len(text)), np.clip(cuts + length, 0, len(text))) ^ shape)
-                block = mix(rolling.of(first, end + length) ^ mix(((first - cuts) << 32 | (end - cuts)).astype(np.uint64)) ^ core)
+                block = mix(run_hashes(data, first, end + length) ^ mix(((first - cuts) << 32 | (end - cuts)).astype(np.uint64)) ^ core)
                 for c, b, x, y in zip(core.astype(np.int64).tolist(), block.astype(np.int64).tolist(), first.tolist(), end.tolist(), strict=True):
                     out.append((c, b, weight, anchor, kind, low + x, at - x, text[x : y + length]))
             columns = list(zip(*out, strict=True)) or [()] * 8
@@ -230,7 +234,7 @@ def covered(chosen: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
         "id", "tie",
         F.transform("runs", lambda r: F.struct((F.col("low") + r["first"]).alias("start"), (F.col("low") + r["last"] + length).alias("end"))).alias("spans"),
     )
-    return spans.groupBy("id", "tie").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return spans.groupBy("id", "tie").agg(F.flatten(F.collect_set("spans")).alias("spans"))  # equal rows give equal spans
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -248,7 +252,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     """One row per row of ``docs``: key, n_bytes, spans (array of start, end: the removed bytes) and kept (the other bytes).
 
     Texts are UTF-8 bytes, null is empty; matches don't cross documents and are judged on the input. Texts shorter than
-    ``length`` stay as they are. Repeated rows are documents that repeat each other. Other columns aren't read.
+    ``length`` stay as they are. Repeated rows are documents that repeat each other. Other columns aren't read. An empty table gives
+    no rows.
     """
     raw = F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b""))
     chosen = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.xxhash64(raw).alias("tie"), raw.alias("text"))
