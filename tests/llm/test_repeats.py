@@ -69,26 +69,6 @@ def test_removal(spark, monkeypatch, seed, length, gram, group, letters):
     assert result(repeats.remove_repeats(docs, length=length, gram=gram)) == brute(rows, length)
 
 
-def test_words_that_rolling_hashes_take_for_equal(spark):
-    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
-    swapped = word.translate(str.maketrans("ab", "ba"))
-    docs = spark.createDataFrame([(1, word), (2, swapped)], "doc_id bigint, text string")
-    assert all(r.n_bytes == 2048 and not r.spans for r in repeats.remove_repeats(docs, length=2048, gram=2048).collect())
-    rows = [(1, word), (2, swapped), (3, swapped)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert result(repeats.remove_repeats(docs, length=2048, gram=2048)) == brute(rows, 2048)
-
-
-def test_equal_rows_collect_their_spans_once(spark):
-    draw = random.Random(9)
-    text = "".join(draw.choice("abcdefgh ") for _ in range(1500))
-    rows = [(1, text)] * 60 + [(2, text[:700] + "#" + text[701:])]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert result(repeats.remove_repeats(docs)) == brute(rows, 400)
-    chosen = docs.selectExpr("doc_id AS id", "xxhash64(cast(text AS binary)) AS tie", "cast(text AS binary) AS text")
-    assert max(len(r.spans) for r in repeats.covered(chosen).collect()) < 1500
-
-
 def test_nothing(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert repeats.remove_repeats(none).count() == 0
