@@ -61,7 +61,8 @@ class NewtonBoostedClassifier(_BoostedTrees):
     def _train(self, table: DataFrame, stages: list, bins: int) -> PipelineModel:
         vectors = Pipeline(stages=stages).fit(table)
         held = quoted(self.validation).cast("boolean") if self.validation else F.lit(False)
-        rows = vectors.transform(table).select("_features", "_label", held.alias("_held"), F.lit(float(self.start)).alias("_margin"))
+        weight = F.col("_weight") if "_weight" in table.columns else F.lit(1.0)
+        rows = vectors.transform(table).select("_features", "_label", weight.alias("_weight"), held.alias("_held"), F.lit(float(self.start)).alias("_margin"))
         rows = materialise(rows, "margins")
         gradient, hessian = self.terms(F.col("_label"), F.col("_margin"))
         trees: list[DecisionTreeRegressionModel] = []
@@ -71,21 +72,24 @@ class NewtonBoostedClassifier(_BoostedTrees):
             # The terms are computed once a round, from the margins as they are.
             terms = rows.withColumn("_gradient", gradient).withColumn("_hessian", F.greatest(hessian, F.lit(LEAST_HESSIAN)))
             target = terms.where(~F.col("_held")).withColumn("_target", -F.col("_gradient") / F.col("_hessian"))
+            target = target.withColumn("_mass", F.col("_weight") * F.col("_hessian"))
             tree = DecisionTreeRegressor(
-                featuresCol="_features", labelCol="_target", weightCol="_hessian", maxDepth=self.depth, maxBins=bins, seed=self.seed
+                featuresCol="_features", labelCol="_target", weightCol="_mass", maxDepth=self.depth, maxBins=bins, seed=self.seed
             ).fit(target)
             tree = tree.setPredictionCol(f"_value_{n}").setLeafCol(f"_leaf_{n}")
             sums = tree.transform(target).groupBy(F.col(f"_leaf_{n}").cast("int").alias("leaf")).agg(
-                (-F.sum("_gradient") / (F.sum("_hessian") + F.lit(self.penalty))).alias("step")
+                (-F.sum(F.col("_weight") * F.col("_gradient")) / (F.sum("_mass") + F.lit(self.penalty))).alias("step")
             )
             found = {r["leaf"]: r["step"] for r in sums.collect()}  # one row a leaf, at most 2 ** depth
             self.leaf_steps.append([float(found.get(i, 0.0)) for i in range(max(found) + 1)])
             trees.append(tree)
-            rows = self._moved(rows, tree, n).select("_features", "_label", "_held", "_margin")
+            rows = self._moved(rows, tree, n).select("_features", "_label", "_weight", "_held", "_margin")
             if (n + 1) % WRITE_EVERY == 0:
                 rows = materialise(rows, "margins")
             row_loss = self.loss(F.col("_label"), sigmoid("_margin"))
-            means = rows.agg(F.avg(F.when(~F.col("_held"), row_loss)).alias("train"), F.avg(F.when(F.col("_held"), row_loss)).alias("held")).first()
+            known = F.when(row_loss.isNotNull(), F.col("_weight"))
+            sides = {"train": ~F.col("_held"), "held": F.col("_held")}
+            means = rows.agg(*(F.try_divide(F.sum(F.when(s, row_loss * known)), F.sum(F.when(s, known))).alias(n) for n, s in sides.items())).first()
             self.history.append({"round": n + 1, "train": means["train"], "validation": means["held"]})
             if self.validation and means["held"] is not None:
                 if best is None or means["held"] < best:

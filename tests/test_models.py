@@ -151,6 +151,50 @@ def test_model_queries_learn_their_targets(spark, folder):
 
 
 # -- Newton boosting -------------------------------------------------------------------------------------
+def _wide(spark, times):
+    """2,000 rows with 1,000 values of a number, ``times`` times."""
+    x = F.pmod(F.xxhash64("id"), F.lit(1000)) / F.lit(7.0)
+    rows = spark.range(2000).select(x.alias("x"), (F.col("id") % 3).cast("string").alias("c"), F.lit(0.5 * times).alias("unused"))
+    rows = rows.withColumn("y", (F.col("x") + F.when(F.col("c") == "1", 20).otherwise(0) > 80).cast("int")).withColumn("z", F.col("x") * 2 + F.col("y"))
+    return rows.withColumn("held", F.pmod(F.xxhash64("x"), F.lit(4)) == 0).crossJoin(spark.range(times).select(F.col("id").alias("copy")))
+
+
+@pytest.mark.parametrize("kind", ["classifier", "regressor", "newton"])
+def test_training_rows_are_bounded_by_what_trees_tell_apart(spark, kind):
+    def model():
+        options = {"max_bins": 32, "validation": "held"}
+        if kind == "newton":
+            return NewtonBoostedClassifier(["c"], ["x"], "y", rounds=3, depth=3, **options)
+        made = models.BoostedTreesClassifier if kind == "classifier" else models.BoostedTreesRegressor
+        return made(["c"], ["x"], "y" if kind == "classifier" else "z", **options, **SMALL)
+
+    once, often = _wide(spark, 1), _wide(spark, 5)
+    tables = [model()._training_table(df)[0] for df in (once, often)]
+    assert tables[0].count() == tables[1].count() <= 32 * 3 * 2 * 2
+    assert [t.agg(F.round(F.sum("_weight"), 6)).first()[0] for t in tables] == [2000, 10000]
+    score = "prediction" if kind == "regressor" else "score"
+    scored = [rows((m.predict(once) if kind == "regressor" else m.predict_proba(once)), "x", "c", score) for m in (model().fit(once), model().fit(often))]
+    assert [r[-1] for r in scored[0]] == pytest.approx([r[-1] for r in scored[1]], abs=1e-9)
+
+
+def test_grouped_regression_rows_keep_their_moments(spark):
+    rows_ = _wide(spark, 1)
+    model = models.BoostedTreesRegressor(["c"], ["x"], "z", max_bins=32, **SMALL)
+    table = model._training_table(rows_)[0]
+    z, w = F.col("_label"), F.col("_weight")
+    found = table.agg(F.sum(w), F.sum(w * z), F.sum(w * z * z)).first()
+    assert list(found) == pytest.approx(list(rows_.agg(F.count("*"), F.sum("z"), F.sum(F.col("z") * F.col("z"))).first()))
+    # As good as the deviation within a range allows: a tree on all rows can't be better by more than that.
+    assert model.fit(rows_).evaluate(rows_) < rows_.agg(F.var_pop("z")).first()[0]
+
+
+def test_cuts_keep_a_frequent_value_apart(spark):
+    often = spark.range(100_000).select(F.lit(500.0).alias("x")).unionByName(spark.range(1000).select((F.col("id") / 1.0).alias("x")))
+    cuts = models.value_cuts(often, ["x"], 16)["x"]
+    assert len(cuts) < 16 and cuts == sorted(set(cuts)) and {500.0, 501.0} <= set(cuts)
+    assert models.value_cuts(often, ["x"], 1001) == {}
+
+
 def test_newton_rounds_lower_the_focal_loss(spark, cases, tmp_path):
     model = NewtonBoostedClassifier(["c"], ["x"], "y", rounds=10, depth=3, step=0.3, penalty=0.5).fit(cases)
     losses = [h["train"] for h in model.history]
