@@ -201,10 +201,10 @@ def splits_in_one_dataset(spark, folder):
 
 @query("csv_split_roundtrip", "SELECT * FROM documents")
 def csv_split_roundtrip(spark, folder):
-    """Whole texts in one CSV file, read back by as many tasks as the file has ranges."""
+    """Whole texts in CSV files, written by the tasks that read them and read back by as many as the files have ranges."""
     path = scratch_path(spark, "csv-split")
     documents = table(spark, folder, "documents")
-    tables.write_csv(documents.coalesce(1), path)
+    tables.write_csv(documents, path)
     return read_csv_split(spark, path, documents.schema)
 
 

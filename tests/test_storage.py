@@ -119,6 +119,20 @@ def test_csv_ranges_give_the_rows_of_the_file(spark, tmp_path, small_ranges, par
     assert lines.rdd.getNumPartitions() > 10 * parts
 
 
+def test_csv_round_trip_writes_by_many_tasks(spark, tmp_path):
+    from riskflow.registry.storage import csv_split_roundtrip
+
+    made = spark.createDataFrame([(i, TEXTS[i % len(TEXTS)] or "x", "en") for i in range(80)], "doc_id bigint, text string, lang string")
+    made.repartition(4, "doc_id").write.option("maxRecordsPerFile", 20).parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        found = csv_split_roundtrip(spark, str(tmp_path))
+        assert rows(found) == rows(made)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len([f for f in found.inputFiles() if f.endswith(".csv")]) >= 4
+
+
 def test_csv_ranges_with_carriage_returns_and_empty_lines(spark, tmp_path, small_ranges):
     body = "id,text\r\n" + "".join(f'{i},"v {i}\r\nmore ""q"" {i}"\r\n' + ("\r\n" if i % 5 == 0 else "") for i in range(40))
     (tmp_path / "in.csv").write_bytes(body.encode())
