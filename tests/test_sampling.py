@@ -67,6 +67,25 @@ def test_folds_with_a_key_held_by_a_third_of_the_rows(spark, monkeypatch):
     assert sizes == [180] * 5
 
 
+@pytest.mark.parametrize("hot", [10**6, 20])
+def test_folds_past_the_bound_move_rows_once_unless_a_key_is_frequent(spark, monkeypatch, hot):
+    monkeypatch.setattr(sampling, "HOT_ROWS", hot)
+    df = spark.range(2000).select("id", (F.col("id") % 3).alias("t"), F.when(F.col("id") < 700, -1).otherwise(F.col("id")).alias("k"))
+    found = sampling.stratified_folds(df, "t", "k", 5, single_task_rows=100)
+    few = sampling.stratified_folds(df, "t", "k", 5)
+    single = "k >= 0"  # rows of one key are alike
+    assert rows(found.where(single)) == rows(few.where(single))
+    assert rows(found.groupBy("t", "fold").count()) == rows(few.groupBy("t", "fold").count())
+    if hot > 2000:
+        moved = found._jdf.queryExecution().executedPlan().toString()
+        assert moved.count("Exchange hashpartitioning(t") == 1 and "SortMergeJoin" not in moved and "rangepartitioning" not in moved
+
+
+def test_folds_past_the_bound_keep_rows_without_a_label(spark):
+    df = spark.range(600).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("t"))
+    assert rows(sampling.stratified_folds(df, "t", "id", single_task_rows=50)) == rows(sampling.stratified_folds(df, "t", "id"))
+
+
 def test_class_weights(spark):
     df = spark.createDataFrame([(0,)] * 6 + [(1,)] * 2 + [(None,)], "t int")
     assert rows(sampling.class_weights(df, "t"), "label", "weight") == [(0, pytest.approx(8 / 12)), (1, 2.0)]
