@@ -63,18 +63,27 @@ def binned(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], bi
     return df.select(*(quoted(c) for c in kept), *marks, *(to_text(quoted(c)).alias(f"value_{c}") for c in categorical))
 
 
-def fold_counts(df: DataFrame, fold: str, label: str, columns: Sequence[str]) -> DataFrame:
-    """(fold, column, value, rows, positive): one row per fold and value, combined before the shuffle."""
+def grouped_rows(df: DataFrame, fold: str, label: str, columns: Sequence[str], weight: str | None = None) -> DataFrame:
+    """One row for each fold, label and set of values, all that scores depend on, with the number of its rows as ``_weight``."""
+    number_of = F.sum(quoted(weight)) if weight else F.count("*")
+    return materialise(df.groupBy(*(quoted(c) for c in [fold, label, *columns])).agg(number_of.alias("_weight")), "grouped")
+
+
+def fold_counts(df: DataFrame, fold: str, label: str, columns: Sequence[str], weight: str | None = None) -> DataFrame:
+    """(fold, column, value, rows, positive): one row per fold and value, combined before the shuffle. ``weight`` names the
+    number of rows that a row stands for, one by default."""
     texts = [quoted(c).cast("string").alias(c) for c in columns]
-    long = df.select(quoted(fold).alias("fold"), quoted(label).alias("_y"), *texts).unpivot(
-        ["fold", "_y"], [quoted(c) for c in columns], "column", "value"
+    n = quoted(weight) if weight else F.lit(1)
+    long = df.select(quoted(fold).alias("fold"), quoted(label).alias("_y"), n.cast("bigint").alias("_n"), *texts).unpivot(
+        ["fold", "_y", "_n"], [quoted(c) for c in columns], "column", "value"
     )
-    return long.groupBy("fold", "column", "value").agg(F.count("*").alias("rows"), F.count_if(F.col("_y") == 1).alias("positive"))
+    positive = F.sum(F.when(F.col("_y") == 1, F.col("_n")).otherwise(0))
+    return long.groupBy("fold", "column", "value").agg(F.sum("_n").alias("rows"), positive.alias("positive"))
 
 
-def bounded_counts(df: DataFrame, fold: str, label: str, columns: Sequence[str]) -> list[Row]:
+def bounded_counts(df: DataFrame, fold: str, label: str, columns: Sequence[str], weight: str | None = None) -> list[Row]:
     """``fold_counts`` on the driver; more than ``MAX_CELLS`` rows are an error."""
-    cells = fold_counts(df, fold, label, columns).limit(MAX_CELLS + 1).collect()
+    cells = fold_counts(df, fold, label, columns, weight).limit(MAX_CELLS + 1).collect()
     if len(cells) > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS} values by fold and column: use bins, or group rare values first")
     return cells
@@ -132,10 +141,17 @@ def out_of_fold_scores(
 
 
 def out_of_fold_error(
-    df: DataFrame, fold: str, label: str, columns: Sequence[str], smoothing: float, cells: list[Row] | None = None
+    df: DataFrame, fold: str, label: str, columns: Sequence[str], smoothing: float, cells: list[Row] | None = None, weight: str | None = None
 ) -> float:
-    """Mean over the folds of the mean squared error of the scores: one job for the counts, unless known, one for the errors."""
+    """Mean over the folds of the mean squared error of the scores: one job for the counts, unless known, one for the errors.
+
+    ``weight`` names the number of rows that a row of ``df`` stands for, one by default.
+    """
+    if cells is None:
+        cells = bounded_counts(df, fold, label, columns, weight)
     scored = out_of_fold_scores(df, fold, label, columns, smoothing, "_score", cells)
-    error = F.avg(F.pow(quoted(label) - F.col("_score"), F.lit(2.0)))
+    square = F.pow(quoted(label) - F.col("_score"), F.lit(2.0))
+    rows = F.when(square.isNotNull(), quoted(weight)) if weight else None
+    error = F.avg(square) if weight is None else F.sum(square * rows) / F.sum(rows)
     found = [r["e"] for r in scored.groupBy(quoted(fold).alias("fold")).agg(error.alias("e")).orderBy("fold").collect()]
     return sum(found) / len(found)

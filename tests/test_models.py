@@ -257,6 +257,18 @@ def test_out_of_fold_rates(spark):
         rates.out_of_fold_scores(df, "fold", "y", ["c"], -1.0)
 
 
+def test_errors_of_grouped_rows_are_those_of_the_rows(spark):
+    df = spark.range(3000).select((F.col("id") % 3).cast("int").alias("fold"), (F.col("id") % 7 < 3).cast("int").alias("y"), (F.col("id") % 4).alias("a"), F.concat(F.lit("v"), F.col("id") % 5).alias("b"))
+    grouped = rates.grouped_rows(df, "fold", "y", ["a", "b"])
+    assert grouped.count() <= 3 * 2 * 4 * 5
+    coarse = rates.grouped_rows(grouped, "fold", "y", ["a"], "_weight")
+    assert coarse.agg(F.sum("_weight")).first()[0] == 3000
+    key = lambda r: (r["fold"], r["column"], r["value"])
+    assert sorted(rates.bounded_counts(grouped, "fold", "y", ["a", "b"], "_weight"), key=key) == sorted(rates.bounded_counts(df, "fold", "y", ["a", "b"]), key=key)
+    whole = rates.out_of_fold_error(df, "fold", "y", ["a", "b"], 2.0)
+    assert rates.out_of_fold_error(grouped, "fold", "y", ["a", "b"], 2.0, weight="_weight") == pytest.approx(whole, abs=1e-12)
+
+
 def test_quantile_bins_hold_equal_shares(spark):
     df = spark.createDataFrame([(float(i % 10),) for i in range(100)] + [(None,), (float("nan"),)], "x double")
     binned = rates.binned(df, ["x"], [], [5, 3], ["x"])
