@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from riskflow.functions.scalars import number
 from riskflow.operators.comoments import comoments, paired_comoments
+from riskflow.operators.joins import BROADCAST_BYTES, BROADCAST_ROWS, lookup
 from riskflow.operators.ordering import SINGLE_TASK_ROWS, running_total
 from riskflow.session import materialise
 
@@ -35,21 +36,21 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str], single_task_rows: int
     """Pearson correlation of average ranks, upper triangle with diagonal; each pair is ranked within its complete rows.
 
     One grouped pass counts each distinct value of each column: in all rows, and in the rows that have each of the columns
-    with missing values. Running sums of those counts are the ranks of the value beside any other column. A row's values are
-    looked up once, in long form, and all pairs come from one pass over the rows' ranks. The number of jobs doesn't
-    depend on that of columns or pairs, and a value shared by many rows is ranked once.
+    with missing values. Running sums of those counts are the ranks of the value beside any other column. Each column's ranks are
+    looked up in place: those that fit are broadcast, only a column with too many values moves the rows, and all pairs come
+    from one pass over the rows' ranks. A value shared by many rows is ranked once.
     """
     values = {c: number(df.schema[c]) for c in columns}
     names = {c: f"c{i}" for i, c in enumerate(columns)}
     pairs = list(combinations_with_replacement(columns, 2))
     if not columns:
         return _table(df, pairs, np.zeros((0, 0)), columns, columns)
-    narrow = materialise(df.select(F.monotonically_increasing_id().alias("row"), *(values[c].alias(names[c]) for c in columns)), "ranked")
+    narrow = materialise(df.select(*(values[c].alias(names[c]) for c in columns)), "ranked")
     missing = narrow.agg(*(F.count_if(F.col(n).isNull()).alias(n) for n in names.values())).first()
     holed = [n for n in names.values() if missing[n]]
     present = [F.col(n).isNotNull().alias(f"has_{n}") for n in holed]
-    long = narrow.select("row", *present, *(F.col(n) for n in names.values())).unpivot(
-        ["row", *(f"has_{n}" for n in holed)], [F.col(n) for n in names.values()], "column", "value"
+    long = narrow.select(*present, *(F.col(n) for n in names.values())).unpivot(
+        [f"has_{n}" for n in holed], [F.col(n) for n in names.values()], "column", "value"
     ).where("value IS NOT NULL")
     counts = long.groupBy("column", "value").agg(
         F.count("*").alias("n_all"), *(F.count_if(F.col(f"has_{n}")).alias(f"n_{n}") for n in holed)
@@ -57,18 +58,22 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str], single_task_rows: int
     kinds = ["all", *holed]
     ranked = running_total(materialise(counts, "ranks"), ["column"], [F.col("value")], {f"upto_{k}": F.col(f"n_{k}") for k in kinds}, single_task_rows)
     ranks = ranked.select(
-        "column", "value",
+        "column", "value", F.col("n_all").alias("count"),
         F.array(*((F.col(f"upto_{k}") - F.col(f"n_{k}") + (F.col(f"n_{k}") + 1) / F.lit(2.0)) for k in kinds)).alias("ranks"),
     )
-    found = long.select("row", "column", "value").join(materialise(ranks, "ranks"), ["column", "value"])
+    ranks = materialise(ranks, "ranks")
+    numbers = {r["column"]: r["count"] for r in ranks.groupBy("column").count().collect()}  # one row a column
     # Per row: for each column the ranks of its value beside every other column; none where it is missing.
+    rows, nothing = narrow, F.lit(None).cast("array<double>")
+    for n in sorted(names.values(), key=lambda n: -numbers.get(n, 0)):  # the widest first, before rows carry ranks
+        fits = numbers.get(n, 0) <= BROADCAST_ROWS and numbers.get(n, 0) * (16 + 24 * len(kinds)) <= BROADCAST_BYTES
+        rows = lookup(rows, n, ranks.where(F.col("column") == n), "value", "ranks", f"by_{n}", nothing, "count", fits)
     beside = [kinds.index(n) if n in holed else 0 for n in names.values()]
-    nothing = F.array_repeat(F.lit(None).cast("double"), len(columns))
-    rows = found.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("column", "ranks"))).alias("by"))
 
     def of(name: str) -> Column:
-        own = F.col("by")[F.lit(name)]
-        return F.when(own.isNotNull(), F.array(*(F.get(own, F.lit(k)) for k in beside))).otherwise(nothing)
+        own = F.col(f"by_{name}")
+        empty = F.array_repeat(F.lit(None).cast("double"), len(columns))
+        return F.when(own.isNotNull(), F.array(*(F.get(own, F.lit(k)) for k in beside))).otherwise(empty)
 
     matrices = rows.select(F.array(*(of(n) for n in names.values())).alias("matrix"))
     result = paired_comoments(matrices, "matrix", len(columns)).correlation()

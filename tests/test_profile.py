@@ -145,6 +145,23 @@ def test_spearman_on_the_range_path(tables):
     assert [(a, b, round(r, 9)) for a, b, r in other] == [(a, b, round(r, 9)) for a, b, r in whole]
 
 
+def test_spearman_moves_rows_only_for_columns_too_wide_to_broadcast(spark, tables, monkeypatch):
+    names, moved = ["l_quantity", "l_extendedprice", "l_discount"], []
+    original = correlation.paired_comoments
+
+    def seen(matrices, *rest):
+        moved.append(matrices._jdf.queryExecution().executedPlan().toString())
+        return original(matrices, *rest)
+
+    monkeypatch.setattr(correlation, "paired_comoments", seen)
+    whole = rows(correlation.spearman_matrix(tables("lineitem"), names))
+    assert "SortMergeJoin" not in moved[0] and "Exchange hashpartitioning" not in moved[0]
+    monkeypatch.setattr(correlation, "BROADCAST_ROWS", 1000)
+    apart = rows(correlation.spearman_matrix(tables("lineitem"), names))
+    assert moved[1].count("SortMergeJoin") == 1
+    assert [r[2] for r in apart] == pytest.approx([r[2] for r in whole])
+
+
 def test_spearman_pair_with_nulls(spark):
     df = spark.createDataFrame([(1.0, 1.0), (2.0, 4.0), (3.0, None), (None, 2.0), (5.0, 3.0)], "a double, b double")
     assert abs(correlation.spearman(df, "a", "b").first()["correlation"] - 0.5) < 1e-12
