@@ -125,15 +125,16 @@ def fit_row_encoder(
         splits = {c: sorted({edges[c][f"q{i}"] for i in range(len(inner))}) if c in edges else [] for c in numeric}
     grouping = fit_category_mapping(df, categorical, group_share) if categorical and group_share is not None else None
     encoder = RowEncoder(list(categorical), list(numeric), splits, grouping, df.limit(0), size)
-    rows = materialise(encoder.tokens(df).select("_tokens"), "tokens")
+    # Rows with the same tokens are one, with their number.
+    sets = materialise(encoder.tokens(df).groupBy("_tokens").agg(F.count("*").alias("_rows")), "tokens")
 
     counts = materialise(
-        rows.select(F.explode("_tokens").alias("t")).groupBy("t.column", "t.value").agg(F.count("*").alias("count")), "counts"
+        sets.select(F.explode("_tokens").alias("t"), "_rows").groupBy("t.column", "t.value").agg(F.sum("_rows").alias("count")), "counts"
     )
     placed = materialise(row_positions(counts, [], [F.desc("count"), F.col("column"), F.col("value")], "id"), "vocabulary")
     pairs = (
-        rows.select(F.explode("_tokens").alias("a"), "_tokens").select("a", F.explode("_tokens").alias("b"))
-        .where("a <> b").groupBy("a", "b").agg(F.count("*").alias("times"))
+        sets.select(F.explode("_tokens").alias("a"), "_tokens", "_rows").select("a", "_rows", F.explode("_tokens").alias("b"))
+        .where("a <> b").groupBy("a", "b").agg(F.sum("_rows").alias("times"))
     )
     ids = placed.select(F.struct("column", "value").alias("token"), F.col("id").cast("int").alias("id"))
     together = (

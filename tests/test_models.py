@@ -320,6 +320,18 @@ def test_row_vectors_do_not_depend_on_partitions(spark, cases, tmp_path):
     assert again == found[1]
 
 
+def test_token_counts_come_from_sets_of_tokens(spark, monkeypatch):
+    df = spark.range(3000).select((F.col("id") % 4).cast("string").alias("a"), (F.col("id") % 3).cast("string").alias("b"))
+    written = {}
+    original = embeddings.materialise
+    monkeypatch.setattr(embeddings, "materialise", lambda table, label="table": written.setdefault(label, original(table, label)))
+    encoder = embeddings.fit_row_encoder(df, ["a", "b"], size=2, rounds=1)
+    assert written["tokens"].count() == 12
+    found = {(r["column"], r["value"]): r["count"] for r in encoder.vectors.collect()}
+    assert found == {**{("a", str(i)): 750 for i in range(4)}, **{("b", str(i)): 1000 for i in range(3)}}
+    assert rows(written["pairs"].groupBy("i").agg(F.round(F.sum(F.exp("weight") - 1)).cast("int").alias("n")).groupBy("n").count(), "n", "count") == [(750, 4), (1000, 3)]
+
+
 def test_every_value_has_a_vector_unless_grouping_is_asked_for(spark):
     df = spark.range(500).select(F.when(F.col("id") < 400, F.lit("a=b")).otherwise(F.col("id").cast("string")).alias("c=d"), (F.col("id") % 3).cast("string").alias("e"))
     encoder = embeddings.fit_row_encoder(df, ["c=d", "e"], size=2)
