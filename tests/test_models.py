@@ -5,9 +5,11 @@ import time
 
 import pandas as pd
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from conftest import rows
+from riskflow import session
 from riskflow.operators import embeddings, metrics, models, rates
 from riskflow.operators.boosting import NewtonBoostedClassifier, loss_by_round
 from riskflow.operators.partition import BatchStep, TableStep, apply_batches, score_batches
@@ -177,6 +179,21 @@ def test_training_rows_are_bounded_by_what_trees_tell_apart(spark, kind):
     assert [r[-1] for r in scored[0]] == pytest.approx([r[-1] for r in scored[1]], abs=1e-9)
 
 
+@pytest.mark.parametrize("kind", [models.BoostedTreesClassifier, NewtonBoostedClassifier])
+def test_a_training_task_holds_few_rows(spark, monkeypatch, kind):
+    """However small the files are: a scan would read all of these in one task or two."""
+    monkeypatch.setattr(session, "SPREAD_ROWS", 100)
+    found = []
+
+    def train(self, table, stages, bins):
+        found.extend(r["count"] for r in table.groupBy(F.spark_partition_id()).count().collect())
+        return PipelineModel([])
+
+    monkeypatch.setattr(kind, "_train", train)
+    kind(["c"], ["x"], "y", max_bins=1000, validation="held").fit(_wide(spark, 3).coalesce(1))
+    assert max(found) <= 200 and len(found) >= 10
+
+
 def test_grouped_regression_rows_keep_their_moments(spark):
     rows_ = _wide(spark, 1)
     model = models.BoostedTreesRegressor(["c"], ["x"], "z", max_bins=32, **SMALL)
