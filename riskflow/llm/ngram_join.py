@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from riskflow.llm.common import bytes_of, keep_rows, mix, row_identity, run_hashes, slices, word_bounds
 from riskflow.llm.components import components
-from riskflow.session import materialise
+from riskflow.session import materialise, scratch_path, scratch_scope
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
@@ -42,6 +42,8 @@ BLOCK = 4096
 #: Keys just before a row's own that tell whether a pair was given there.
 EARLIER = 8
 TILE = 1024
+#: Bits of the bitmap that tells which texts may be wanted.
+FILTER_BITS = 25
 
 _STEP = mix(np.arange(11, 11 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
@@ -379,9 +381,18 @@ def _pair_batch(pairs: set) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
+def _perhaps(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id may be one of ``wanted``: a bitmap of fixed size by hashed id tells, so no text is shuffled."""
+    place = F.xxhash64("id").bitwiseAND((1 << FILTER_BITS) - 1) + 1
+    found = wanted.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    spot = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("bits", F.floor(spot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
+    return docs.join(F.broadcast(found), (F.bitmap_bucket_number(place) == F.col("bucket")) & (F.getbit(byte, (spot % 8).cast("int")) == 1))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, sample: DataFrame, words: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets link, by intersecting their arrays. ``sample`` has one document (id) of each
-    node; only the texts of nodes in pairs are read into arrays."""
+    node; only the texts of nodes in pairs, and the few that share a bit with one, become arrays."""
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -398,15 +409,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, sample: DataFrame, words: int)
                 good.append(bool(_enough(int((both[1:] == both[:-1]).sum()), len(a), len(b))))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    spark = pairs.sparkSession
+    path = scratch_path(spark, "links")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = ends.join(sample, "node").select("id", F.lit(True).alias("wanted")).distinct()
-    texts = docs.join(wanted, docs["id"].eqNullSafe(wanted["id"]), "left_semi").select("text")
-    sets = materialise(texts.mapInArrow(arrays, "node bigint, shingles binary"), "shingles")
-    joined = (
-        pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    )
-    return materialise(joined.select("a", "b", "x", "y").mapInArrow(intersect, "a bigint, b bigint"), "links")
+    texts = _perhaps(docs, ends.join(sample, "node").select("id")).select("text")
+    with scratch_scope(spark):  # the arrays are as large as the texts and read here alone
+        sets = materialise(texts.mapInArrow(arrays, "node bigint, shingles binary"), "shingles")
+        joined = (
+            pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+            .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        )
+        return materialise(joined.select("a", "b", "x", "y").mapInArrow(intersect, "a bigint, b bigint"), "links", path)
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -495,8 +508,7 @@ def jaccard_nodes(docs: DataFrame, key: str, text: str, words: int = WORDS) -> t
         tried = tried.unionByName(found)
         linked = new is not None and not new.isEmpty()
         if linked:
-            links = links.unionByName(new)
-            roots = components(links)
+            roots = components(roots.toDF("a", "b").unionByName(new))
         if not best:  # all pairs of different components that still met
             return documents, materialise(roots, "roots")
         rooted = rooted.drop("last")

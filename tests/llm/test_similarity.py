@@ -7,7 +7,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from riskflow import session
 from riskflow.llm import components, fingerprints, ngram_join, queries
 from riskflow.llm.common import run_hashes
 
@@ -175,6 +177,31 @@ def test_run_hashes_follow_the_bytes_alone():
     assert lower[1] == lower[2]
 
 
+def test_texts_are_not_shuffled_to_be_chosen(spark):
+    docs = spark.range(20_000).select(F.when(F.col("id") % 1000 != 0, F.col("id")).alias("id"), F.lit(b"some text").alias("text"))
+    wanted = docs.where("id IS NULL OR id % 9 = 0").select("id").repartition(5)
+    chosen = ngram_join._perhaps(docs, wanted)
+    assert chosen.columns == ["id", "text", "bucket", "bits"]
+    assert "SortMergeJoin" not in chosen._jdf.queryExecution().toString() and "BroadcastHashJoin" in chosen._jdf.queryExecution().toString()
+    found = [r["id"] for r in chosen.select("id").collect()]
+    needed = [i for i in range(20_000) if i % 1000 and i % 9 == 0]
+    assert set(needed) <= set(found) and found.count(None) == 20 and len(found) <= len(needed) + 20 + 40
+
+
+def test_arrays_go_when_pairs_are_verified(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "checkpoint_root", lambda spark: str(tmp_path))
+    ngram_join.jaccard_nodes(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    assert list(tmp_path.glob("**/links-*")) and not list(tmp_path.glob("**/shingles-*"))
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "materialise", lambda df, label: written.append(label) or session.materialise(df, label))
+    stars = spark.createDataFrame([(5, 1), (6, 1), (1, 7), (9, 8), (4, 4)], "a long, b long")
+    found = sorted(map(tuple, components.components(stars).collect()))
+    assert found == [(1, 1), (5, 1), (6, 1), (7, 1), (8, 8), (9, 8)] and len(written) == 1
+
+
 def test_components(spark):
     draw = random.Random(2)
     links = [(draw.randrange(300), draw.randrange(300)) for _ in range(140)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]
