@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,6 +43,19 @@ def focal_cross_entropy(label: Column, score: Column, gamma: float = 2.0) -> Col
     return -F.pow(1.0 - sure, F.lit(gamma)) * F.ln(sure)
 
 
+def focal_arrays(label: np.ndarray, margin: np.ndarray, alpha: float = 0.25, gamma: float = 2.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``focal_terms`` at the margins and ``focal_cross_entropy`` of their scores, for arrays inside a task; NaN where a label is missing."""
+    with np.errstate(over="ignore"):
+        score = 1.0 / (1.0 + np.exp(-margin))
+    p = np.clip(score, MARGIN_EPSILON, 1.0 - MARGIN_EPSILON)
+    sure = np.where(label == 1, p, 1.0 - p)
+    scale = alpha * (1.0 - sure) ** gamma
+    gradient = scale * (label - p) * (gamma * sure * np.log(sure) + sure - 1.0)
+    q = np.clip(score, SCORE_EPSILON, 1.0 - SCORE_EPSILON)
+    sure = np.where(label == 1, q, 1.0 - q)
+    return gradient, scale * p * (1.0 - p), np.where(np.isnan(label), np.nan, -((1.0 - sure) ** gamma) * np.log(sure))
+
+
 def average_loss(loss: str, label: str, score: str, gamma: float = 2.0) -> Column:
     """Aggregate column: mean loss over the rows."""
     check_loss(loss, gamma=gamma)
