@@ -24,8 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskflow.llm.common import give_back
+
 END_ID = 1
-CACHED_WORDS = 400_000
+#: Words of either dictionary of an encoder, about 160 bytes each.
+CACHED_WORDS = 250_000
 _WHITE = "\n\t\r\x0b\x0c"
 _HEADER = 4
 
@@ -151,6 +154,7 @@ def write_tokens(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         number, attempt = task.partitionId(), task.taskAttemptId()
+        give_back()
         encode = encoder(tokenizer, end_id)
         fs, folder = file_system(path)
         draft = f"{folder}/attempt-{number:05d}-{attempt}"

@@ -5,7 +5,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from riskflow.llm import packing, queries, token_counts, tokens
@@ -162,3 +164,23 @@ def test_token_counts_of_documents(spark, tables):
         counts = [_greedy("▁" + w, vocabulary) for w in (r.text or "").translate(str.maketrans("\t\n\x0b\x0c\r", "     ")).split(" ") if w]
         texts[(r.doc_id, len(counts), sum(max(c, 1) for c in counts), counts.count(-1))] += 1
     assert Counter(map(tuple, token_counts.token_counts(docs, path).collect())) == texts
+
+
+def test_writing_gives_back_what_earlier_tasks_left(spark, tmp_path):
+    """A worker kept its tables of powers from stage to stage; in the pipeline they came on top of the tokenizer."""
+    from riskflow.llm import common
+
+    common._powers(1 << 10)
+    common.give_back()
+    assert common._powers.cache_info().currsize == 0
+
+    def powers(batches, size=0):
+        for batch in batches:
+            if size:
+                common._powers(size)
+            yield pa.RecordBatch.from_pydict({"n": [common._powers.cache_info().currsize]})
+
+    one = spark.range(1).coalesce(1)
+    assert one.mapInArrow(lambda b: powers(b, 1 << 10), "n long").first().n > 0
+    tokens.write_tokens(one.select(F.col("id").alias("doc_id"), F.lit("a b").alias("text")), str(tmp_path / "t"), tokens.tokenizer_path(), ordered=False)
+    assert one.mapInArrow(powers, "n long").first().n == 0
