@@ -239,7 +239,7 @@ def test_newton_stops_with_its_held_out_rows(cases):
 
 
 def test_newton_rounds_read_blocks_of_codes(spark, monkeypatch):
-    """A round used to read a row for each group several times, at 25 microseconds a group."""
+    """A round used to read a row for each group several times."""
     written = []
 
     def counted(df, label="table", path=None):
