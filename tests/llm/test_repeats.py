@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from riskflow.llm import queries, repeats
@@ -79,3 +81,67 @@ def test_query(spark, folder, tables):
     expected = {k: (n, g, s, hashlib.sha256(kept).hexdigest()) for k, n, g, s, kept in brute(rows, 400)}
     found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.op3_repeats(spark, folder).collect()}
     assert found == expected
+
+
+class Task:
+    """Takes the function that a query gives to its tasks, to call it here."""
+
+    def mapInArrow(self, run, _):
+        self.run = run
+        return self
+
+
+def test_memory_of_a_task():
+    draw = random.Random(6)
+    texts = ["".join(draw.choices("abcdefghijkl ", k=20_000)).encode() for _ in range(200)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(200)), "tie": [0] * 200, "text": texts})
+    task = repeats._segment_rows(Task(), 400, 200)
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in task.run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows > 200
+    assert peak < 48 << 20
+
+
+def test_one_python_process_a_core(spark, monkeypatch):
+    """Segments are cut and split in one pass; workers of two would stay in memory side by side."""
+    plans = []
+
+    def seen(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")))
+        return kept(df, label)
+
+    kept = repeats.materialise
+    monkeypatch.setattr(repeats, "materialise", seen)
+    docs = spark.createDataFrame(_rows(7, 400, "abcdefghijkl "), "doc_id bigint, text string")
+    assert repeats.remove_repeats(docs).count() == docs.count()
+    assert dict(plans)["blocks"] == 1
+
+
+def test_narrow_length(spark):
+    """Windows shorter than the widest block have no core there; those blocks are left out."""
+    rows = _rows(8, 24, "ab")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert result(repeats.remove_repeats(docs, length=24, gram=10)) == brute(rows, 24)
+
+
+def test_edges_by_bytes_of_cores():
+    """Blocks whose cores only share a hash are not compared; equal windows of others are found, at the places that they have."""
+    draw = random.Random(9)
+    width, length = 8, 24
+    core, other = (bytes(draw.choices(b"abc", k=length - width + 1)) for _ in range(2))
+    rows = []
+    for k in range(40):
+        left, right = (bytes(draw.choices(b"ab", k=width - 1)) for _ in range(2))
+        rows.append((k // 20, k, width - 1, left + (other if k % 5 == 0 else core) + right))
+    columns = dict(zip(("core", "block", "at", "text"), map(list, zip(*rows)), strict=True))
+    batch = pa.RecordBatch.from_pydict(columns)
+    found = set()
+    for b in repeats._edges(iter([batch.slice(0, 27), batch.slice(27)]), width, length):
+        for r in b.to_pylist():
+            found |= {(r["core"], r["block"], s) for s in range(r["first"], r["last"] + 1)}
+    seen = Counter((c, s, t[s : s + length]) for c, _, _, t in rows for s in range(width))
+    assert found == {(c, k, s) for c, k, _, t in rows for s in range(width) if seen[c, s, t[s : s + length]] > 1}
