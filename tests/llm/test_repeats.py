@@ -145,3 +145,16 @@ def test_edges_by_bytes_of_cores():
             found |= {(r["core"], r["block"], s) for s in range(r["first"], r["last"] + 1)}
     seen = Counter((c, s, t[s : s + length]) for c, _, _, t in rows for s in range(width))
     assert found == {(c, k, s) for c, k, _, t in rows for s in range(width) if seen[c, s, t[s : s + length]] > 1}
+
+
+def test_equal_rows_hold_their_spans_once(spark):
+    draw = random.Random(10)
+    text = "".join(draw.choices("abcdefghijkl ", k=1500))
+
+    def spans(n):
+        rows = [(1, 1, text.encode())] * n + [(2, 2, (text[:700] + "-" + text[701:]).encode())]
+        found = repeats.covered(spark.createDataFrame(rows, "id bigint, tie bigint, text binary")).collect()
+        return {r["id"]: (len(r.spans), repeats.merged((s.start, s.end) for s in r.spans)) for r in found}
+
+    assert spans(60) == spans(2)
+    assert spans(60)[1][1] == [(0, 1500)]
